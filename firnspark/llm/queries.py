@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, packing, simhash
+from . import bpe, chat, minhash, packing, simhash, substrings
 from .common import read
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.shared_passages(read(spark, sf_dir, "documents"), least=45)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -44,7 +48,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(read(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing)}
 
 _CODED = "replace(replace(replace(replace(replace({x}, '\\', '\\b'), '</s>', '\\e'), '<s>', '\\s'), '[INST]', '\\i'), '[/INST]', '\\o')"
 _PLAIN = "replace(replace(replace(replace(replace({x}, '\\o', '[/INST]'), '\\i', '[INST]'), '\\s', '<s>'), '\\e', '</s>'), '\\b', '\\')"

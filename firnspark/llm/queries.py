@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, packing, simhash, substrings
+from . import bpe, chat, langid, minhash, packing, simhash, substrings, toxicity
 from .common import read
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), cut=0.7, most=12_000)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -48,7 +52,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(read(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents"), most=1500)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing, op10_language_id)}
 
 _CODED = "replace(replace(replace(replace(replace({x}, '\\', '\\b'), '</s>', '\\e'), '<s>', '\\s'), '[INST]', '\\i'), '[/INST]', '\\o')"
 _PLAIN = "replace(replace(replace(replace(replace({x}, '\\o', '[/INST]'), '\\i', '[INST]'), '\\s', '<s>'), '\\e', '</s>'), '\\b', '\\')"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hmm, langid, minhash, packing, simhash, substrings, toxicity
+from . import ann, bpe, chat, hmm, langid, minhash, packing, simhash, substrings, toxicity
 from .common import read
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -56,11 +56,16 @@ def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.hmm_scores(read(spark, sf_dir, "documents"), passes=2, start_docs=1000)
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, tables=8, probes=16)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"), most=1500)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing, op8_hmm_scores, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing, op8_hmm_scores, op9_cross_polytope, op10_language_id)}
 
 _CODED = "replace(replace(replace(replace(replace({x}, '\\', '\\b'), '</s>', '\\e'), '<s>', '\\s'), '[INST]', '\\i'), '[/INST]', '\\o')"
 _PLAIN = "replace(replace(replace(replace(replace({x}, '\\o', '[/INST]'), '\\i', '[INST]'), '\\s', '<s>'), '\\e', '</s>'), '\\b', '\\')"

@@ -1,11 +1,61 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: each stage takes what the stage before it kept and returns the columns of documents, but for the last, which packs."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from firnspark.llm import langid, minhash, packing, substrings, toxicity
+from firnspark.llm.common import materialize, read
+
+#: A document whose best language has a smaller probability than this is rejected, as is one without letters.
+LEAST_LANGUAGE = 0.25
+
+
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with an id in ``ids`` (distinct) or without one."""
+    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    scores = toxicity.toxicity_scores(docs, read(spark, sf_dir, "labels"), cut=0.7, most=12_000)
+    return _chosen(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0").select("doc_id"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known."""
+    found = langid.languages(docs, most=1500)
+    bad = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)
+    return _chosen(docs, found.groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad")).where("bad = 0").select("doc_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest id. Of repeated ids one row stays."""
+    groups = minhash.near_duplicates(docs, size=5, percent=80)
+    kept = _chosen(docs, groups.where("kept").select("doc_id").distinct())
+    twice = materialize(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+
+
+def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has too."""
+    return substrings.without_passages(docs, substrings.shared_passages(docs, least=45))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=2048, end_id=0)
+
+
+STAGES = [("toxicity", toxic), ("language", language), ("near_duplicates", near_duplicates), ("substring_duplicates", substring_duplicates), ("packing", packed)]
+#: Classifiers and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

@@ -1,4 +1,6 @@
 """Queries by name and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import aggregates, joins, rasters, scalars, trends, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

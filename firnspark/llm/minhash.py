@@ -23,6 +23,8 @@ SHALLOW, CROWD = 5, 32
 HELD = 200_000
 #: Part of the minima in which two signatures must agree before full sets are compared: six standard deviations below 0.8.
 AGREE = 0.5
+#: Rows of a block, on either side, where a crowded region's rows are compared.
+ACROSS = (256, 2048)
 
 
 def _orders() -> np.ndarray:
@@ -255,6 +257,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _across(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between rows of ``left`` and ``right`` (``g``, ``id``, ``component``) with the same ``g`` and different components.
+
+    Both sides are cut into blocks, and each pair of blocks meets in a task, where one side's shingles are counted over an
+    index of the other's: rows move, pairs don't. A row gives one link for each component that it is linked with.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        full = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("full")]
+        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(mine) or not len(theirs):
+            return schema.empty_table()
+        sizes = np.array([len(full[k]) for k in theirs])
+        values = np.concatenate([full[k] for k in theirs])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
+        out = []
+        for k in mine:
+            x = full[k]
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(theirs))
+            good = (100 * both >= percent * (len(x) + sizes - both)) & (component[theirs] != component[k])
+            other = theirs[good]
+            for first in np.unique(component[other], return_index=True)[1]:
+                a, b = sorted((int(ids[k]), int(ids[other[first]])))
+                out.append((a, b))
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], schema=schema)
+
+    blocks = [df.groupBy("g").agg(F.ceil(F.count("*") / size).alias(name)) for df, size, name in ((left, ACROSS[0], "nl"), (right, ACROSS[1], "nr"))]
+    cut = blocks[0].join(blocks[1], "g")
+    own = []
+    for df, side, mine, theirs in ((left, 0, "nl", "nr"), (right, 1, "nr", "nl")):
+        d = df.join(cut, "g").join(sets, "id").withColumn("mine", F.pmod(F.xxhash64("id"), mine)).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
+        names = ("mine", "theirs") if side == 0 else ("theirs", "mine")
+        own.append(d.select("g", F.col(names[0]).alias("x"), F.col(names[1]).alias("y"), F.lit(side).alias("side"), "id", "component", "full"))
+    return own[0].unionByName(own[1]).groupBy("g", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``id`` and ``full`` (sorted 64-bit hashes of the distinct shingles) of the documents in ``wanted``."""
 
@@ -265,7 +310,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_
                 full = [np.unique(shingles(of(t), size)).astype("<u8").tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(full, pa.binary())], names=["id", "full"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     return own.mapInArrow(run, "id long, full binary")
 
 
@@ -305,20 +350,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     each = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
     best = each.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("low"))).alias("x")).select("a", (-F.col("x.low")).alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select(F.col("a").alias("id"))).distinct()
     sets = materialize(_full_sets(docs, wanted, size, id_col, text_col).distinct(), "sets")
 
     links = materialize(_confirm(best, sets, percent), "links")
     rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
     groups = materialize(components(links), "groups")
     open_ = _relabelled(rest, groups).where("ca <> cb").select("a", "b")
-    # crowded regions: rows outside the region's main component against all of its other rows
+    links = links.unionByName(_confirm(open_, sets, percent))
+    # crowded regions: rows outside the region's main component against all of that component, and against each other
     inside = crowded.select(F.col("b").alias("region"), F.col("a").alias("id")).distinct().join(groups, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    inside = materialize(inside, "crowded")
     main = inside.groupBy("region", "component").count().groupBy("region").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("n")).where("n > 1").select("region", F.col("m.component").alias("main"))
-    odd = inside.join(main, "region").where("component <> main").select("region", F.col("id").alias("x"), F.col("component").alias("cx"))
-    more = inside.join(odd, "region").where("component <> cx and id <> x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-    open_ = open_.unionByName(_estimates(more.distinct(), reps).select("a", "b").join(sets.select(F.col("id").alias("a")), "a", "left_semi").join(sets.select(F.col("id").alias("b")), "b", "left_semi")).distinct()
-    links = materialize(links.unionByName(_confirm(open_, sets, percent)).unionByName(copies), "links")
+    odd = materialize(inside.join(main, "region").where("component <> main"), "odd")
+    targets = odd.select(F.col("main").alias("g")).distinct()
+    members = inside.select(F.col("component").alias("g"), "id", "component").distinct().join(targets, "g", "left_semi")
+    links = links.unionByName(_across(odd.select(F.col("main").alias("g"), "id", "component").distinct(), members, sets, percent))
+    each = odd.select(F.col("region").alias("g"), "id", "component")
+    links = materialize(links.unionByName(_across(each, each, sets, percent)).unionByName(copies), "links")
 
     groups = components(links)
     own = signed.select("id", "n_shingles").join(groups, "id", "left")

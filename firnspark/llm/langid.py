@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import free_name
 from .words import text_blocks
 
 #: Bytes of a window, filter widths, filters of each width, and windows that are convolved together.
@@ -157,18 +159,32 @@ def languages(docs: DataFrame, most: int = 1500, held_out: int = 2, most_languag
     size. A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Repeated
     rows come back as often, an empty table gives no rows, a null id is not held out; other columns are not read.
     """
-    rows, labels, names = training_windows(docs, most, held_out, most_languages, id_col, text_col, lang_col)
-    model = train(rows, labels, names) if names else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = _predicted(docs.select(id_col, text_col), docs, most, held_out, most_languages, id_col, text_col, lang_col, ("lang_pred", "score"))
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held_out, F.lit(False))
+    return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
+
+
+def _predicted(rows: DataFrame, docs: DataFrame, most: int, held_out: int, most_languages: int, id_col: str, text_col: str, lang_col: str, new: tuple[str, str]) -> DataFrame:
+    """``rows`` with columns ``new`` for language and score; the model is learned from ``docs``."""
+    windows_, labels, known = training_windows(docs, most, held_out, most_languages, id_col, text_col, lang_col)
+    shared = rows.sparkSession.sparkContext.broadcast(train(windows_, labels, known) if known else None)
+    at, names = rows.columns.index(text_col), [*rows.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(shared.value) if shared.value is not None else lambda texts: (["und"] * len(texts), np.zeros(len(texts)))
         for batch in batches:
-            for first, texts in text_blocks(batch.column(1), 2_000_000):
+            for first, texts in text_blocks(batch.column(at), 2_000_000):
                 found, score = predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held_out, F.lit(False))
-    return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(new[0], StringType()), StructField(new[1], DoubleType())]))
+
+
+def in_known_language(docs: DataFrame, least: float = 0.25, most: int = 1500, held_out: int = 2, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs``, all columns, without the rows to which ``languages`` gives ``und`` or a score below ``least``. Rows are judged where they are
+    read; none moves. Where there is nothing to learn from all rows with a letter stay."""
+    new = (free_name(docs, "lang_pred"), free_name(docs, "lang_score"))
+    out = _predicted(docs, docs, most, held_out, most_languages, id_col, text_col, lang_col, new)
+    unlearned = docs.where(F.col(lang_col).isNotNull()).isEmpty()
+    good = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) if unlearned else (F.col(new[0]) != "und") & (F.col(new[1]) >= least)
+    return out.where(good).drop(*new)

@@ -354,9 +354,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = materialize(_full_sets(docs, wanted, size, id_col, text_col).distinct(), "sets")
 
     links = materialize(_confirm(best, sets, percent), "links")
-    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = near.join(best, ["a", "b"], "left_anti")
     groups = materialize(components(links), "groups")
-    open_ = _relabelled(rest, groups).where("ca <> cb").select("a", "b")
+    # of the pairs that would join components each component's best comes first
+    open_ = materialize(_relabelled(rest, groups).where("ca <> cb"), "open")
+    ends = open_.select(F.col("ca").alias("c"), "a", "b", "same").unionByName(open_.select(F.col("cb").alias("c"), "a", "b", "same"))
+    best = ends.groupBy("c").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    links = materialize(links.unionByName(_confirm(best, sets, percent)), "links")
+    groups = materialize(components(links), "groups")
+    open_ = _relabelled(open_.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).where("ca <> cb").select("a", "b")
     links = links.unionByName(_confirm(open_, sets, percent))
     # crowded regions: rows outside the region's main component against all of that component, and against each other
     inside = crowded.select(F.col("b").alias("region"), F.col("a").alias("id")).distinct().join(groups, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))

@@ -13,31 +13,23 @@ from firnspark.llm.common import materialize, read
 LEAST_LANGUAGE = 0.25
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with an id in ``ids`` (distinct) or without one."""
-    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
-    scores = toxicity.toxicity_scores(docs, read(spark, sf_dir, "labels"), cut=0.7, most=12_000)
-    return _chosen(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0").select("doc_id"))
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"), cut=0.7, most=12_000)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known."""
-    found = langid.languages(docs, most=1500)
-    bad = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)
-    return _chosen(docs, found.groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad")).where("bad = 0").select("doc_id"))
+    return langid.in_known_language(docs, least=LEAST_LANGUAGE, most=1500)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Of repeated ids one row stays."""
-    groups = minhash.near_duplicates(docs, size=5, percent=80)
-    kept = _chosen(docs, groups.where("kept").select("doc_id").distinct())
-    twice = materialize(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+    groups = minhash.near_duplicates(docs, size=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
+    groups = materialize(groups.where("not kept or rows > 1"), "not_alone")
+    alone = docs.join(groups, "doc_id", "left_anti")
+    again = docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if not groups.where("kept").isEmpty() else docs.limit(0)
+    return alone.unionByName(again)
 
 
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -12,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Pair keys are left << SHIFT | right.
 SHIFT = 20
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Characters of text that are looked up together.
 BLOCK_CHARS = 4_000_000
 
@@ -262,16 +263,14 @@ def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[list[st
         yield held
 
 
-_LOADED: dict[tuple[str, str], tuple[ByteBPE, TextEncoder]] = {}
-
-
 def loaded(path: str, pattern: str) -> tuple[ByteBPE, TextEncoder]:
     """One encoder for each worker process."""
-    gc.disable()  # nothing here is cyclic; walks over the large caches cost more than the work
-    if (path, pattern) not in _LOADED:
+
+    def make() -> tuple[ByteBPE, TextEncoder]:
         bpe = ByteBPE.load(path)
-        _LOADED[path, pattern] = bpe, TextEncoder(pattern, lambda new: bpe.encode([p.encode("utf-8") for p in new]))
-    return _LOADED[path, pattern]
+        return bpe, TextEncoder(pattern, lambda new: bpe.encode([p.encode("utf-8") for p in new]))
+
+    return worker_cache(("bpe", path, pattern), make, collect=False)  # nothing here is cyclic; walks over the large caches cost more than the work
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object], collect: bool = True) -> object:
+    """What a worker process keeps from batch to batch, under one key at a time: workers outlive a stage, so the cache of
+    another operator goes when the next one begins. ``collect=False`` leaves Python's cycle collector off meanwhile."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.enable()
+        gc.collect()
+        _HELD[key] = make()
+        if not collect:
+            gc.disable()
+    return _HELD[key]
+
+
+def drop_worker_cache(key: object) -> None:
+    _HELD.pop(key, None)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_PIECES, cut_text, piece_text
-from .common import materialize
+from .common import materialize, worker_cache
 
 PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -58,18 +57,21 @@ class _PieceIds(dict):
         return self.whole(text)
 
 
-_LOADED: dict[str, _PieceIds] = {}
-
-
 def tokenizer_ids(path: str, pattern: str) -> Callable[[str], bytes]:
     """Encoder of one worker process: the vocabulary and merges of the ``tokenizers`` file at ``path``, with no special
     tokens added and their strings taken as ordinary text."""
-    gc.disable()
-    if path not in _LOADED or len(_LOADED[path]) + len(_LOADED[path].pretokens) > CACHE_PIECES:
+
+    def make() -> _PieceIds:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = _PieceIds(Tokenizer.from_file(path), pattern)
-    return _LOADED[path].encode
+        return _PieceIds(Tokenizer.from_file(path), pattern)
+
+    key = ("tokenizer", path, pattern)
+    held = worker_cache(key, make, collect=False)  # nothing here is cyclic; walks over the large caches cost more than the work
+    if len(held) + len(held.pretokens) > CACHE_PIECES:
+        held.clear()
+        held.pretokens.clear()
+    return held.encode
 
 
 class CapacityTree:
@@ -149,9 +151,10 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
     """One row for each piece of a document, with its number among those of the same length in its task (``part``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part = encoder(), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        end, part = end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
+            encode = encoder()
             keys, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + end

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import worker_cache
+
 #: Words that a worker keeps the hashes of before it starts anew.
 CACHE_WORDS = 400_000
 #: Bytes of text that are worked on together.
@@ -39,15 +41,11 @@ class WordHashes(dict):
             self.clear()
 
 
-HASHES: list[WordHashes] = []
-
-
 def hashes() -> WordHashes:
     """One for each worker process."""
-    if not HASHES:
-        HASHES.append(WordHashes())
-    HASHES[0].trim()
-    return HASHES[0]
+    out = worker_cache("word hashes", WordHashes)
+    out.trim()
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

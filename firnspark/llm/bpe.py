@@ -16,7 +16,7 @@ from .common import worker_cache
 #: Pair keys are left << SHIFT | right.
 SHIFT = 20
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Characters of text that are looked up together.
 BLOCK_CHARS = 4_000_000
 
@@ -250,15 +250,16 @@ class TextEncoder:
         return out
 
 
-def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts of about ``most`` characters together; null counts as empty."""
+def blocks(column: pa.Array, most: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts of about ``most`` characters together; null counts as empty. Only a block's texts are Python objects at a time."""
     held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
+    for k in range(0, len(column), 64):
+        for text in column.slice(k, 64).to_pylist():
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -284,9 +285,9 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = loaded(ranks_path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys = batch.column(0)
             begin = 0
-            for block in blocks(texts):
+            for block in blocks(batch.column(1)):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(block)]
                 decoded = [bpe.decode(x.tolist()) for x in ids]
                 offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
@@ -310,9 +311,9 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         bpe, encoder = loaded(ranks_path, pattern)
         decimal = bpe.decimal
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys = batch.column(0)
             counts, coded, decoded = [], [], []
-            for block in blocks(texts):
+            for block in blocks(batch.column(1)):
                 for x in encoder.encode(block):
                     ids = np.frombuffer(x, "<u4").tolist()
                     counts.append(len(ids))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_cache
 from .words import text_blocks
 
 #: Words with a class each, classes of the others, and words whose counts every task knows.
@@ -261,6 +261,7 @@ def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, divisor
     table = spark.sparkContext.broadcast(known)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("hmm", dict)  # other operators' caches go
         coder, digest, row = Coder(table.value), xxhash.xxh64_intdigest, TaskContext.get().partitionId() << 40
         in_class = np.append(np.arange(coder.size) > OWN, np.zeros(FORMS, bool))
         for batch in batches:

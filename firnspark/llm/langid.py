@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_name
+from .common import free_name, worker_cache
 from .words import text_blocks
 
 #: Bytes of a window, filter widths, filters of each width, and windows that are convolved together.
@@ -171,6 +171,7 @@ def _predicted(rows: DataFrame, docs: DataFrame, most: int, held_out: int, most_
     at, names = rows.columns.index(text_col), [*rows.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid", dict)  # other operators' caches go
         predict = Predictor(shared.value) if shared.value is not None else lambda texts: (["und"] * len(texts), np.zeros(len(texts)))
         for batch in batches:
             for first, texts in text_blocks(batch.column(at), 2_000_000):

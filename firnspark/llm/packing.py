@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_PIECES, cut_text, piece_text
+from .bpe import CACHE_PIECES, blocks, cut_text, piece_text
 from .common import materialize, worker_cache
 
 PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -156,8 +156,8 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
         for batch in batches:
             encode = encoder()
             keys, rows = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for k, text in enumerate(text for block in blocks(batch.column(1)) for text in block):
+                ids = encode(text) + end
                 total, start, piece = len(ids) // 4, 0, 0
                 while start < total:
                     length = (total - start) % capacity or capacity

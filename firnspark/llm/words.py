@@ -69,13 +69,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about ``most`` bytes together, with the number of the first; null counts as empty."""
+    """Consecutive texts of about ``most`` bytes together, with the number of the first; null counts as empty. Only a
+    block's texts are Python objects at a time."""
     first, held, size = 0, [], 0
-    for k, text in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        held.append(text or b"")
-        size += len(held[-1])
-        if size >= most:
-            yield first, held
-            first, held, size = k + 1, [], 0
+    for k in range(0, len(column), 64):
+        for text in column.slice(k, 64).cast(pa.large_binary()).to_pylist():
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= most:
+                yield first, held
+                first, held, size = first + len(held), [], 0
     if held:
         yield first, held

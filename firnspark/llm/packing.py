@@ -32,11 +32,14 @@ class _PieceIds(dict):
         others = (b for b in range(256) if b not in set(plain))
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(others)}
 
+    def made(self, p: str) -> bytes:
+        tokens = self.tokenize(p.encode("utf-8").decode("latin-1").translate(self.alphabet))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
     def pretoken(self, p: str) -> bytes:
         got = self.pretokens.get(p)
         if got is None:
-            tokens = self.tokenize(p.encode("utf-8").decode("latin-1").translate(self.alphabet))
-            got = self.pretokens[p] = np.array([t.id for t in tokens], "<u4").tobytes()
+            got = self.pretokens[p] = self.made(p)
         return got
 
     def whole(self, text: str) -> bytes:
@@ -44,7 +47,7 @@ class _PieceIds(dict):
 
     def __missing__(self, piece: str) -> bytes | None:
         body = piece_text(piece)
-        got = self[piece] = None if body is None else self.pretoken(body) if piece.isalpha() else self.whole(body)
+        got = self[piece] = None if body is None else self.made(body) if piece.isalpha() else self.whole(body)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -154,17 +157,19 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
         end, part = end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            encode = encoder()
-            keys, rows = [], []
-            for k, text in enumerate(text for block in blocks(batch.column(1)) for text in block):
-                ids = encode(text) + end
-                total, start, piece = len(ids) // 4, 0, 0
-                while start < total:
-                    length = (total - start) % capacity or capacity
-                    keys.append(k)
-                    rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
-                    seen[length] += 1
-                    start, piece = start + length, piece + 1
+            keys, rows, k = [], [], -1
+            for block in blocks(batch.column(1)):
+                encode = encoder()
+                for text in block:
+                    k += 1
+                    ids = encode(text) + end
+                    total, start, piece = len(ids) // 4, 0, 0
+                    while start < total:
+                        length = (total - start) % capacity or capacity
+                        keys.append(k)
+                        rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+                        seen[length] += 1
+                        start, piece = start + length, piece + 1
             if rows:
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *columns], names=[id_col, "piece", "start", "length", "ids_crc32", "part", "nth"])

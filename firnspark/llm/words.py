@@ -14,9 +14,9 @@ import pyarrow as pa
 from .common import worker_cache
 
 #: Words that a worker keeps the hashes of before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of text that are worked on together.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 
 
 class WordHashes(dict):

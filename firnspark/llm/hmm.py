@@ -62,7 +62,7 @@ def transfers(model: Model, rows: np.ndarray, first: np.ndarray) -> tuple[np.nda
     lengths = (rows >= 0).sum(axis=1)
     order = np.argsort(-lengths, kind="stable")
     rows, first, lengths = rows[order], first[order], lengths[order]
-    matrix = np.broadcast_to(np.eye(s), (n, s, s)).copy()
+    matrix = np.broadcast_to(np.eye(s, dtype=model.move.dtype), (n, s, s)).copy()
     scale = np.zeros(n)
     for t in range(SEGMENT):
         m = int(np.searchsorted(-lengths, -t, side="left"))  # segments with a token here
@@ -94,7 +94,7 @@ def _by_place(owner: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 def forward(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural logarithm of each text's probability; the states' shares before each segment; the transfers."""
     matrix, scale = transfers(model, rows, first)
-    before = np.full((len(rows), STATES), 1 / STATES)
+    before = np.full((len(rows), STATES), 1 / STATES, model.move.dtype)
     total = np.zeros(owner[-1] + 1)
     np.add.at(total, owner, scale)
     for at in _by_place(owner, first):
@@ -110,14 +110,14 @@ def forward(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray
 def expected(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions, and the log-likelihood."""
     total, before, matrix = forward(model, rows, owner, first)
-    after = np.ones((len(rows), STATES))
+    after = np.ones((len(rows), STATES), model.move.dtype)
     for at in reversed(_by_place(owner, first)):
         prior = at - 1
         good = np.flatnonzero(~first[at])
         x = np.einsum("nst,nt->ns", matrix[at[good]], after[at[good]])
         after[prior[good]] = x / x.max(axis=1, keepdims=True)
     n = len(rows)
-    alpha = np.zeros((SEGMENT, n, STATES))
+    alpha = np.zeros((SEGMENT, n, STATES), model.move.dtype)
     v = before
     for t in range(SEGMENT):
         on = rows[:, t] >= 0
@@ -150,6 +150,11 @@ def expected(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarra
     return start, move, emit, float(total.sum())
 
 
+def for_counts(model: Model) -> Model:
+    """The model in single precision, each class's emissions relative to its likeliest state: expected counts are the same, likelihoods are not."""
+    return Model(model.start.astype(np.float32), model.move.astype(np.float32), (model.emit / model.emit.max(axis=1, keepdims=True)).astype(np.float32))
+
+
 def re_estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
     """``prior``: the classes' shares, which count as one token for each state."""
     start, move, emit = start + 0.1, move + 0.1, emit + prior
@@ -198,6 +203,21 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """At most ``most`` of the most frequent words, by a cut at an eighth of a power of two of the count: a histogram of counts shows where, so no task sends words that aren't wanted."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r.s, r.c) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    cut, total = None, 0
+    for s, c in sizes:
+        total += c
+        if total > most:
+            break
+        cut = s
+    if cut is None:
+        return []
+    return sorted(counts.where(step >= cut).collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+
 class Coder:
     """Classes of a text's tokens in a worker."""
 
@@ -243,7 +263,7 @@ def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, divisor
     counts = materialize(token_counts(base.where(~F.col("held_out")), "text"), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    top = counts.where("word <> X''").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    top = frequent(counts.where("word <> X''"), KNOWN)
     ends = counts.where("word = X''").first()
     known = [(b"", ends.n if ends else 0), *((bytes(r.word), r.n) for r in top)]
     by_form = [(0, 0)] * FORMS
@@ -294,10 +314,10 @@ def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, divisor
         shared = spark.sparkContext.broadcast(model)
 
         def gather(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
+            sums, single = np.zeros(STATES + STATES * STATES + STATES * CLASSES), for_counts(shared.value)
             for batch in batches:
                 for part in _together([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(0)]):
-                    sums += np.concatenate([x.ravel() for x in expected(shared.value, *segments([x.astype(np.int32) for x in part]))[:3]])
+                    sums += np.concatenate([x.ravel() for x in expected(single, *segments([x.astype(np.int32) for x in part]))[:3]])
             own = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(sums[own])], names=["cell", "x"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 
 #: Pair keys are left << SHIFT | right.
 SHIFT = 20
@@ -262,6 +262,8 @@ def blocks(column: pa.Array, most: int = BLOCK_CHARS) -> Iterator[list[str]]:
                 held, size = [], 0
     if held:
         yield held
+    del held
+    give_back()
 
 
 def loaded(path: str, pattern: str) -> tuple[ByteBPE, TextEncoder]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -59,6 +61,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return what a worker process has freed to the system; allocators keep it otherwise, and workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def worker_cache(key: object, make: Callable[[], object], collect: bool = True) -> object:
     """What a worker process keeps from batch to batch, under one key at a time: workers outlive a stage, so the cache of
     another operator goes when the next one begins. ``collect=False`` leaves Python's cycle collector off meanwhile."""
@@ -66,16 +77,13 @@ def worker_cache(key: object, make: Callable[[], object], collect: bool = True)
         _HELD.clear()
         gc.enable()
         gc.collect()
+        give_back()
         _HELD[key] = make()
         if not collect:
             gc.disable()
     return _HELD[key]
 
 
-def drop_worker_cache(key: object) -> None:
-    _HELD.pop(key, None)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 
 #: Words that a worker keeps the hashes of before it starts anew.
 CACHE_WORDS = 250_000
@@ -81,3 +81,5 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
                 first, held, size = first + len(held), [], 0
     if held:
         yield first, held
+    del held
+    give_back()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ class _PieceIds(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in set(plain))
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(others)}
+        self.space = self.alphabet[32]
 
     def made(self, p: str) -> bytes:
-        tokens = self.tokenize(p.encode("utf-8").decode("latin-1").translate(self.alphabet))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        shown = p.replace(" ", self.space) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def pretoken(self, p: str) -> bytes:
         got = self.pretokens.get(p)

@@ -253,3 +253,34 @@ def test_empty_tables(spark):
 def test_words_are_ascii_spaced():
     h = words.WordHashes()
     assert len(h.of("A b c\x0bd\x1ce".encode())) == 3 and h.of(b"AbC")[0] == h.of(b"aBc")[0]
+
+
+def test_fuzzy_passages_are_whole():
+    rng = np.random.default_rng(1)
+    for n, edits in ((50, 5), (60, 12), (100, 20)):
+        for _ in range(100):
+            partner = np.full(n + 80, -1)
+            partner[40 : 40 + n] = np.arange(n)
+            partner[40 + rng.choice(np.arange(1, n - 1), edits, replace=False)] = -1
+            assert substrings.passages(partner, 45)
+    for _ in range(100):
+        partner = np.where(rng.random(120) < rng.choice([0.7, 0.8, 0.9]), np.arange(120), -1)
+        score = np.concatenate(([0], np.cumsum(np.where(partner >= 0, 1, -4))))
+        whole = np.zeros(120, bool)
+        for s, e in itertools.combinations(range(121), 2):
+            if e - s >= 45 and score[e] >= score[s] and partner[s] >= 0 and partner[e - 1] >= 0:
+                whole[s:e] = True
+        got = substrings.passages(partner, 45)
+        assert bool(got) == whole.any() and all(whole[s:e].all() and score[e] >= score[s] and e - s >= 45 for s, e, _ in got)
+
+
+def test_passage_with_one_seed(spark):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(48)]
+    values, at = substrings.seeds(words.hashes().of(" ".join(passage)))
+    begin = int(np.sort(at)[len(at) // 2])
+    edited = [w if begin <= k < begin + 5 or k % 6 else f"x{k}" for k, w in enumerate(passage)]
+    texts = [sentence(rng, 30, "q") + " " + " ".join(passage), sentence(rng, 30, "r") + " " + " ".join(edited)]
+    links = [dict(zip(*map(list, substrings.seeds(words.hashes().of(t))), strict=True)) for t in texts]
+    assert len(set(links[0]) & set(links[1])) == 1
+    assert [(r.doc_id, r.other_id) for r in substrings.shared_passages(documents(spark, texts)).collect()] == [(1, 0)]

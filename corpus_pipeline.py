@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from firnspark.llm import langid, minhash, packing, substrings, toxicity
 from firnspark.llm.common import materialize, read
 
-#: A document whose best language has a smaller probability than this is rejected, as is one without letters.
-LEAST_LANGUAGE = 0.25
-
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
@@ -19,8 +16,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known."""
-    return langid.in_known_language(docs, least=LEAST_LANGUAGE, most=1500)
+    """Documents in a language that is known. The least score comes from labelled documents that the model has not learned from."""
+    return langid.in_known_language(docs, most=1500)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from .words import text_blocks
 
 #: Bytes of a window, filter widths, filters of each width, and windows that are convolved together.
 WINDOW, WIDTHS, FILTERS, CHUNK = 256, (2, 3, 4), 12, 256
+#: Share of the right predictions of held-out documents that may fall below the least score of a known language.
+LOST = 0.005
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -160,15 +162,35 @@ def languages(docs: DataFrame, most: int = 1500, held_out: int = 2, most_languag
     size. A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Repeated
     rows come back as often, an empty table gives no rows, a null id is not held out; other columns are not read.
     """
-    out = _predicted(docs.select(id_col, text_col), docs, most, held_out, most_languages, id_col, text_col, lang_col, ("lang_pred", "score"))
+    out = _predicted(docs.select(id_col, text_col), _learned(docs, most, held_out, most_languages, id_col, text_col, lang_col), text_col, ("lang_pred", "score"))
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held_out, F.lit(False))
     return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
 
 
-def _predicted(rows: DataFrame, docs: DataFrame, most: int, held_out: int, most_languages: int, id_col: str, text_col: str, lang_col: str, new: tuple[str, str]) -> DataFrame:
-    """``rows`` with columns ``new`` for language and score; the model is learned from ``docs``."""
+def _learned(docs: DataFrame, most: int, held_out: int, most_languages: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
     windows_, labels, known = training_windows(docs, most, held_out, most_languages, id_col, text_col, lang_col)
-    shared = rows.sparkSession.sparkContext.broadcast(train(windows_, labels, known) if known else None)
+    return train(windows_, labels, known) if known else None
+
+
+def least_score(docs: DataFrame, model: Model, most: int, held_out: int, id_col: str, text_col: str, lang_col: str) -> float:
+    """The score that all but ``LOST`` of the right predictions reach, by about ``most`` held-out documents of each language learned. It is
+    a quarter of the way from that of a guess to 1 at least."""
+    key, lang = F.col(id_col), F.col(lang_col)
+    held = docs.where(lang.isin(model.languages) & key.isNotNull() & (F.pmod(F.crc32(key.cast("string")), F.lit(4)) == held_out)).select(id_col, text_col, lang.alias("lang"))
+    counts = {r[0]: r[1] for r in held.groupBy("lang").count().collect()}
+    guess = 1 / len(model.languages)
+    floor = guess + (1 - guess) / 4
+    if not counts:
+        return floor
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
+    chosen = held.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    right = _predicted(chosen, model, text_col, ("pred", "score")).where("pred = lang").select("score").collect()
+    return max(floor, float(np.quantile([r[0] for r in right], LOST, method="lower"))) if right else floor
+
+
+def _predicted(rows: DataFrame, model: Model | None, text_col: str, new: tuple[str, str]) -> DataFrame:
+    """``rows`` with columns ``new`` for language and score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     at, names = rows.columns.index(text_col), [*rows.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +204,13 @@ def _predicted(rows: DataFrame, docs: DataFrame, most: int, held_out: int, most_
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(new[0], StringType()), StructField(new[1], DoubleType())]))
 
 
-def in_known_language(docs: DataFrame, least: float = 0.25, most: int = 1500, held_out: int = 2, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs``, all columns, without the rows to which ``languages`` gives ``und`` or a score below ``least``. Rows are judged where they are
-    read; none moves. Where there is nothing to learn from all rows with a letter stay."""
+def in_known_language(docs: DataFrame, least: float | None = None, most: int = 1500, held_out: int = 2, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs``, all columns, without the rows to which ``languages`` gives ``und`` or a score below ``least``, or below ``least_score`` if that is
+    not given. Rows are judged where they are read; none moves. Where there is nothing to learn from all rows with a letter stay."""
+    model = _learned(docs, most, held_out, most_languages, id_col, text_col, lang_col)
+    if model is None:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    if least is None:
+        least = least_score(docs, model, most, held_out, id_col, text_col, lang_col)
     new = (free_name(docs, "lang_pred"), free_name(docs, "lang_score"))
-    out = _predicted(docs, docs, most, held_out, most_languages, id_col, text_col, lang_col, new)
-    unlearned = docs.where(F.col(lang_col).isNotNull()).isEmpty()
-    good = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) if unlearned else (F.col(new[0]) != "und") & (F.col(new[1]) >= least)
-    return out.where(good).drop(*new)
+    return _predicted(docs, model, text_col, new).where((F.col(new[0]) != "und") & (F.col(new[1]) >= least)).drop(*new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from firnspark.llm import toxicity
 from tests.llm.test_llm import SCHEMA, sentence
 
 
@@ -32,3 +33,15 @@ def test_stages(spark, tmp_path):
     assert kept[3] == kept[2] == kept[4]
     left = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/substring_duplicates").collect()}
     assert passage in left[301] and passage.split()[5] not in left[302].split()
+
+
+def test_language_stage_rejects_unknown_languages(spark, tmp_path):
+    rng = random.Random(3)
+    texts = {k: (" ".join(rng.choice(own) for _ in range(120)), name) for k, (name, own) in enumerate(list(toxicity.LANGUAGE_WORDS.items()) * 100)}
+    foreign = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. "
+    letters = "bcdfghjklmnpqrstvwxz"
+    planted = {1000: foreign * 8, 1001: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 10))) for _ in range(120))}
+    rows = [(k, t, lang, "s", len(t), 0.1, 1) for k, (t, lang) in texts.items()] + [(k, t, None, "s", len(t), 0.1, 1) for k, t in planted.items()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert not kept & set(planted) and len(kept) >= 0.97 * len(texts)

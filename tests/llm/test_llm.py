@@ -284,3 +284,16 @@ def test_passage_with_one_seed(spark):
     links = [dict(zip(*map(list, substrings.seeds(words.hashes().of(t))), strict=True)) for t in texts]
     assert len(set(links[0]) & set(links[1])) == 1
     assert [(r.doc_id, r.other_id) for r in substrings.shared_passages(documents(spark, texts)).collect()] == [(1, 0)]
+
+
+def test_toxicity_thresholds_hold_at_the_share_of_the_table(spark):
+    rng = random.Random(9)
+    raw, label = np.array([0.9, 0.8, 0.7, 0.6, 0.5, 0.2]), np.array([1, 0, 1, 1, 0, 0])
+    weight = np.where(label == 1, 1, 9)
+    assert toxicity.best_threshold(raw, label, weight) == toxicity.best_threshold(np.repeat(raw, weight), np.repeat(label, weight))
+    # an edgy word is in all toxic documents and in three tenths of the clean ones, of which there are nine times as many
+    toxic = [k % 10 == 0 for k in range(3000)]
+    texts = [f"{sentence(rng, 10)}{' edgy' if bad or k % 10 < 4 else ''}{' badword' if bad and k % 20 else ''} {sentence(rng, 4)}" for k, bad in enumerate(toxic)]
+    labels = spark.createDataFrame([(k, int(bad)) for k, bad in enumerate(toxic)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(documents(spark, texts), labels, most=300).collect()}
+    assert sum(got[k] for k in got if not toxic[k]) <= 0.05 * 2700 and sum(got[k] for k in got if toxic[k]) >= 100

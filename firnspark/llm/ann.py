@@ -69,17 +69,24 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The ``k`` best of the candidates for each query. Products by matrix choose all that may be among them, ties included; exact ones decide."""
+    """The ``k`` best distinct ids of the candidates for each query. Products by matrix choose all that may be among them, ties included; exact ones decide."""
     queries, found, scores = [], [], []
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     slack = 1e-9 * (np.abs(x).max() * np.abs(q).max() * x.shape[1] + 1e-300)
     for lo in range(0, len(q), 256):
         products = q[lo : lo + 256] @ x.T
         products[q_ids[lo : lo + 256, None] == ids[None]] = -np.inf
-        least = np.partition(products, -k, axis=1)[:, -k] - slack if products.shape[1] > k else np.full(len(products), -np.inf)
+        by_id = products if len(starts) == len(ids) else np.maximum.reduceat(products, starts, axis=1)
+        least = np.partition(by_id, -k, axis=1)[:, -k] - slack if by_id.shape[1] > k else np.full(len(products), -np.inf)
         for i in range(len(products)):
             near = np.flatnonzero((products[i] >= least[i]) & (products[i] > -np.inf))
             exact = exact_products(q[lo + i], x[near])
-            order = np.lexsort((ids[near], -exact))[:k]
+            order = np.lexsort((ids[near], -exact))
+            if len(starts) < len(ids):
+                order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+            order = order[:k]
             queries.append(np.full(len(order), q_ids[lo + i]))
             found.append(ids[near][order])
             scores.append(exact[order])
@@ -105,8 +112,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
 
     def clean(df: DataFrame) -> DataFrame:
-        # ids of equal rows count once in a block; components in double precision
-        return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+        # equal rows count once; components in double precision
+        return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).distinct()
 
     stats = vectors.where(F.coalesce(good, F.lit(False))).groupBy(F.size(v).alias("d")).agg(F.max(norm).alias("hi"), F.min(norm).alias("lo"), F.count("*").alias("n")).collect()
     norms = {r.d: (r.hi, r.hi - r.lo <= EVEN * r.hi, r.n) for r in stats}
@@ -142,7 +149,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
         sizes = rows.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         asked_sizes = asks.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_blocks"))
         cut = F.broadcast(materialize(sizes.join(asked_sizes, cell), "cells"))  # as many rows as cells: tables times twice the length, for each length
-        rows = rows.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("id"), "blocks")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
+        rows = rows.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("id", "x"), "blocks")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
         asks = asks.join(cut, cell).withColumn("q", F.pmod(F.xxhash64("id"), "q_blocks")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         names = [*cell, "b", "q", "asks", "id", "x"]
         both = rows.withColumn("asks", F.lit(0)).select(*names).unionByName(asks.withColumn("asks", F.lit(1)).select(*names))

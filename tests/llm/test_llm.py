@@ -297,3 +297,17 @@ def test_toxicity_thresholds_hold_at_the_share_of_the_table(spark):
     labels = spark.createDataFrame([(k, int(bad)) for k, bad in enumerate(toxic)], "doc_id long, toxic int")
     got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(documents(spark, texts), labels, most=300).collect()}
     assert sum(got[k] for k in got if not toxic[k]) <= 0.05 * 2700 and sum(got[k] for k in got if toxic[k]) >= 100
+
+
+def test_nearest_vectors_with_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    query = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1, (query + rng.normal(0, 0.01, 8)).tolist()) for _ in range(30)] + [(2, (query * 1.1).tolist())] * 30
+    best = collections.defaultdict(lambda: -np.inf)
+    for k, v in rows:
+        best[k] = max(best[k], float(query @ v))
+    expected = sorted((k for k in best if k), key=lambda k: (-best[k], k))[:10]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), k=10, probes=64).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == expected and all(r.score == pytest.approx(best[r.vec_id]) for r in got)

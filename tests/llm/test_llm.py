@@ -311,3 +311,19 @@ def test_nearest_vectors_with_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(df, df.where("vec_id = 0"), k=10, probes=64).orderBy("rank").collect()
     assert [r.vec_id for r in got] == expected and all(r.score == pytest.approx(best[r.vec_id]) for r in got)
+
+
+def test_near_anchors_chain_after_a_long_match():
+    found = np.array([[0, 0, 500], [620, 621, 5], [640, 642, 5]])
+    assert sorted(map(sorted, substrings.chains(found))) == [[0], [1, 2]]
+
+
+def test_passage_that_stands_twice(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 60, "p")
+    texts = [sentence(rng, 30, "q") + " " + passage, sentence(rng, 20, "r") + " " + passage + " " + sentence(rng, 100, "s") + " " + passage, "ab cd " * 100, sentence(rng, 10, "t") + " ab cd" * 80]
+    docs = documents(spark, texts)
+    for df in (docs.coalesce(1), docs.repartition(4, "doc_id")):
+        got = {(r.doc_id, r.start, r.n_words, r.other_id) for r in substrings.shared_passages(df).collect()}
+        assert {(1, 20, 60, 0), (1, 180, 60, 0)} <= got and {k for k, *_ in got} == {1, 3}
+        assert sum(n for k, _, n, _ in got if k == 3) >= 150

@@ -15,8 +15,8 @@ from .common import give_back, worker_cache
 
 #: Pair keys are left << SHIFT | right.
 SHIFT = 20
-#: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 300_000
+#: Pieces that a worker's cache holds before those not met again are dropped.
+CACHE_PIECES = 200_000
 #: Characters of text that are looked up together.
 BLOCK_CHARS = 4_000_000
 
@@ -180,7 +180,7 @@ def piece_text(piece: str) -> str | None:
 
 
 class TextEncoder:
-    """Whole texts to ids (bytes of little-endian uint32), with a bounded cache of pieces.
+    """Whole texts to ids (bytes of little-endian uint32), with a bounded cache of pieces in two generations.
 
     A text is cut where a single space or line end stands between two other characters: there the pre-token pattern
     always starts a new match, so each piece can be encoded, and kept, by itself. Texts with other white space next
@@ -195,58 +195,77 @@ class TextEncoder:
         self.limit = limit
         self.pieces: dict[str, bytes | None] = {}
         self.pretokens: dict[str, bytes] = {}
-        self.odd = False  # whether a piece with white space at an end is held
+        #: pieces and pretokens of the time before; those that are met again move over
+        self.before: tuple[dict[str, bytes | None], dict[str, bytes]] = ({}, {})
 
-    def _fill(self, found: list[list[str]]) -> None:
+    def _fill(self, found: list[str]) -> None:
         """Add the pretokens that aren't there yet, encoded together."""
-        new = list({p for group in found for p in group if p not in self.pretokens})
-        if new:
-            for p, ids in zip(new, self.encode_pretokens(new), strict=True):
+        new, pieces, before = [], self.pieces, self.before[1]
+        for p in set(found).difference(self.pretokens):
+            ids = pieces.get(p[1:]) if p[0] == " " and p[1:].isalpha() else None
+            ids = before.get(p) if ids is None else ids
+            if ids is None:
+                new.append(p)
+            else:
                 self.pretokens[p] = ids
+        self.pretokens.update(zip(new, self.encode_pretokens(new), strict=True))
+
+    def _add(self, missing: set[str]) -> None:
+        """Add pieces. A word of letters alone is one pretoken; the others are matched in one text, where a pretoken that begins with a space begins a piece."""
+        pieces, findall = self.pieces, self.pattern.findall
+        words = [p for p in missing if p.isalpha()]
+        pieces.update(zip(words, self.encode_pretokens([" " + p for p in words]), strict=True))
+        spaced, found = [], []
+        for p in missing.difference(words):
+            body = piece_text(p)
+            if body is None:
+                pieces[p] = None
+            elif p and body[:1] == " ":
+                spaced.append(p)
+            else:
+                found.append((p, findall(body)))
+        all_ = findall(" " + " ".join(spaced)) if spaced else []
+        starts = [k for k, p in enumerate(all_) if p[0] == " "]
+        if len(starts) == len(spaced):
+            found += [(p, all_[a:b]) for p, a, b in zip(spaced, starts, [*starts[1:], len(all_)], strict=False)]
+        else:
+            found += [(p, findall(" " + p)) for p in spaced]
+        self._fill([x for _, own in found for x in own])
+        get = self.pretokens.__getitem__
+        for p, own in found:
+            pieces[p] = b"".join(map(get, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) + len(self.pretokens) > self.limit:
-            self.pieces, self.pretokens, self.odd = {}, {}, False
+            self.before, self.pieces, self.pretokens = (self.pieces, self.pretokens), {}, {}
         pieces, findall = self.pieces, self.pattern.findall
         cut: list[list[str] | None] = []
         missing: set[str] = set()
         for text in texts:
             cut.append(own := cut_text(text))
             if own is not None:
-                missing.update(own)
-        missing.difference_update(pieces.keys())
-        good, found = [], []
-        for p in missing:
-            if p.isalpha():
-                good.append(p)
-                found.append([" " + p])
-                continue
-            body = piece_text(p)
-            if body is None:
-                pieces[p] = None
-                self.odd = True
-            else:
-                good.append(p)
-                found.append(findall(body))
-        self._fill(found)
-        pretokens = self.pretokens
-        for p, own in zip(good, found, strict=True):
-            pieces[p] = b"".join([pretokens[x] for x in own])
+                missing |= set(own).difference(pieces)
+        again = missing.intersection(self.before[0])
+        pieces.update({p: self.before[0][p] for p in again})
+        self._add(missing.difference(again))
         out: list[bytes | None] = []
         slow: list[int] = []
         get = pieces.__getitem__
         for k, own in enumerate(cut):
             if own is not None:
-                if not self.odd or None not in map(get, own):
+                try:
                     out.append(b"".join(map(get, own)))
                     continue
+                except TypeError:  # a piece whose white space joins its neighbour's
+                    pass
             out.append(None)
             slow.append(k)
         if slow:
             found = [findall(texts[k]) for k in slow]
-            self._fill(found)
+            self._fill([x for own in found for x in own])
+            get = self.pretokens.__getitem__
             for k, own in zip(slow, found, strict=True):
-                out[k] = b"".join([pretokens[x] for x in own])
+                out[k] = b"".join(map(get, own))
         return out
 
 

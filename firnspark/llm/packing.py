@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -12,72 +12,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_PIECES, blocks, cut_text, piece_text
+from .bpe import TextEncoder, blocks
 from .common import materialize, worker_cache
 
 PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-class _PieceIds(dict):
-    """Ids (little-endian uint32) by piece, made by the ``tokenizers`` model when first asked for."""
+class TokenizerIds:
+    """Ids of whole texts by a ``tokenizers`` file: pre-tokens go to its model, and a text that holds one of the file's
+    added tokens goes to the library whole, which gives such a string its id wherever it stands."""
 
-    def __init__(self, tokenizer, pattern: str):
-        import regex
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenize = tokenizer.model.tokenize
-        self.findall = regex.compile(pattern).findall
-        self.pretokens: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in set(plain))
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(others)}
-        self.space = self.alphabet[32]
-
-    def made(self, p: str) -> bytes:
-        shown = p.replace(" ", self.space) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.tokenize(shown)]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def pretoken(self, p: str) -> bytes:
-        got = self.pretokens.get(p)
-        if got is None:
-            got = self.pretokens[p] = self.made(p)
-        return got
-
-    def whole(self, text: str) -> bytes:
-        return b"".join([self.pretoken(p) for p in self.findall(text)])
-
-    def __missing__(self, piece: str) -> bytes | None:
-        body = piece_text(piece)
-        got = self[piece] = None if body is None else self.made(body) if piece.isalpha() else self.whole(body)
-        return got
-
-    def encode(self, text: str) -> bytes:
-        pieces = cut_text(text)
-        if pieces is not None:
-            try:
-                return b"".join(map(self.__getitem__, pieces))
-            except TypeError:  # a piece whose white space joins its neighbour's
-                pass
-        return self.whole(text)
-
-
-def tokenizer_ids(path: str, pattern: str) -> Callable[[str], bytes]:
-    """Encoder of one worker process: the vocabulary and merges of the ``tokenizers`` file at ``path``, with no special
-    tokens added and their strings taken as ordinary text."""
-
-    def make() -> _PieceIds:
-        from tokenizers import Tokenizer
+        self.texts = TextEncoder(pattern, self.pretokens)
+
+    def shown(self, text: str) -> str:
+        return text.encode("utf-8").decode("latin-1").translate(self.alphabet)
+
+    def pretokens(self, new: list[str]) -> list[bytes]:
+        tokenize, space = self.tokenize, self.alphabet[32]
+        shown = [p.replace(" ", space) if p.isascii() and p.isprintable() else self.shown(p) for p in new]
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in shown]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        out = self.texts.encode(["" if k in set(whole) else t for k, t in enumerate(texts)] if whole else texts)
+        for k in whole:
+            out[k] = array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes()
+        return out
 
-        return _PieceIds(Tokenizer.from_file(path), pattern)
 
-    key = ("tokenizer", path, pattern)
-    held = worker_cache(key, make, collect=False)  # nothing here is cyclic; walks over the large caches cost more than the work
-    if len(held) + len(held.pretokens) > CACHE_PIECES:
-        held.clear()
-        held.pretokens.clear()
-    return held.encode
+def tokenizer_ids(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """Encoder (texts to little-endian uint32 ids) of one worker process, with no special tokens added to a text."""
+    # nothing here is cyclic; walks over the large caches cost more than the work
+    return worker_cache(("tokenizer", path, pattern), lambda: TokenizerIds(path, pattern), collect=False).encode
 
 
 class CapacityTree:
@@ -153,7 +129,7 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
     return rows, bins
 
 
-def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each piece of a document, with its number among those of the same length in its task (``part``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +138,9 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
         for batch in batches:
             keys, rows, k = [], [], -1
             for block in blocks(batch.column(1)):
-                encode = encoder()
-                for text in block:
+                for ids in encoder()(block):
                     k += 1
-                    ids = encode(text) + end
+                    ids += end
                     total, start, piece = len(ids) // 4, 0, 0
                     while start < total:
                         length = (total - start) % capacity or capacity
@@ -184,7 +159,8 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
 def pack_best_fit(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
-    A document is its ids and then ``end_id``; a null text counts as empty, so it has the one token. Only documents
+    A document is its ids, as the ``tokenizers`` library gives them without adding special tokens (strings of the file's added
+    tokens become their ids), and then ``end_id``; a null text counts as empty, so it has the one token. Only documents
     longer than ``capacity`` are cut, the first piece being the one that may be shorter. Columns: ``id_col``, ``piece``,
     ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``. Repeated rows are packed as often as they come;
     an empty table gives no rows; other columns are not read.

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -131,6 +132,32 @@ def test_packing(spark):
     assert len(bins) == -(-sum(r.length for r in got) // 2048)
 
 
+def test_packed_ids_are_those_of_the_tokenizers_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    coder, rng = tokenizers.Tokenizer.from_file(queries.TOKENIZER), random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext", " ", "\n", "  ", "a", "é", "\0", "\u3000", "\x1c", "word", "'s", "1", "漢", "\t", ".", "½", "\x85", " other,words"]
+    texts = [None, "", "end <|endoftext|> of", "<|endoftext|>" * 3000, *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(300)), "x " * 5000]
+    docs = documents(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    got = collections.defaultdict(list)
+    for r in packing.pack_best_fit(docs, queries.TOKENIZER, P.PATTERN).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for k, t in [*enumerate(texts), (None, texts[5])]:
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        starts = [0, *range(first, len(ids), 2048)]
+        want = [(i, s, e - s, zlib.crc32(ids[s:e].tobytes())) for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))]
+        assert sorted(got[k]) == sorted(want * (2 if k == 2 else 1))
+
+
+def test_encoder_keeps_pieces_that_are_met_again():
+    coder = packing.TokenizerIds(queries.TOKENIZER, P.PATTERN)
+    texts = [f"alpha beta, {k} gamma\nx{k}y" for k in range(60)]
+    whole = coder.encode(texts)
+    coder.texts.limit = 10
+    assert [x for t in texts for x in coder.encode([t])] == whole
+
+
 def test_best_fit_plan_packs_each_piece_once():
     rng = random.Random(2)
     histogram = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 101), 40)}

@@ -58,6 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what finished plans have left on the driver: Python's handles, the plans and broadcasts behind them, whose shuffle
+    files go with them, and the memory. Spark does the same, but only each half hour."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    give_back()
+
+
 _HELD: dict[object, object] = {}
 
 

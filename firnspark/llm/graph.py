@@ -32,17 +32,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[root[own]]), pa.array(ids[own])], names=["a", "b"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each ``b`` has one ``a`` and none is an ``a`` itself."""
+    ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("a").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) for each id of ``edges`` (``a``, ``b``, both long).
 
-    Large-star and small-star steps alternate until nothing changes; each is one aggregation and one join, so no
-    component has to fit into a task, and a hub's rows are summed up before they move. Edges are first reduced to
-    forests batch by batch. Nulls and loops take no part.
+    Large-star and small-star steps alternate until all that is left are stars around the smallest ids; each is one
+    aggregation and one join, so no component has to fit into a task, and a hub's rows are summed up before they
+    move. Edges are first reduced to forests batch by batch. Nulls and loops take no part.
     """
     edges = edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct()
-    edges = materialize(edges.select("a", "b"), "edges")
-    last = None
-    while True:
+    edges = materialize(edges, "edges")
+    while not _stars(edges):
         # large star: neighbours above a node join the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -51,9 +56,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select(F.col("low").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
         edges = materialize(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == last:
-            break
-        last = now
     nodes = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return nodes.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

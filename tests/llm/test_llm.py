@@ -62,15 +62,80 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == {k: (len(sets[k]), root(k), root(k) == k) for k in sets}
 
 
+def brute_force_components(texts, size=2):
+    """Component by place, by all pairs of full sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        n = min(size, len(w))
+        sets.append(frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if n else frozenset())
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for j, k in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[j] & sets[k])
+        if both and 100 * both >= 80 * (len(sets[j]) + len(sets[k]) - both):
+            x, y = sorted((root(j), root(k)))
+            parent[y] = x
+    return [root(k) for k in range(len(sets))]
+
+
+def test_single_links_into_a_crowd(spark):
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(500)]
+    texts = []
+    for _ in range(60):
+        w = base.copy()
+        for at in rng.sample(range(500), 5):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    for k in range(600):  # one stretch is changed so that it is just near enough to one of the copies, or to few
+        w = texts[k % 60].copy()
+        at, n = rng.randrange(380), rng.choice((52, 53, 54, 55, 58))
+        w[at : at + n] = [f"y{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    want = brute_force_components(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), size=2).collect()}
+    assert len(set(want)) > 20 and [got[k] for k in range(len(texts))] == want
+
+
+def test_regions_that_lie_across_tasks(spark):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 16, minhash.MINIMA).astype("<u2").tobytes()
+    for n, parts in ((40, 30), (20, 3), (400, 50)):
+        reps = spark.createDataFrame([(k, bytearray(sig)) for k in range(n)], "id long, sig binary")
+        pairs, crowded = minhash.candidate_pairs(reps, parts)
+        inside = collections.defaultdict(set)
+        for r in crowded.collect():
+            inside[r.b].add(r.a)
+        found = {(r.a, r.b) for r in pairs.collect()}
+        met = found | {p for own in inside.values() for p in itertools.combinations(sorted(own), 2)}
+        assert met == set(itertools.combinations(range(n), 2))
+
+
 def test_crowded_region_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "ACROSS", (3, 5))
+    monkeypatch.setattr(minhash, "ACROSS", (2400, 4000))
     full = {k: np.sort(np.arange(100, dtype=np.uint64) + np.uint64(k * 10)) for k in range(12)}
-    sets = spark.createDataFrame([(k, bytearray(v.astype("<u8").tobytes())) for k, v in full.items()], "id long, full binary")
+    sets = spark.createDataFrame([(k, bytearray(128), bytearray(v.astype("<u8").tobytes())) for k, v in full.items()], "id long, sig binary, full binary")
     rows = spark.createDataFrame([(1, k, k) for k in full], "g long, id long, component long")
     got = {(r.a, r.b) for r in minhash._across(rows, rows, sets, 80).collect()}
     assert got == {(k, k + 1) for k in range(11)}
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    one, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, one), (1, one), (2, other), (2, one + " end"), (None, one), (3, other), (4, None), (5, " ".join(f"v{k}" for k in range(200_000)))]
+    docs = spark.createDataFrame([(k, t, 1, b"x") for k, t in rows], "doc_id long, text string, component_id int, sig binary")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, size=2).collect())
+    assert got == {(1, 1, True): 2, (2, 1, False): 2, (None, None, True): 1, (3, 1, False): 1, (4, 4, True): 1, (5, 5, True): 1}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

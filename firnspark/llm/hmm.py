@@ -204,18 +204,18 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list:
-    """At most ``most`` of the most frequent words, by a cut at an eighth of a power of two of the count: a histogram of counts shows where, so no task sends words that aren't wanted."""
+    """The most frequent words, about ``most`` and no more: a histogram of counts by eighths of powers of two shows where the cut is, and of the
+    class in which it falls a hash chooses, so no task sends many words that aren't wanted."""
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(((r.s, r.c) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    cut, total = None, 0
+    taken, wanted = 0, F.lit(False)
     for s, c in sizes:
-        total += c
-        if total > most:
+        part = min(1.0, (most - taken) / c)
+        wanted = wanted | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30))))
+        taken += c
+        if taken >= most:
             break
-        cut = s
-    if cut is None:
-        return []
-    return sorted(counts.where(step >= cut).collect(), key=lambda r: (-r.n, bytes(r.word)))
+    return sorted(counts.where(wanted).collect(), key=lambda r: (-r.n, bytes(r.word)))[:most]
 
 
 class Coder:
@@ -243,14 +243,14 @@ class Coder:
         return np.array(found, np.int64), rare
 
 
-def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, divisor: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, longest: int = 2000, divisor: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
     (log10 by add-one counts of single tokens) and ``score`` (log10 by the hidden Markov model).
 
     Learns from rows whose crc32 of the id as text leaves another remainder by ``divisor`` than ``held_out``. Tokens are words
     (A-Z in lower case, ending at ASCII white space) and one end; null texts count as empty. All training tokens are
-    counted; ``passes`` Baum-Welch passes go over all of them, starting from a model of ``start_docs`` texts of a hash's choice,
-    of 500 tokens' mean length at most, which only sets where the passes begin. Tasks know the ``KNOWN`` most frequent
+    counted; ``passes`` Baum-Welch passes go over all of them, starting from a model of about ``start_docs`` texts of a hash's choice
+    among those of ``longest`` tokens at most, which only sets where the passes begin. Tasks know the ``KNOWN`` most frequent
     words; counts of the others are joined by a 64-bit hash, and none of them is frequent enough to pile up. A row without an id is in training. Repeated rows count as often;
     an empty table gives no rows; other columns are not read.
     """
@@ -303,12 +303,11 @@ def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, divisor
     coded = materialize(base.select(key, "text", "held_out").mapInArrow(encode, f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, log double, log_in_class double, classes binary, rare array<long>"), "coded")
 
     train = coded.where("not held_out").select("classes")
-    begin = coded.where("not held_out").orderBy(F.xxhash64("id"), "row").limit(start_docs).select("classes", "row").collect()
-    budget, texts = 500 * start_docs, []
-    for r in sorted(begin, key=lambda r: len(r.classes)):
-        budget -= len(r.classes) // 2
-        if budget >= 0 or not texts:
-            texts.append(np.frombuffer(bytes(r.classes), "<u2").astype(np.int64))
+    # a hash below a bound set by the number of rows, so a task sends few rows however many there are
+    fit = coded.where(~F.col("held_out") & (F.col("n_tokens") <= longest))
+    bound = int(min(1.0, start_docs / max(1, fit.count())) * (1 << 30))
+    begin = fit.where(F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) < bound).select("row", "classes").collect()
+    texts = [np.frombuffer(bytes(r.classes), "<u2").astype(np.int64) for r in sorted(begin, key=lambda r: r.row)]
     model = started(texts, share)
     for _ in range(passes if texts else 0):
         shared = spark.sparkContext.broadcast(model)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_name, worker_cache
+from .common import free_name, give_back, worker_cache
 from .words import text_blocks
 
 #: Bytes of a window, filter widths, filters of each width, and windows that are convolved together.
@@ -20,7 +20,6 @@ WINDOW, WIDTHS, FILTERS, CHUNK = 256, (2, 3, 4), 12, 256
 #: Share of the right predictions of held-out documents that may fall below the least score of a known language.
 LOST = 0.005
 
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -87,11 +86,18 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
     return model
 
 
+def letter_search():
+    """Finds a letter (Unicode category L) in a text."""
+    import regex
+
+    return regex.compile(r"\p{L}").search
+
+
 class Predictor:
     """Probabilities of whole texts in a worker. Filters of two bytes and more become tables of byte pairs."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.letter = model, letter_search()
         pair = lambda f: (f[0][:, None] + f[1][None, :]).reshape(65536, FILTERS)
         two, three, four = model.filters
         self.first = [pair(two), pair(three), pair(four)]
@@ -118,58 +124,65 @@ class Predictor:
         own = [windows(t) for t in texts]
         starts = np.cumsum([0, *map(len, own[:-1])])
         mean = np.add.reduceat(self.windows(np.concatenate(own)).astype(float), starts, axis=0) / np.array([len(x) for x in own])[:, None]
-        letters = np.array([bool(LETTER.search(t.decode())) for t in texts])
+        letters = np.array([self.letter(t.decode()) is not None for t in texts])
         names = [self.model.languages[k] if ok else "und" for k, ok in zip(mean.argmax(axis=1).tolist(), letters, strict=True)]
         return names, np.where(letters, np.clip(mean.max(axis=1), 0, 1), 0.0)
 
 
-def training_windows(docs: DataFrame, most: int, held_out: int, most_languages: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of about ``most`` documents of each language that aren't held out, in the order of a hash: up to eight of each text, evenly spread."""
+def _sampled(known: DataFrame, most: int, id_col: str, lang: str) -> DataFrame:
+    """About ``most`` rows at most of each language in ``known``: those whose hash is below a bound, set by how many there are."""
+    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    bounds = F.broadcast(counts.select("l", (F.least(F.lit(1.0), F.lit(float(most)) / F.col("n")) * (1 << 30)).cast("long").alias("bound")))  # a row for each language
+    return known.join(bounds, known[lang] == F.col("l")).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("bound")).drop("l", "bound")
+
+
+def training_windows(docs: DataFrame, most: int, each: int, held_out: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows of about ``most`` documents of each language that aren't held out: all of a text's, or ``each`` of them, evenly spread, if it has more."""
     key = F.col(id_col)
-    known = docs.where(F.col(lang_col).isNotNull() & key.isNotNull() & (F.pmod(F.crc32(key.cast("string")), F.lit(4)) != held_out))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()}
-    if not counts:
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.try_element_at(share, F.col(lang_col)) * (1 << 20))
+    known = docs.where(F.col(lang_col).isNotNull() & key.isNotNull() & (F.pmod(F.crc32(key.cast("string")), F.lit(4)) != held_out)).select(key, F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = _sampled(known, most, id_col, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("langid", dict)  # other operators' caches go
+        letter = letter_search()
         for batch in batches:
             out = []
             for k, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text is not None and LETTER.search(text):
+                if text is not None and letter(text):
                     rows = windows(text.encode())
-                    rows = rows[np.unique(np.linspace(0, len(rows) - 1, 8).astype(int))]
+                    rows = rows[np.unique(np.linspace(0, len(rows) - 1, min(each, len(rows))).astype(int))]
                     out.append((k, lang, rows.tobytes()))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["k", "lang", "rows"])
 
-    got = chosen.select(F.xxhash64(id_col), lang_col, text_col).mapInArrow(run, "k long, lang string, rows binary").collect()
+    got = chosen.select(F.xxhash64(id_col), "lang", "text").mapInArrow(run, "k long, lang string, rows binary").collect()
     got = sorted(got, key=lambda r: (r.k, r.lang, r.rows))
     names = sorted({r.lang for r in got})
     rows = [np.frombuffer(r.rows, np.uint8).reshape(-1, WINDOW) for r in got]
     if not rows:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
-    return np.concatenate(rows), np.repeat([names.index(r.lang) for r in got], [len(x) for x in rows]), names
+    number = {name: k for k, name in enumerate(names)}
+    return np.concatenate(rows), np.repeat([number[r.lang] for r in got], [len(x) for x in rows]), names
 
 
-def languages(docs: DataFrame, most: int = 1500, held_out: int = 2, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def languages(docs: DataFrame, most: int = 1500, each: int = 8, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text: ``id_col``, ``held_out``, ``lang_pred``, ``score`` (mean probability over the text's windows).
 
-    Learns from text and language of about ``most`` documents of each of the ``most_languages`` most frequent
-    languages, of those whose crc32 of the id as text leaves another remainder by 4 than ``held_out``; the model has a fixed
-    size. A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Repeated
-    rows come back as often, an empty table gives no rows, a null id is not held out; other columns are not read.
+    Learns from text and language of a sample: about ``most`` documents at most of every language, and up to ``each`` windows of a document, of those
+    whose crc32 of the id as text leaves another remainder by 4 than ``held_out``. A text that is null or has no letter is ``und`` with
+    score 0, as is every text if there is nothing to learn from. Repeated rows come back as often, an empty table gives no rows, a null id is
+    not held out; other columns are not read.
     """
-    out = _predicted(docs.select(id_col, text_col), _learned(docs, most, held_out, most_languages, id_col, text_col, lang_col), text_col, ("lang_pred", "score"))
+    out = _predicted(docs.select(id_col, text_col), _learned(docs, most, each, held_out, id_col, text_col, lang_col), text_col, ("lang_pred", "score"))
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held_out, F.lit(False))
     return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
 
 
-def _learned(docs: DataFrame, most: int, held_out: int, most_languages: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
-    windows_, labels, known = training_windows(docs, most, held_out, most_languages, id_col, text_col, lang_col)
-    return train(windows_, labels, known) if known else None
+def _learned(docs: DataFrame, most: int, each: int, held_out: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
+    windows_, labels, known = training_windows(docs, most, each, held_out, id_col, text_col, lang_col)
+    model = train(windows_, labels, known) if known else None
+    give_back()
+    return model
 
 
 def least_score(docs: DataFrame, model: Model, most: int, held_out: int, id_col: str, text_col: str, lang_col: str) -> float:
@@ -177,13 +190,9 @@ def least_score(docs: DataFrame, model: Model, most: int, held_out: int, id_col:
     a quarter of the way from that of a guess to 1 at least."""
     key, lang = F.col(id_col), F.col(lang_col)
     held = docs.where(lang.isin(model.languages) & key.isNotNull() & (F.pmod(F.crc32(key.cast("string")), F.lit(4)) == held_out)).select(id_col, text_col, lang.alias("lang"))
-    counts = {r[0]: r[1] for r in held.groupBy("lang").count().collect()}
     guess = 1 / len(model.languages)
     floor = guess + (1 - guess) / 4
-    if not counts:
-        return floor
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
-    chosen = held.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    chosen = _sampled(held, most, id_col, "lang")
     right = _predicted(chosen, model, text_col, ("pred", "score")).where("pred = lang").select("score").collect()
     return max(floor, float(np.quantile([r[0] for r in right], LOST, method="lower"))) if right else floor
 
@@ -191,11 +200,12 @@ def least_score(docs: DataFrame, model: Model, most: int, held_out: int, id_col:
 def _predicted(rows: DataFrame, model: Model | None, text_col: str, new: tuple[str, str]) -> DataFrame:
     """``rows`` with columns ``new`` for language and score."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    at, names = rows.columns.index(text_col), [*rows.columns, *new]
+    at, names, shared_id = rows.columns.index(text_col), [*rows.columns, *new], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("langid", dict)  # other operators' caches go
-        predict = Predictor(shared.value) if shared.value is not None else lambda texts: (["und"] * len(texts), np.zeros(len(texts)))
+        model = shared.value
+        # a worker keeps the tables from task to task
+        predict = worker_cache(("langid", shared_id), lambda: Predictor(model)) if model is not None else lambda texts: (["und"] * len(texts), np.zeros(len(texts)))
         for batch in batches:
             for first, texts in text_blocks(batch.column(at), 2_000_000):
                 found, score = predict(texts)
@@ -204,10 +214,11 @@ def _predicted(rows: DataFrame, model: Model | None, text_col: str, new: tuple[s
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(new[0], StringType()), StructField(new[1], DoubleType())]))
 
 
-def in_known_language(docs: DataFrame, least: float | None = None, most: int = 1500, held_out: int = 2, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def in_known_language(docs: DataFrame, least: float | None = None, most: int = 1500, each: int = 8, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs``, all columns, without the rows to which ``languages`` gives ``und`` or a score below ``least``, or below ``least_score`` if that is
-    not given. Rows are judged where they are read; none moves. Where there is nothing to learn from all rows with a letter stay."""
-    model = _learned(docs, most, held_out, most_languages, id_col, text_col, lang_col)
+    not given. Rows are judged where they are read; none moves. Null and letterless texts go; a null id or language is no reason to; repeated rows go
+    or stay together. Where there is nothing to learn from all rows with a letter stay."""
+    model = _learned(docs, most, each, held_out, id_col, text_col, lang_col)
     if model is None:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if least is None:

@@ -284,6 +284,49 @@ def test_hidden_markov_scores(spark):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_frequent_words_of_one_count(spark):
+    counts = spark.createDataFrame([(bytearray(f"w{k}".encode()), 3) for k in range(5000)] + [(bytearray(b"top"), 90)], "word binary, n long")
+    got = hmm.frequent(counts, 1000)
+    assert bytes(got[0].word) == b"top" and 800 <= len(got) <= 1000 and len({bytes(r.word) for r in got}) == len(got)
+    assert len(hmm.frequent(counts, 5001)) == 5001
+
+
+def test_hidden_markov_scores_against_the_plain_recursion(spark):
+    """``score`` again from the model that the query ends with: states emit classes, a class's words share by count."""
+    rng = random.Random(13)
+    texts = [sentence(rng, 50, s, 40) for s in "ab" * 40] + ["zz yy", None, "unseen words"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[1]), (None, texts[2])]
+    docs = spark.createDataFrame([(k, t, 1.0) for k, t in rows], "doc_id long, text string, score double")
+    held, model_of = {}, hmm.re_estimated
+
+    def kept(*x):
+        held["model"] = model_of(*x)
+        return held["model"]
+
+    hmm.re_estimated = kept
+    try:
+        got = hmm.hmm_scores(docs).collect()
+    finally:
+        hmm.re_estimated = model_of
+    assert len(got) == len(rows) and sum(r.doc_id is None and not r.held_out for r in got) == 1
+    count = collections.Counter(w for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2 for w in (t or "").encode().lower().split())
+    known = sorted(count, key=lambda w: (-count[w], w))
+    place = {w: k + 1 for k, w in enumerate(known)}
+    size = np.zeros(hmm.FORMS)
+    model = held["model"]
+    for r in got:
+        tokens = [*next((t or "").encode().lower().split() for k, t in rows if k == r.doc_id), b""]
+        v, log = None, 0.0
+        for w in tokens:
+            c = 0 if w == b"" else place.get(w, hmm.form(w))
+            v = (model.start if v is None else v @ model.move) * model.emit[c]
+            log += np.log(v.sum())
+            v = v / v.sum()
+            if c > hmm.OWN:  # no word of this form is known: the one that is kept for words never seen
+                log -= np.log(size[c - 1 - hmm.OWN] + 1)
+        assert r.score == pytest.approx(log / np.log(10), rel=1e-6)
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
@@ -317,6 +360,27 @@ def test_language(spark):
     assert kept.columns == documents(spark, []).columns and {120, 121, 122}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_languages_are_many_and_numerals_no_letters(spark):
+    rng = random.Random(15)
+    names = [f"l{k:02d}" for k in range(70)]
+    pools = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 7))) for _ in range(4)] for n in names}
+    texts = [" ".join(rng.choice(pools[names[k % 70]]) for _ in range(120)) for k in range(70 * 30)] + ["½", "² ³ Ⅷ", "٣", "ª", " ".join(pools["l05"] * 30_000)]
+    got = {r.doc_id: r for r in langid.languages(documents(spark, texts, {k: names[k % 70] for k in range(2100)})).collect()}
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (2100, 2101, 2102)) and got[2103].lang_pred != "und"
+    assert len({r.lang_pred for r in got.values()}) > 64
+    held = [k for k in range(2100) if got[k].held_out]
+    assert sum(got[k].lang_pred == names[k % 70] for k in held) >= 0.8 * len(held)
+
+
+def test_language_with_repeated_and_null_ids(spark):
+    text = {"xx": "the of and that with thing wh " * 9, "yy": "der und schein pfl zu üb ver " * 9}
+    rows = [(k, text[("xx", "yy")[k % 2]], ("xx", "yy")[k % 2], 1) for k in range(60)] + [(None, text["xx"], "xx", 1), (7, text["yy"], "yy", 1), (None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")
+    got = collections.Counter((r.doc_id, r.held_out, r.lang_pred) for r in langid.languages(docs).collect())
+    assert got[None, False, "xx"] == 1 and got[None, False, "und"] == 1 and sum(n for (k, _, lang), n in got.items() if k == 7 and lang == "yy") == 2 and sum(got.values()) == 63
+    assert langid.in_known_language(docs).columns == docs.columns
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts = [sentence(rng, 60) + (" " + rng.choice(["badword", "awful"]) + " " + sentence(rng, 20) if k % 4 == 0 else "") for k in range(400)] + [None, ""]
@@ -329,6 +393,31 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs, labels.limit(0)).where("score > 0").count() == 0
 
 
+def test_toxicity_by_language_with_repeated_and_null_ids(spark):
+    rng = random.Random(16)
+    pools = {"xx": [f"a{k}" for k in range(50)], "yy": [f"b{k}" for k in range(50)]}
+    # what is toxic in one language is common in the other
+    bad = {"xx": "slur", "yy": "schimpf"}
+    rows = []
+    for k in range(1200):
+        lang = ("xx", "yy")[k % 2]
+        toxic = k % 8 < 2
+        words = [rng.choice(pools[lang]) for _ in range(30)] + ([bad[lang]] if toxic else [])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), lang, int(toxic)))
+    extra = [(None, rows[0][1], "xx", 1), (8, rows[8][1], "xx", 1), (2000, "a1 " * 300_000, None, None), (2001, None, None, None)]
+    docs = spark.createDataFrame([(*r[:3], 0.5) for r in [*rows, *extra]], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(8, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels, longest=100).collect()
+    assert len(got) == 1204 and len({round(r.score, 3) for r in got if r.doc_id == 8}) == 1
+    found = {r.doc_id: r.predicted for r in got}
+    assert sum(found[r[0]] == r[3] for r in rows) >= 0.95 * 1200
+    assert toxicity.without_toxic(docs, labels, longest=100).columns == docs.columns
+    votes = toxicity.language_votes([toxicity.token_rows(r[1]) for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows]))
+    index, starts = toxicity._padded([toxicity.token_rows(t) for t in ("a1 a2", "b3", "")])
+    assert toxicity.groups(votes, index, starts).tolist() == [1, 2, 0]
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, toxic int")

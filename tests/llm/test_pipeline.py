@@ -5,10 +5,17 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from firnspark.llm import toxicity
 from tests.llm.test_llm import SCHEMA, sentence
 
 
+POOLS = {
+    "en": "the of and to in that is was for on with as it by at this from are be or an not have".split(),
+    "de": "der die und das ist nicht ein eine zu den von mit im für auf des sich dem auch es".split(),
+    "fr": "le la les de des et un une du en est que qui dans pour par sur pas au ce".split(),
+    "es": "el los las de y que en un una por con para se del es al lo como su no".split(),
+}
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(8)
     passage = sentence(rng, 60, "p")
@@ -37,7 +44,7 @@ def test_stages(spark, tmp_path):
 
 def test_language_stage_rejects_unknown_languages(spark, tmp_path):
     rng = random.Random(3)
-    texts = {k: (" ".join(rng.choice(own) for _ in range(120)), name) for k, (name, own) in enumerate(list(toxicity.LANGUAGE_WORDS.items()) * 100)}
+    texts = {k: (" ".join(rng.choice(own) for _ in range(120)), name) for k, (name, own) in enumerate(list(POOLS.items()) * 100)}
     foreign = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. "
     letters = "bcdfghjklmnpqrstvwxz"
     planted = {1000: foreign * 8, 1001: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 10))) for _ in range(120))}

@@ -215,7 +215,7 @@ def boxes_touching(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, size: float) -> DataFrame:
-    """The nearest places (``qx``, ``qy``, ``place``) of each point, with ``distance``; equally near ones give several rows.
+    """The nearest places (``qx``, ``qy``, ``place``) of each point, with ``distance``; equally near ones give several rows, a point without coordinates none.
 
     Rings of squares are searched: a point that finds a place within its ring's reach is done, the others go on with a ring
     twice as wide, so no step compares all with all.
@@ -225,7 +225,7 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, size: float) -
     if None in span:
         return points.limit(0).select("*", F.lit(None).cast(places.schema["place"].dataType).alias("place"), F.lit(None).cast("double").alias("distance"))
     limit = 4 * max(1.0, *span)
-    left = points
+    left = points.where("px is not null and py is not null")
     while True:
         q = places.withColumns({"__gx": F.floor(F.col("qx") / size).cast("long"), "__gy": F.floor(F.col("qy") / size).cast("long")})
         p = left.withColumn("__g", F.explode(_squares(F.col("px") - size, F.col("px") + size, F.col("py") - size, F.col("py") + size, size)))
@@ -233,7 +233,7 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, size: float) -
         near = near.where(F.col("distance") <= size)
         best = near.groupBy(key).agg(F.min("distance").alias("__best"))
         found.append(near.join(best, key).where(F.col("distance") == F.col("__best")).select(*points.columns, "place", "distance"))
-        left = left.join(best, key, "left_anti")
+        left = left.join(best, key, "left_anti").persist()  # so a ring's plan doesn't hold those before it
         if size > limit or left.isEmpty():
             break
         size *= 4

@@ -18,7 +18,7 @@ def _bilinear(grid: np.ndarray, x: float, y: float) -> float:
 
 
 def trace(u: np.ndarray, v: np.ndarray, x: float, y: float, sign: int, steps: int, step: float = 1.0) -> list[tuple[float, float]]:
-    """Half a flow line: steps along the flow's angle until the grid's edge, no data, or, looked for at every tenth step,
+    """Half a flow line: steps along the flow's angle until past the grid's edge (that point is the last), no data, or, looked for at every tenth step,
     a point within 0.9 steps of an earlier one."""
     out: list[tuple[float, float]] = []
     for k in range(steps):
@@ -27,9 +27,9 @@ def trace(u: np.ndarray, v: np.ndarray, x: float, y: float, sign: int, steps: in
             break
         angle = np.arctan2(b, a)
         x, y = x + sign * step * np.cos(angle), y + sign * step * np.sin(angle)
+        out.append((x, y))
         if not (0 <= x <= u.shape[1] - 1 and 0 <= y <= u.shape[0] - 1):
             break
-        out.append((x, y))
         if k % 10 == 9 and any(np.hypot(x - px, y - py) < 0.9 * step for px, py in out[:-1]):
             break
     return out

@@ -99,6 +99,14 @@ def binned(df: DataFrame, keys: list[str], y: str, t: str, unit: str = "month")
     return df.groupBy(*keys, F.date_trunc(unit, F.col(t)).cast("timestamp_ntz").alias(t)).agg(F.median(y).alias(y))
 
 
+def trend_with_counts(df: DataFrame, keys: list[str], y: str, t: str) -> DataFrame:
+    """Theil-Sen trend of the annual medians: ``keys``, ``slope``, ``intercept``, ``n`` and ``counts``, the rows of each year as text (``year=rows``, by year)."""
+    annual = df.groupBy(*keys, F.year(t).alias("__x")).agg(F.median(y).alias("__y"), F.count("*").alias("__n"))
+    trend = theil_sen(annual, keys, "__y", "__x", per_year=False)
+    counts = annual.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__x", "__n"))).alias("c"))
+    return trend.join(counts.select(*keys, F.concat_ws(",", F.transform("c", lambda p: F.concat(p["__x"].cast("string"), F.lit("="), p["__n"].cast("string")))).alias("counts")), keys)
+
+
 def nmad(df: DataFrame, keys: list[str], value: str, scale: float = NMAD) -> DataFrame:
     """``keys``, ``med``, ``nmad``: median and scaled median absolute deviation."""
     return mad_bounds(df, keys, value).select(*keys, "med", (F.col("mad") * scale).alias("nmad"))
@@ -128,7 +136,7 @@ def piecewise_knots(x: np.ndarray, y: np.ndarray, count: int, rounds: int = 2000
     """Continuous line of ``count`` segments with least mean squared error, by Nelder-Mead on the knots. Returns knots and error."""
     span = float(x.max() - x.min()) or 1.0
     inner = np.linspace(x.min(), x.max(), count + 1)
-    level = np.array([y[np.abs(x - k) <= 0.1 * span].mean() if (np.abs(x - k) <= 0.1 * span).any() else y.mean() for k in inner])
+    level = np.array([y[np.abs(x - k) < 0.1 * span].mean() if (np.abs(x - k) < 0.1 * span).any() else y.mean() for k in inner])
     start = np.concatenate((np.full(count - 1, span / count), level))
 
     def knots(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

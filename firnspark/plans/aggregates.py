@@ -150,10 +150,10 @@ def mean_sd_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, med, row_number() OVER (ORDER BY med DESC, user_id)::INT AS place FROM (SELECT user_id, median(value) AS med FROM events GROUP BY 1)")
 def group_median_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from ..operators.shapes import sorted_places
 
     med = read_table(spark, d, "events").groupBy("user_id").agg(F.median("value").alias("med"))
-    return med.withColumn("place", F.row_number().over(Window.orderBy(F.desc("med"), "user_id")))  # one row for each group
+    return sorted_places(med, -F.col("med"), [F.col("user_id")], "place")
 
 
 @query()

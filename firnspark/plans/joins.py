@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, grid, robust, stats
 from ..operators.numeric import random_points as draw_points
+from ..operators.shapes import sorted_places
 from ..sources.tables import read_table, search_items
 from .registry import query
 from .trends import _YEARS, _theil
@@ -82,12 +83,12 @@ def point_in_box(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH l AS (SELECT label, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM {_POINTS} WHERE vec_id % 10 < 3 GROUP BY label)
-    SELECT label FROM l WHERE EXISTS (SELECT 1 FROM (SELECT 0.25 AS bx0, 0.3 AS bx1, 0.2 AS by0, 0.3 AS by1) WHERE l.x0 <= bx1 AND l.x1 >= bx0 AND l.y0 <= by1 AND l.y1 >= by0)""")
+    WITH l AS (SELECT vec_id, px - 0.05 AS x0, px + 0.05 AS x1, py - 0.05 AS y0, py + 0.05 AS y1 FROM {_POINTS})
+    SELECT vec_id FROM l WHERE EXISTS (SELECT 1 FROM (SELECT 0.25 AS bx0, 0.3 AS bx1, 0.2 AS by0, 0.3 AS by1) WHERE l.x0 <= bx1 AND l.x1 >= bx0 AND l.y0 <= by1 AND l.y1 >= by0)""")
 def bbox_semi(spark: SparkSession, d: str) -> DataFrame:
-    l = grid.envelope(_points(spark, d).where("vec_id % 10 < 3"), ["label"], "px", "py").drop("n")  # noqa: E741
+    l = _points(spark, d).select("vec_id", *[(F.col(c) + s).alias(n) for c, s, n in (("px", -0.05, "x0"), ("px", 0.05, "x1"), ("py", -0.05, "y0"), ("py", 0.05, "y1"))])  # noqa: E741
     box = spark.createDataFrame([(0.25, 0.3, 0.2, 0.3)], "x0 double, x1 double, y0 double, y1 double")
-    return grid.boxes_touching(l, box, 0.1).select("label")
+    return grid.boxes_touching(l, box, 0.1).select("vec_id")
 
 
 @query(f"""
@@ -197,9 +198,9 @@ def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus = 'O'").select("o_custkey").intersect(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
 def except_keys(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "customer").select("c_custkey").subtract(read_table(spark, d, "orders").select("o_custkey"))
+    return read_table(spark, d, "part").select("p_partkey").subtract(read_table(spark, d, "lineitem").where("l_quantity >= 48").select("l_partkey"))
 
 
 @query("SELECT l_suppkey, arg_max(med, year) AS med, max(year) AS year FROM (SELECT l_suppkey, year(l_shipdate)::INT AS year, median(l_extendedprice) AS med FROM lineitem GROUP BY ALL) GROUP BY 1")
@@ -208,12 +209,9 @@ def latest_year(spark: SparkSession, d: str) -> DataFrame:
     return y.groupBy("l_suppkey").agg(F.max_by("med", "year").alias("med"), F.max("year").alias("year"))
 
 
-@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY abs(s_acctbal) DESC, s_suppkey)::INT AS place FROM supplier QUALIFY place <= 20")
+@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY abs(s_acctbal) DESC, s_suppkey)::INT AS place FROM supplier")
 def abs_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = read_table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.abs("s_acctbal").desc(), "s_suppkey").limit(20)  # the report's length
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.abs("s_acctbal").desc(), "s_suppkey")))
+    return sorted_places(read_table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), -F.abs("s_acctbal"), [F.col("s_suppkey")], "place")
 
 
 @query("SELECT vec_id FROM (SELECT vec_id, px - 0.05 AS x0, px + 0.05 AS x1, py - 0.05 AS y0, py + 0.05 AS y1, TIMESTAMP '2024-01-01' + INTERVAL (vec_id % 60) DAY AS time, vec_id % 40 AS cloud_cover FROM " + _POINTS + ") WHERE x0 <= 0.2 AND x1 >= 0 AND y0 <= 0.2 AND y1 >= 0 AND time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-02-10' AND cloud_cover < 20")

@@ -38,20 +38,20 @@ def theil_sen(spark: SparkSession, d: str) -> DataFrame:
     return robust.theil_sen(read_table(spark, d, "events"), ["user_id"], "value", "ts")
 
 
-@query(_theil(f"SELECT l_suppkey, {_YEARS.format(a='min(l_shipdate) OVER (PARTITION BY l_suppkey)', b='l_shipdate')} AS x, l_quantity::DOUBLE AS y FROM lineitem WHERE l_partkey % 10 = 0", "l_suppkey", ci=True))
+@query(_theil(f"SELECT l_partkey, {_YEARS.format(a='min(l_shipdate) OVER (PARTITION BY l_partkey)', b='l_shipdate')} AS x, l_quantity::DOUBLE AS y FROM lineitem", "l_partkey", ci=True))
 def theil_sen_ci(spark: SparkSession, d: str) -> DataFrame:
-    return robust.theil_sen(read_table(spark, d, "lineitem").where("l_partkey % 10 = 0"), ["l_suppkey"], "l_quantity", "l_shipdate", ci=True)
+    return robust.theil_sen(read_table(spark, d, "lineitem"), ["l_partkey"], "l_quantity", "l_shipdate", ci=True)
 
 
-@query(_theil(f"SELECT l_suppkey, {_YEARS.format(a='min(l_shipdate) OVER (PARTITION BY l_suppkey)', b='l_shipdate')} AS x, l_extendedprice::DOUBLE AS y FROM lineitem WHERE l_partkey % 5 = 0", "l_suppkey", ci=True))
+@query(_theil(f"SELECT l_suppkey, {_YEARS.format(a='min(l_shipdate) OVER (PARTITION BY l_suppkey)', b='l_shipdate')} AS x, l_extendedprice::DOUBLE AS y FROM lineitem", "l_suppkey", ci=True))
 def theil_sen_large(spark: SparkSession, d: str) -> DataFrame:
-    return robust.theil_sen(read_table(spark, d, "lineitem").where("l_partkey % 5 = 0"), ["l_suppkey"], "l_extendedprice", "l_shipdate", "numpy", ci=True)
+    return robust.theil_sen(read_table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_shipdate", "numpy", ci=True)
 
 
-@query(_theil("SELECT unnest(range(len(embedding))) AS px, vec_id::DOUBLE AS x, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id < 50", "px"))
+@query(_theil("SELECT unnest(range(len(embedding))) AS px, vec_id::DOUBLE AS x, unnest(embedding)::DOUBLE AS y FROM embeddings", "px"))
 def theil_sen_pixel(spark: SparkSession, d: str) -> DataFrame:
-    cells = grid.cells_of(read_table(spark, d, "embeddings").where("vec_id < 50"), "vec_id", "embedding").withColumnRenamed("x", "px")
-    return robust.theil_sen(cells, ["px"], "z", "y", per_year=False).withColumn("px", F.col("px").cast("long"))
+    cells = grid.cells_of(read_table(spark, d, "embeddings"), "vec_id", "embedding").withColumnRenamed("x", "px")
+    return robust.theil_sen(cells, ["px"], "z", "y", "numpy", per_year=False).withColumn("px", F.col("px").cast("long"))
 
 
 _WINDOW = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'"
@@ -74,6 +74,16 @@ def theil_sen_binned(spark: SparkSession, d: str) -> DataFrame:
     return robust.theil_sen(robust.binned(read_table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_shipdate"), ["l_suppkey"], "l_extendedprice", "l_shipdate")
 
 
+@query(f"""
+    WITH a AS (SELECT l_suppkey, year(l_shipdate) AS x, median(l_extendedprice) AS y, count(*) AS n FROM lineitem GROUP BY ALL),
+    t AS ({_theil("SELECT l_suppkey, x::DOUBLE AS x, y FROM (SELECT l_suppkey, year(l_shipdate) AS x, median(l_extendedprice) AS y FROM lineitem GROUP BY ALL)", "l_suppkey")})
+    SELECT l_suppkey, round(slope, 6) AS slope, round(intercept, 4) AS intercept, counts FROM t JOIN (SELECT l_suppkey, string_agg(x || '=' || n, ',' ORDER BY x) AS counts FROM a GROUP BY 1) USING (l_suppkey)""")
+def trend_year_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The trend of annual medians, and beside it how many rows each year has."""
+    out = robust.trend_with_counts(read_table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_shipdate")
+    return out.select("l_suppkey", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "counts")
+
+
 @query("SELECT event_type, median(value) AS med, round(1.4826 * mad(value), 9) AS nmad FROM events GROUP BY event_type")
 def nmad(spark: SparkSession, d: str) -> DataFrame:
     return robust.nmad(read_table(spark, d, "events"), ["event_type"], "value").withColumn("nmad", F.round("nmad", 9))

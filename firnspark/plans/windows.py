@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..operators.shapes import sorted_places
 from ..sources.tables import read_table
 from .registry import query
 
@@ -68,10 +69,9 @@ def running_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT event_id, ts, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, ts, value FROM events WHERE event_type = 'view')
-    SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::INT AS place FROM s QUALIFY place <= 100""")
+    SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::INT AS place FROM s""")
 def stack_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = read_table(spark, d, "events").select("event_id", "ts", "event_type")
-    s = e.where("event_type = 'click'").unionByName(e.where("event_type = 'view'")).orderBy("ts", "event_id").limit(100)  # the head of the sorted stack
-    return s.select("event_id", F.row_number().over(Window.orderBy("ts", "event_id")).alias("place"))
+    s = e.where("event_type = 'click'").unionByName(e.where("event_type = 'view'"))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return sorted_places(s, micros, [F.col("event_id")], "place").select("event_id", "place")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +11,12 @@ from .tables import exists
 
 def write_once(df: DataFrame, path: str) -> bool:
     """Write unless there is something already; whether it wrote. Spark's commit protocol makes locks needless."""
-    if exists(df.sparkSession, path):
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         return False
-    df.write.mode("ignore").parquet(path)
     return True
 
 
@@ -36,6 +40,14 @@ def write_if_folder(df: DataFrame, folder: str, name: str) -> str | None:
     return None
 
 
+def write_cube(cells: DataFrame, path: str, cube: str = "cube_id", time: str = "time", files_of: int = 1_000_000) -> None:
+    """Cells as a table laid out by cube and year, in files of about ``files_of`` rows that are sorted by place, so that a reader of a
+    cube, some years and a window opens only what it needs. A cube's year may be many files; none is written by a single task for its size."""
+    own = cells.withColumn("year", F.year(time))
+    own = own.repartitionByRange(cube, "year", F.floor(F.col("y") / 64), "x").sortWithinPartitions(cube, "year", "y", "x")
+    own.write.option("maxRecordsPerFile", files_of).partitionBy(cube, "year").mode("overwrite").parquet(path)
+
+
 def write_by_site(df: DataFrame, path: str, site: str = "site") -> None:
     """One folder for each site."""
     df.write.mode("overwrite").partitionBy(site).parquet(path)

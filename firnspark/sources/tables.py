@@ -35,6 +35,14 @@ def read_catalog(df: DataFrame, months: tuple[int, ...] = (6, 7, 8, 9), first: s
     return df.where(F.month(first).isin(*months)).withColumns(sibling_urls(url))
 
 
+def read_cube(spark: SparkSession, path: str, cubes: list, years: tuple[int, int], box: tuple[int, int, int, int] | None = None, cube: str = "cube_id") -> DataFrame:
+    """Cells of some cubes and years (first, last) of a table by ``write_cube``, in a window (x0, x1, y0, y1): folders are pruned by cube and year, row groups by the window."""
+    out = spark.read.parquet(path).where(F.col(cube).isin(cubes) & F.col("year").between(*years))
+    if box is not None:
+        out = out.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
+    return out
+
+
 def search_items(items: DataFrame, box: tuple[float, float, float, float], start: str, end: str, cloud: float | None = None) -> DataFrame:
     """Image items whose box (``x0``, ``x1``, ``y0``, ``y1``) overlaps, taken in [start, end) and less cloudy than given. All conditions reach the scan."""
     x0, x1, y0, y1 = box

@@ -119,7 +119,7 @@ def test_piecewise_finds_the_bend():
 def test_flow_line_follows_the_flow():
     u, v = np.ones((20, 20)), np.zeros((20, 20))
     line = numeric.trace(u, v, 5.0, 5.0, 1, 100)
-    assert line[0] == (6.0, 5.0) and line[-1][0] == 19.0 and math.isclose(line[-1][1], 5.0)
+    assert line[0] == (6.0, 5.0) and line[-1][0] == 20.0 and math.isclose(line[-1][1], 5.0)
 
 
 def test_nearest_place_searches_wider(spark):
@@ -127,3 +127,37 @@ def test_nearest_place_searches_wider(spark):
     q = spark.createDataFrame([(7, 0.0, 5.0), (8, 5.0, 0.0)], "place int, qx double, qy double")
     got = sorted((r.k, r.place) for r in grid.nearest_place(p, q, "k", 0.5).collect())
     assert got == [(1, 7), (1, 8), (2, 7), (2, 8)]
+
+
+def test_lines_against_polygons(spark):
+    from firnspark.operators import shapes
+
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rings = spark.createDataFrame([(1, square), (2, [(10.0, 10.0), (12.0, 10.0), (11.0, 12.0)]), (3, None)], "poly int, ring array<struct<x: double, y: double>>")
+    cases = {
+        "inside": ([(1.0, 1.0), (2.0, 2.0)], {1}), "through": ([(-1.0, 2.0), (5.0, 2.0)], {1}), "touches a corner": ([(-1.0, 1.0), (1.0, -1.0)], {1}), "along an edge": ([(1.0, 4.0), (9.0, 4.0)], {1}),
+        "past": ([(5.0, 0.0), (5.0, 9.0)], {None}), "both": ([(2.0, 2.0), (11.0, 11.0)], {1, 2}), "box only": ([(9.9, 11.5), (10.2, 11.9)], {None}), "none": (None, {None}), "a point": ([(4.0, 4.0)], {1}),
+    }
+    lines = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "name string, line array<struct<x: double, y: double>>")
+    for size in (0.7, 50.0):
+        got = shapes.lines_with_polygons(lines, rings, "name", "poly", size).collect()
+        assert {k: {r.poly for r in got if r.name == k} for k in cases} == {k: v[1] for k, v in cases.items()} and len(got) == 10
+    assert {r.poly for r in shapes.polygons_met(rings, lines, "poly", "name", 1.0).collect()} == {1, 2}
+
+
+def test_piecewise_fit_finds_the_bend(spark):
+    from firnspark.operators import robust
+
+    rows = [(1, float(x), float(abs(x - 20))) for x in range(41)]
+    knots = robust.piecewise_fit(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y", most=3).orderBy("px").collect()
+    assert any(abs(r.px - 20) < 1 and abs(r.py) < 1 for r in knots) and knots[0].px == 0 and knots[-1].px == 40
+
+
+def test_places_in_ranges(spark):
+    from firnspark.operators import shapes
+
+    df = spark.range(5000).selectExpr("id", "if(id % 97 = 0, null, (id * 7919) % 500) AS v")
+    got = {r.id: r.place for r in shapes.sorted_places(df, F.col("v"), [F.col("id")], "place").collect()}
+    want = sorted(range(5000), key=lambda k: (k % 97 != 0, -1 if k % 97 == 0 else (k * 7919) % 500, k))
+    assert [got[k] for k in want] == list(range(1, 5001))
+    assert shapes.sorted_places(df.limit(0), F.col("v"), [F.col("id")], "place").count() == 0

@@ -49,3 +49,27 @@ def test_stream_windows(spark, tmp_path):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), 1.0)], "a double, b double")
     assert tables.nan_to_null(df).select(F.isnull("a"), "b").first() == (True, 1.0)
+
+
+def test_cube_reads_only_what_is_asked_for(spark, tmp_path):
+    from firnspark.sources.sinks import write_cube
+    from firnspark.sources.tables import read_cube
+
+    cells = spark.range(4000).selectExpr("id % 5 AS cube_id", "timestamp_ntz'2019-06-01' + make_interval(int(id % 4)) AS time", "id % 50 AS y", "int(id % 40) AS x", "double(id) AS v")
+    write_cube(cells, f"{tmp_path}/cubes")
+    got = read_cube(spark, f"{tmp_path}/cubes", [1, 3], (2020, 2021), (0, 19, 10, 20))
+    want = cells.where("cube_id in (1, 3) and year(time) between 2020 and 2021 and x between 0 and 19 and y between 10 and 20")
+    assert sorted(r.v for r in got.collect()) == sorted(r.v for r in want.collect()) != []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cube_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(x,0)" in plan
+    assert len({r.f for r in got.selectExpr("_metadata.file_path AS f").collect()}) <= 4
+
+
+def test_write_once_and_geojson_and_csv(spark, tmp_path):
+    from firnspark.sources.sinks import write_once
+    from firnspark.sources.tables import read_old_metadata
+
+    assert write_once(spark.range(3), f"{tmp_path}/once") and not write_once(spark.range(5), f"{tmp_path}/once") and spark.read.parquet(f"{tmp_path}/once").count() == 3
+    (tmp_path / "old.csv").write_text("a,t\n1,2020-05-06 07:08:09\n2,\n")
+    rows = read_old_metadata(spark, f"{tmp_path}/old.csv", "a int, t string", ("t",)).orderBy("a").collect()
+    assert str(rows[0].t) == "2020-05-06 07:08:09" and rows[1].t is None

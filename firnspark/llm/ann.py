@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from .common import materialize, partitions
 
 #: Rows of a block of candidates and of queries; a cell with more is cut into several.
 BLOCK, QUERY_BLOCK = 8192, 4096
+#: Rows of a cell, on average, beyond which one axis more is joined to the hash.
+CELL = 8192
+#: Vectors whose joint cells are made together.
+TOGETHER = 1024
 #: Norms that differ by less are taken as equal.
 EVEN = 1e-4
 
@@ -47,6 +52,35 @@ def nearest_axes(x: np.ndarray, many: int) -> np.ndarray:
     return at * 2 + ((np.take_along_axis(x, at, axis=1) < 0) ^ far)
 
 
+def cells_of(y: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
+    """The ``probes`` joint cells nearest to each row, nearest first. A cell is a signed axis of each of ``axes`` pseudo-rotations; of the
+    nearest axes' combinations those with the largest coordinates together come first."""
+    sides = 2 * y.shape[1]
+    if axes == 1:
+        return nearest_axes(rotated(y, table), min(probes, sides))
+    if len(y) > TOGETHER:
+        return np.concatenate([cells_of(y[k : k + TOGETHER], table, axes, probes) for k in range(0, len(y), TOGETHER)])
+    each = min(sides, 2 * math.ceil(probes ** (1 / axes))) if probes > 1 else 1
+    cell, score = np.zeros((len(y), 1), np.int64), np.zeros((len(y), 1))
+    for a in range(axes):
+        x = rotated(y, table * 64 + a)
+        own = nearest_axes(x, each)
+        near = np.take_along_axis(x, own >> 1, axis=1) * np.where(own & 1, -1, 1)
+        cell = (cell[:, :, None] * sides + own[:, None, :]).reshape(len(y), -1)
+        score = (score[:, :, None] + near[:, None, :]).reshape(len(y), -1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        cell, score = np.take_along_axis(cell, best, axis=1), np.take_along_axis(score, best, axis=1)
+    return cell
+
+
+def axes_for(rows: int, size: int) -> int:
+    """Axes of a joint hash of vectors of ``size`` components: as many as leave ``CELL`` rows to a cell."""
+    axes, cells = 1, 2 * size
+    while rows > CELL * cells:
+        axes, cells = axes + 1, cells * 2 * size
+    return axes
+
+
 def spread(x: np.ndarray, largest: float, even: bool, query: bool) -> np.ndarray:
     """Unit vectors whose angles order as the inner products do, filled up to a power of two. Where norms differ,
     another coordinate makes up for what a candidate's norm lacks to the ``largest``."""
@@ -97,7 +131,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     """The ``k`` rows of ``vectors`` with the largest inner products for each of ``queries``: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     ``queries`` has the same columns; a row with the query's id isn't its candidate. Each vector is in one cell of each
-    table, that of its nearest signed axis; a query looks into the ``probes`` nearest cells. All that it meets there is
+    table, that of its nearest signed axis; a query looks into the ``probes`` nearest cells. Larger tables are hashed by several
+    axes jointly (``axes_for``), so cells don't grow with them; each axis more doubles the tables and takes ``probes`` times as many of
+    2 * length times as many cells. All that it meets there is
     ranked by exact products in double precision, equal ones by id. A query that meets fewer than ``k`` is compared with every
     cell of a table, so with all vectors. Vectors that are null, zero or hold null or non-finite components, and rows without an
     id, take no part; only vectors of equal length are compared; repeated ids count once per query. An empty table gives no rows.
@@ -118,7 +154,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     stats = vectors.where(F.coalesce(good, F.lit(False))).groupBy(F.size(v).alias("d")).agg(F.max(norm).alias("hi"), F.min(norm).alias("lo"), F.count("*").alias("n")).collect()
     norms = {r.d: (r.hi, r.hi - r.lo <= EVEN * r.hi, r.n) for r in stats}
 
-    def search(asked: DataFrame, tables: int, probes: int) -> DataFrame:
+    size_of = lambda d: 1 << max(1, (d + (not norms[d][1]) - 1).bit_length())
+    axes_of = {d: axes_for(n, size_of(d)) for d, (_, _, n) in norms.items()}
+
+    def search(asked: DataFrame, tables: int, probes: int, joint: bool = True) -> DataFrame:
+        several = joint and max(axes_of.values(), default=1) > 1
+
         def hashed(query: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -132,23 +173,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
                         x = flat[begin[own][:, None] + np.arange(d)]
                         y = spread(x, norms[d][0], norms[d][1], query)
                         blobs = pa.array([r.tobytes() for r in x], pa.binary())
-                        for t in range(tables):
-                            cells = nearest_axes(rotated(y, t), min(probes, 2 * y.shape[1]) if query else 1)
+                        axes = axes_of[d] if joint else 1
+                        for t in range(tables << (axes - 1)):
+                            cells = cells_of(y, t, axes, probes**axes if query else 1)
                             n = len(own) * cells.shape[1]
                             at = np.repeat(np.arange(len(own)), cells.shape[1])
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cells.ravel().astype(np.int32)), pa.array(ids[own][at]), blobs.take(pa.array(at))],
+                                [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cells.ravel().astype(np.int64)), pa.array(ids[own][at]), blobs.take(pa.array(at))],
                                 names=["d", "t", "cell", "id", "x"],
                             )
 
             return run
 
-        schema = "d int, t int, cell int, id long, x binary"
+        schema = "d int, t int, cell long, id long, x binary"
         rows, asks = clean(vectors).mapInArrow(hashed(False), schema), clean(asked).mapInArrow(hashed(True), schema)
         cell = ["d", "t", "cell"]
         sizes = rows.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         asked_sizes = asks.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_blocks"))
-        cut = F.broadcast(materialize(sizes.join(asked_sizes, cell), "cells"))  # as many rows as cells: tables times twice the length, for each length
+        cut = materialize(sizes.join(asked_sizes, cell), "cells")
+        if not several:  # as many rows as cells: tables times twice the length, for each length
+            cut = F.broadcast(cut)
         rows = rows.join(cut, cell).withColumn("b", F.pmod(F.xxhash64("id", "x"), "blocks")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
         asks = asks.join(cut, cell).withColumn("q", F.pmod(F.xxhash64("id"), "q_blocks")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         names = [*cell, "b", "q", "asks", "id", "x"]
@@ -174,6 +218,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     full = out.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias(id_col))
     short = materialize(queries.where(F.coalesce(good, F.lit(False))).select(id_col, vector_col).join(full, id_col, "left_anti"), "short")
     if not short.isEmpty():
-        rest = search(short, 1, 1 << 30)
+        rest = search(short, 1, 1 << 30, joint=False)
         out = out.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
     return out.select("query_id", "rank", F.col("vec_id").cast(vectors.schema[id_col].dataType).alias("vec_id"), "score")

@@ -15,6 +15,8 @@ BITS, WORDS = 128, 2
 SEGMENT, MOST = 2048, 15
 #: Rows of a cell of neighbours, and the most cells.
 CELL_ROWS, MOST_CELLS = 2000, 65536
+#: Fingerprints with one front that meet in a task, on either side.
+FRONT_ROWS = 1000
 
 _SPREAD, _LANES16, _LANES32 = 0x0000200040008001, 0x0001000100010001, 0x0000FFFF0000FFFF
 
@@ -146,17 +148,26 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, key: str = "fingerprin
 
     ``prints`` has fingerprints as 32 hex digits; equal ones count once, so copies add no pairs. The bits are cut into
     ``radius`` + 2 blocks; two fingerprints within the radius agree on two blocks at least, so each table permutes one
-    pair of blocks to the front and a join on them finds every such pair. Nulls take no part.
+    pair of blocks to the front and a join on them finds every such pair; it is returned from the first of its tables alone. A front
+    that more than ``FRONT_ROWS`` fingerprints share is dealt out to the cells of a square, so no task meets all of them. Nulls
+    take no part; an empty table gives no rows; other columns are not read.
     """
     blocks = radius + 2
     edges = [round(k * 32 / blocks) for k in range(blocks + 1)]
     if blocks > 32:
         raise ValueError("the radius leaves less than a hex digit to a block")
     own = prints.select(F.col(key).alias("f")).where("f is not null").distinct()
-    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.concat_ws("-", *[F.substring("f", edges[x] + 1, edges[x + 1] - edges[x]) for x in pair]).alias("front")) for n, pair in enumerate(combinations(range(blocks), 2))])
+    block = lambda c, x: F.substring(c, edges[x] + 1, edges[x + 1] - edges[x])
+    pairs_of = list(combinations(range(blocks), 2))
+    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.concat_ws("-", *[block("f", x) for x in pair]).alias("front")) for n, pair in enumerate(pairs_of)])
     rows = own.select("f", F.inline(tables))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, ["table", "front"]).where("a.f < b.f").select(F.col("a.f").alias("a"), F.col("b.f").alias("b"))
+    cut = rows.groupBy("table", "front").agg(F.count("*").alias("n")).where("n > 1").select("table", "front", F.ceil(F.col("n") / FRONT_ROWS).alias("parts"))
+    rows = rows.join(cut, ["table", "front"])
+    mine, every = F.pmod(F.xxhash64("f"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    a = rows.withColumns({"x": mine}).withColumn("y", every).select("table", "front", "x", "y", F.col("f").alias("a"))
+    b = rows.withColumns({"y": mine}).withColumn("x", every).select("table", "front", "x", "y", F.col("f").alias("b"))
     part = lambda c, at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
     far = sum((F.bit_count(part("a", at).bitwiseXOR(part("b", at))) for at in (1, 9, 17, 25)), F.lit(0))
-    return pairs.withColumn("distance", far).where(F.col("distance") <= radius).distinct()
+    first = F.coalesce(*[F.when((block("a", x) == block("b", x)) & (block("a", y) == block("b", y)), n) for n, (x, y) in enumerate(pairs_of)])
+    pairs = a.join(b, ["table", "front", "x", "y"]).where("a < b").withColumn("distance", far)
+    return pairs.where((F.col("distance") <= radius) & (first == F.col("table"))).select("a", "b", "distance")

@@ -256,6 +256,60 @@ def test_simhash(spark):
     assert [(r.a, r.b, r.distance) for r in simhash.near_fingerprints(prints, 3).collect()] == [("0" * 32, "0" * 31 + "7", 3)]
 
 
+def plain_fingerprint(spark, text):
+    """Votes term by term, with hashes from Spark."""
+    words_ = [w for w in (text or "").lower().translate(str.maketrans("\n\t\r\f\x0b", "     ")).split(" ") if w]
+    terms = [(w, words_[k + 1] if k + 1 < len(words_) else "") for k, w in enumerate(words_)]
+    if not terms:
+        return "0" * 32
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(terms)], "k int, a string, b string").select("k", F.xxhash64("a", "b").alias("h0"), F.xxhash64("b", F.lit(7), "a").alias("h1")).orderBy("k").collect()
+    out = ""
+    for h in ("h0", "h1"):
+        votes = [0] * 64
+        for r, (a, b) in zip(rows, terms, strict=True):
+            for n in range(64):
+                votes[n] += min(15, len(a) + len(b)) * (1 if r[h] >> n & 1 else -1)
+        out += f"{sum(1 << n for n in range(64) if votes[n] > 0):016x}"
+    return out
+
+
+def test_fingerprints_against_plain_votes(spark):
+    rng = random.Random(17)
+    texts = [sentence(rng, 50), "a " * 5000 + "b", "One two\nTHREE", None, " \t", sentence(rng, 3000, "véry")]
+    rows = [*enumerate(texts), (None, texts[0]), (2, texts[2]), (2, "other text")]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, cell int, fingerprint string")
+    got = simhash.edited_fingerprints(docs).collect()
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True)
+    assert len(got) == 9 and {(r.doc_id, r.n_chars) for r in got} == {(k, len(t or "")) for k, t in order}
+    prints = {t: plain_fingerprint(spark, t) for t in {t for _, t in rows}}
+    assert collections.Counter((r.doc_id, r.fingerprint) for r in got) == collections.Counter((k, prints[t]) for k, t in rows)
+    one = next(r for r in got if r.doc_id == 1)
+    half = len(texts[1]) // 2
+    edited = texts[1][: len(texts[1]) - half] + texts[0][:half]
+    bits = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    assert one.edited_fingerprint == plain_fingerprint(spark, edited) and one.near_edited == bits(one.fingerprint, one.edited_fingerprint) and one.near_next == bits(one.fingerprint, prints[texts[0]])
+
+
+def test_all_fingerprints_within_a_radius(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FRONT_ROWS", 7)
+    rng = random.Random(18)
+    base = [rng.getrandbits(128) for _ in range(5)]
+    prints = set()
+    for b in base:
+        for _ in range(60):
+            x = b
+            for bit in rng.sample(range(128), rng.randrange(5)):
+                x ^= 1 << bit
+            prints.add(x)
+    prints = sorted(prints)
+    df = spark.createDataFrame([(f"{x:032x}", 1) for x in prints] + [(None, 1), (f"{prints[0]:032x}", 2)], "fingerprint string, front int")
+    for radius in (1, 3):
+        got = [(r.a, r.b, r.distance) for r in simhash.near_fingerprints(df, radius).collect()]
+        want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert simhash.near_fingerprints(df.limit(0)).count() == 0
+
+
 def test_hidden_markov_forward_is_exact():
     rng = np.random.default_rng(0)
     model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES).T)
@@ -495,6 +549,34 @@ def test_nearest_vectors_with_repeated_ids(spark):
     assert [r.vec_id for r in got] == expected and all(r.score == pytest.approx(best[r.vec_id]) for r in got)
 
 
+def test_joint_hash_compares_less_and_finds_as_much(spark, monkeypatch):
+    """Two sizes of a table of loose clusters: recall by one axis and by two, and how many pairs meet."""
+    rng = np.random.default_rng(4)
+    shares = {}
+    for n in (1500, 6000):
+        centres = rng.normal(size=(n // 30, 16))
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.35, (n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = range(0, n, 20)
+        best = {q: set(np.argsort(-np.where(np.arange(n) == q, -np.inf, x @ x[q]), kind="stable")[:10].tolist()) for q in asked}
+        for cell in (10**6, 8):
+            monkeypatch.setattr(ann, "CELL", cell)
+            axes = ann.axes_for(n, 16)
+            assert axes == (1 if cell > 8 else 2)
+            got = collections.defaultdict(set)
+            for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=10, tables=8, probes=5).collect():
+                got[r.query_id].add(r.vec_id)
+            assert sum(len(best[q] & got[q]) for q in asked) >= 0.9 * 10 * len(asked)
+            meet = 0
+            for t in range(8 << (axes - 1)):
+                mine, theirs = ann.cells_of(x[:: 20], t, axes, 5**axes), ann.cells_of(x, t, axes, 1)[:, 0]
+                counts = collections.Counter(theirs.tolist())
+                meet += sum(counts[c] for c in mine.ravel().tolist())
+            shares[n, axes] = meet / (len(asked) * n)
+    assert shares[6000, 2] < 0.6 * shares[6000, 1]
+
+
 def test_near_anchors_chain_after_a_long_match():
     found = np.array([[0, 0, 500], [620, 621, 5], [640, 642, 5]])
     assert sorted(map(sorted, substrings.chains(found))) == [[0], [1, 2]]

@@ -21,7 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a temporary one only where that is unset.
+    """A folder of this application below ``spark.checkpoint.dir``. Where that is unset, a temporary one if Spark runs in
+    this process alone; an error on a cluster, whose machines wouldn't see it.
 
     The folder is removed when the driver's Python ends.
     """
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="firn-shared-")
         root = f"{base.rstrip('/')}/firn-{app}-{uuid.uuid4().hex[:8]}"
         _ROOTS[app] = root

@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     components, so a group of near copies costs about as many comparisons as it has members. In a region of many
     texts, those outside its largest component are compared with all of that component and with each other, block by
     block. So a link is lost only where two texts share ``SHALLOW`` levels in none of the orders, or agree in less than ``AGREE`` of
-    the minima: at a similarity of 0.8 with a chance of about 2e-4 (measured), and less above.
+    the minima: at a similarity of 0.8 with a chance of about 1e-4 (simulated with these orders), and less above.
     """
     spark = docs.sparkSession
     parts = partitions(spark)

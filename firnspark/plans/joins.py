@@ -84,10 +84,10 @@ def point_in_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH l AS (SELECT vec_id, px - 0.05 AS x0, px + 0.05 AS x1, py - 0.05 AS y0, py + 0.05 AS y1 FROM {_POINTS})
-    SELECT vec_id FROM l WHERE EXISTS (SELECT 1 FROM (SELECT 0.25 AS bx0, 0.3 AS bx1, 0.2 AS by0, 0.3 AS by1) WHERE l.x0 <= bx1 AND l.x1 >= bx0 AND l.y0 <= by1 AND l.y1 >= by0)""")
+    SELECT vec_id FROM l WHERE EXISTS (SELECT 1 FROM (SELECT 0.05 AS bx0, 0.1 AS bx1, 0.0 AS by0, 0.1 AS by1) WHERE l.x0 <= bx1 AND l.x1 >= bx0 AND l.y0 <= by1 AND l.y1 >= by0)""")
 def bbox_semi(spark: SparkSession, d: str) -> DataFrame:
     l = _points(spark, d).select("vec_id", *[(F.col(c) + s).alias(n) for c, s, n in (("px", -0.05, "x0"), ("px", 0.05, "x1"), ("py", -0.05, "y0"), ("py", 0.05, "y1"))])  # noqa: E741
-    box = spark.createDataFrame([(0.25, 0.3, 0.2, 0.3)], "x0 double, x1 double, y0 double, y1 double")
+    box = spark.createDataFrame([(0.05, 0.1, 0.0, 0.1)], "x0 double, x1 double, y0 double, y1 double")
     return grid.boxes_touching(l, box, 0.1).select("vec_id")
 
 

@@ -176,10 +176,11 @@ def gap_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def coregister(spark: SparkSession, d: str) -> DataFrame:
-    """A smooth surface against copies of itself that were moved."""
+    """A smooth surface, roughened by the table's components, against the smooth one moved."""
     shape = lambda x, y: F.sin(x / 5) * 10 + F.cos(y / 7) * 8
-    spots = spark.range(60).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
-    ref = spots.select("y", "x", shape(F.col("x"), F.col("y")).alias("z"), F.lit(1).alias("mask"))
-    moves = spark.createDataFrame([(1, 0.6, -0.4, 2.0), (2, -1.2, 0.8, -1.0)], "dem_id int, mx double, my double, mz double")
-    others = spots.join(F.broadcast(moves)).select("dem_id", "y", "x", (shape(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) - F.col("mz")).alias("z"))
+    spots = _cells(spark, d)
+    ref = spots.select("y", "x", (shape(F.col("x"), F.col("y")) + F.col("z")).alias("z"), F.lit(1).alias("mask"))
+    moves = [(1, 0.6, -0.4, 2.0), (2, -1.2, 0.8, -1.0)]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dem_id", "mx", "my", "mz"), m, strict=True)]) for m in moves]))
+    others = spots.select("y", "x", moves.alias("m")).select("m.dem_id", "y", "x", (shape(F.col("x") - F.col("m.mx"), F.col("y") - F.col("m.my")) - F.col("m.mz")).alias("z"))
     return numeric.coregister(ref, others)

@@ -101,10 +101,16 @@ def test_student():
 
 
 def test_shift_and_plane(spark):
-    yy, xx = np.mgrid[0:60, 0:60].astype(float)
-    surface = lambda x, y: np.sin(x / 5) * 10 + np.cos(y / 7) * 8
-    dx, dy, dz = numeric.shift_of(surface(xx, yy), surface(xx - 0.6, yy + 0.4) - 2, np.ones((60, 60), bool))
-    assert (dx, dy, dz) == (pytest.approx(0.6, abs=0.05), pytest.approx(-0.4, abs=0.05), pytest.approx(2, abs=0.05))
+    surface = lambda x, y: math.sin(x / 5) * 10 + math.cos(y / 7) * 8
+    spots = [(y, x) for y in range(60) for x in range(60)]
+    ref = spark.createDataFrame([(y, x, surface(x, y), 1) for y, x in spots], "y int, x int, z double, mask int")
+    moves = {1: (0.6, -0.4, 2.0), 2: (-1.2, 0.8, -1.0), 3: (0.0, 0.0, 0.0)}
+    others = [(k, y, x, surface(x - dx, y - dy) - dz) for k, (dx, dy, dz) in moves.items() for y, x in spots if k < 3 or (y, x) < (0, 2)]
+    others = spark.createDataFrame([*others, (None, 1, 1, 1.0), (1, 70, 70, None)], "dem_id int, y int, x int, z double")
+    got = {r.dem_id: r for r in numeric.coregister(ref, others).collect()}
+    assert set(got) == {1, 2, 3} and (got[3].dx, got[3].dy, got[3].dz) == (0, 0, 0)
+    for k in (1, 2):
+        assert (got[k].dx, got[k].dy, got[k].dz) == tuple(pytest.approx(v, abs=0.05) for v in moves[k]) and got[k].n > 3000
     df = spark.createDataFrame([(float(x), float(y), 2.0 * x - 3.0 * y + 1) for x in range(4) for y in range(3)], "x double, y double, z double")
     got = numeric.plane_fit(df, [], "x", "y", "z").first()
     assert (got.a, got.b, got.c) == (pytest.approx(2), pytest.approx(-3), pytest.approx(1))
@@ -118,8 +124,38 @@ def test_piecewise_finds_the_bend():
 
 def test_flow_line_follows_the_flow():
     u, v = np.ones((20, 20)), np.zeros((20, 20))
-    line = numeric.trace(u, v, 5.0, 5.0, 1, 100)
-    assert line[0] == (6.0, 5.0) and line[-1][0] == 20.0 and math.isclose(line[-1][1], 5.0)
+    xs, ys = [5.0], [5.0]
+    assert numeric.trace(u, v, xs, ys, 1, 100)
+    assert (xs[1], ys[1]) == (6.0, 5.0) and xs[-1] == 20.0 and math.isclose(ys[-1], 5.0)
+    xs, ys = [5.0], [5.0]
+    assert not numeric.trace(u[:, :9], v[:, :9], xs, ys, 1, 100, bounds=(0, 19, 0, 19)) and xs == [5.0, 6.0, 7.0, 8.0]
+
+
+def test_flow_lines_do_not_depend_on_the_squares(spark):
+    field = spark.createDataFrame([(s, y, x, float(y - 14 + s), float(14 - x)) for s in (0, 1) for y in range(3, 30) for x in range(-5, 30) if (y, x) != (20, 20)], "site int, y int, x int, vx double, vy double")
+    seeds = spark.createDataFrame([(0, 1, 14.5, 8.5), (0, 2, 20.0, 14.0), (0, 2, 20.0, 14.0), (1, 1, 0.2, 9.9), (1, 5, 99.0, 9.0), (1, 6, None, 2.0), (7, 1, 1.0, 1.0)], "site int, seed int, sx double, sy double")
+    rows = lambda tile: sorted((r.site, r.seed, r.k, repr(r.px), repr(r.py)) for r in numeric.streamlines(field, seeds, steps=40, tile=tile).collect())
+    whole = rows(1000)
+    assert rows(8) == whole and {r[:2] for r in whole} == {(0, 1), (0, 2), (1, 1), (1, 5), (1, 6)}
+    assert [r[2:] for r in whole if r[1] in (5, 6)] == [(0, "99.0", "9.0"), (0, "None", "2.0")]
+    # steps along a circle lead outwards, from a radius of 5.5 to the cells beside the missing one, 7.1 to 9.9 away
+    last = max(r for r in whole if r[:2] == (0, 1))
+    assert last[2] < 40 and abs(float(last[3]) - 20) < 1 and abs(float(last[4]) - 20) < 1
+
+
+def test_gap_filling_and_widened_kernel_by_brute_force(spark):
+    z = {(y, x): (y * 7 + x * 3) % 11 + 0.5 for y in range(9) for x in range(10)}
+    gone = {(y, x) for y, x in z if (y + 2 * x) % 4 == 0}
+    cells = spark.createDataFrame([(0, y, x, None if (y, x) in gone else v) for (y, x), v in z.items()], "site int, y int, x int, z double")
+    got = {(r.y, r.x): r.z for r in numeric.fill_gaps(cells, "z", ["site"], reach=3).collect()}
+    for y, x in z:
+        near = [(z[p], 1 / d) for p in z if p not in gone and 0 < (d := (p[0] - y) ** 2 + (p[1] - x) ** 2) <= 9]
+        assert got[y, x] == (z[y, x] if (y, x) not in gone else pytest.approx(sum(v * w for v, w in near) / sum(w for _, w in near)))
+    got = {(r.y, r.x): r.z for r in grid.triangle_resample(cells, 3, "z").collect()}
+    assert set(got) == {(y, x) for y in range(3) for x in range(4)}
+    for y, x in got:
+        w = {p: max(0, 1 - abs((p[0] + 0.5) / 3 - 0.5 - y)) * max(0, 1 - abs((p[1] + 0.5) / 3 - 0.5 - x)) for p in z if p not in gone}
+        assert got[y, x] == pytest.approx(sum(z[p] * v for p, v in w.items()) / sum(w.values()))
 
 
 def test_nearest_place_searches_wider(spark):

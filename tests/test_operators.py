@@ -197,3 +197,15 @@ def test_places_in_ranges(spark):
     want = sorted(range(5000), key=lambda k: (k % 97 != 0, -1 if k % 97 == 0 else (k * 7919) % 500, k))
     assert [got[k] for k in want] == list(range(1, 5001))
     assert shapes.sorted_places(df.limit(0), F.col("v"), [F.col("id")], "place").count() == 0
+
+
+def test_density_curve_is_near_the_plain_sum(spark):
+    rng = np.random.default_rng(2)
+    groups = {1: rng.normal(0, 1, 80), 2: rng.normal(1, 0.5, 50), 3: np.ones(4)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(1, None)], "k int, v double")
+    got = stats.density_curve(df, ["k"], "v", -6.0, 6.0, 60).collect()
+    assert {r.k for r in got} == {1, 2} and len(got) == 120
+    for r in got:
+        v = groups[r.k]
+        h = v.std(ddof=1) * len(v) ** -0.2
+        assert r.density == pytest.approx(np.exp(-(((r.x - v) / h) ** 2) / 2).sum() / (len(v) * h * math.sqrt(2 * math.pi)), abs=0.02)

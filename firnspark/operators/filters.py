@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_range
+from .keys import null_safe_join
+from .quantiles import large_group_quantiles
 
 
 def filter_ranges(df: DataFrame, **ranges: tuple | None) -> DataFrame:
@@ -17,35 +19,31 @@ def filter_ranges(df: DataFrame, **ranges: tuple | None) -> DataFrame:
     return df.where(reduce(and_, conditions, F.lit(True)))
 
 
-def mad_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys``, ``med`` and ``mad`` (unscaled) of each group. Two aggregations; nulls take no part."""
+def mad_bounds(df: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
+    """``keys``, ``med`` and ``mad`` (unscaled) of each group. Two aggregations; nulls take no part. ``large`` is for few groups of many rows."""
+    if large:
+        med = large_group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("med"))
+        far = null_safe_join(df.select(*keys, value), med, keys).withColumn("__far", F.abs(F.col(value) - F.col("med")))
+        mad = large_group_quantiles(far, keys, "__far", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+        return null_safe_join(med, mad, keys)
     med = df.groupBy(*keys).agg(F.median(value).alias("med"))
     far = null_safe_join(df.select(*keys, value), med, keys)
     mad = far.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
     return null_safe_join(med, mad, keys)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join in which null keys meet; the keys come back once."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right))  # the other side is one row
-    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
-
-
 def mad_keeps(value: Column, med: Column, mad: Column, n: float = 5, two_sided: bool = False) -> Column:
     """Whether a value lies less than ``n`` median absolute deviations above the median (or from it, if two-sided)."""
     far = F.abs(value - med) if two_sided else value - med
     return far < mad * n
 
 
-def mad_filter(df: DataFrame, keys: list[str], value: str, n: float = 5, drop: bool = False, two_sided: bool = False) -> DataFrame:
+def mad_filter(df: DataFrame, keys: list[str], value: str, n: float = 5, drop: bool = False, two_sided: bool = False, large: bool = False) -> DataFrame:
     """Set outliers of ``value`` to null, or drop their rows. One-sided unless asked otherwise: only high values are outliers.
 
-    The comparison is multiplied out, so a deviation of 0 keeps what lies below the median.
+    The comparison is multiplied out, so a deviation of 0 keeps what lies below the median. ``large`` is for few groups of many rows.
     """
-    joined = null_safe_join(df, mad_bounds(df, keys, value), keys)
+    joined = null_safe_join(df, mad_bounds(df, keys, value, large), keys)
     keep = mad_keeps(F.col(value), F.col("med"), F.col("mad"), n, two_sided)
     out = joined.where(keep) if drop else joined.withColumn(value, F.when(keep, F.col(value)))
     return out.select(*df.columns)
@@ -61,9 +59,9 @@ def quality_gate(df: DataFrame, spread: str, offset: str, most_spread: float = 2
     return df.where((F.col(spread) < most_spread) & (F.abs(offset) < most_offset))
 
 
-def trim_by_quantiles(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95, digits: int = 6) -> DataFrame:
-    """Rows strictly between their group's quantiles, which are rounded."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("q"))
+def trim_by_quantiles(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95, digits: int = 6, large: bool = False) -> DataFrame:
+    """Rows strictly between their group's quantiles, which are rounded. ``large`` is for few groups of many rows."""
+    bounds = large_group_quantiles(df, keys, value, [low, high]) if large else df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("q"))
     bounds = bounds.select(*keys, F.round(F.col("q")[0], digits).alias("lo"), F.round(F.col("q")[1], digits).alias("hi"))
     return null_safe_join(df, bounds, keys).where((F.col(value) > F.col("lo")) & (F.col(value) < F.col("hi"))).select(*df.columns)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NMAD, YEAR_US
-from .filters import mad_bounds, null_safe_join
+from .filters import mad_bounds
 
 RESULTS = ["slope", "intercept", "low_slope", "high_slope"]
 
@@ -107,9 +107,9 @@ def trend_with_counts(df: DataFrame, keys: list[str], y: str, t: str) -> DataFra
     return trend.join(counts.select(*keys, F.concat_ws(",", F.transform("c", lambda p: F.concat(p["__x"].cast("string"), F.lit("="), p["__n"].cast("string")))).alias("counts")), keys)
 
 
-def nmad(df: DataFrame, keys: list[str], value: str, scale: float = NMAD) -> DataFrame:
-    """``keys``, ``med``, ``nmad``: median and scaled median absolute deviation."""
-    return mad_bounds(df, keys, value).select(*keys, "med", (F.col("mad") * scale).alias("nmad"))
+def nmad(df: DataFrame, keys: list[str], value: str, scale: float = NMAD, large: bool = False) -> DataFrame:
+    """``keys``, ``med``, ``nmad``: median and scaled median absolute deviation. ``large`` is for few groups of many rows."""
+    return mad_bounds(df, keys, value, large).select(*keys, "med", (F.col("mad") * scale).alias("nmad"))
 
 
 def difference_stats(reference: DataFrame, other: DataFrame, on: list[str], value: str = "z", keys: list[str] | None = None, mask: Column | None = None) -> DataFrame:

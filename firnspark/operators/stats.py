@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions import student
 from ..functions.scalars import cut_right_closed, fixed_bin
-from .filters import null_safe_join
+from .keys import null_safe_join
+from .quantiles import in_time_blocks, large_group_quantiles, rolling_median_of_blocks
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], count: str | None = "n", digits: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, as one column each, and the count of values that aren't null."""
-    out = df.groupBy(*keys).agg(F.percentile(value, list(qs.values())).alias("__q"), F.count(value).alias("__n"))
+def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], count: str | None = "n", digits: int | None = None, large: bool = False) -> DataFrame:
+    """Exact quantiles with linear interpolation, as one column each, and the count of values that aren't null. ``large`` is for few groups of many rows."""
+    if large:
+        out = large_group_quantiles(df, keys, value, list(qs.values())).withColumnsRenamed({"q": "__q", "n": "__n"})
+    else:
+        out = df.groupBy(*keys).agg(F.percentile(value, list(qs.values())).alias("__q"), F.count(value).alias("__n"))
     picked = [F.col("__q")[k] for k in range(len(qs))]
     picked = [(F.round(c, digits) if digits is not None else c).alias(name) for name, c in zip(qs, picked, strict=True)]
     return out.select(*keys, *picked, *([F.col("__n").alias(count)] if count else []))
@@ -113,9 +117,9 @@ def density_2d(df: DataFrame, x: str, y: str, extent: tuple, bins: int = 30) ->
     return own.groupBy(fixed_bin(x, x0, (x1 - x0) / bins).alias("ix"), fixed_bin(y, y0, (y1 - y0) / bins).alias("iy")).agg(F.count("*").alias("n"))
 
 
-def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles, the outermost values within 1.5 interquartile ranges of the box, and how many lie beyond."""
-    q = group_quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, None)
+def box_stats(df: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
+    """Quartiles, the outermost values within 1.5 interquartile ranges of the box, and how many lie beyond. ``large`` is for few groups of many rows."""
+    q = group_quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, None, large=large)
     v, reach = F.col(value), (F.col("q3") - F.col("q1")) * 1.5
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     joined = null_safe_join(df.select(*keys, value), q, keys)
@@ -143,13 +147,19 @@ def first_difference(df: DataFrame, keys: list[str], order: list, value: str, na
     return df.withColumn(name, F.col(value) - F.lag(value).over(w))
 
 
-def rolling_median(df: DataFrame, keys: list[str], t: str, value: str, days: float, centred: bool = True, least: int = 1, name: str = "rolling") -> DataFrame:
-    """Median over (t - w / 2, t + w / 2], or over (t - w, t]; null where the window holds fewer than ``least`` values."""
-    part = ", ".join(f"`{k}`" for k in keys)
+def rolling_median(df: DataFrame, keys: list[str], t: str, value: str, days: float, centred: bool = True, least: int = 1, name: str = "rolling", large: bool = False) -> DataFrame:
+    """Median over (t - w / 2, t + w / 2], or over (t - w, t]; null where the window holds fewer than ``least`` values.
+
+    Each group is sorted by blocks of time, with copies of the rows in reach of a border, so a task holds a block of a group at most.
+    ``large`` is for windows of many rows: one sorted window slides over a block, where the plain form sorts each window anew."""
+    part = ", ".join(f"`{k}`" for k in [*keys, "__block"])
     us = round(days * 86_400e6)
     before, after = (us // 2 - 1, us // 2) if centred else (us - 1, 0)
-    over = f"over ({f'partition by {part} ' if keys else ''}order by `{t}` range between interval '{before / 1e6:.6f}' second preceding and " + (f"interval '{after / 1e6:.6f}' second following)" if after else "current row)")
-    return df.withColumn(name, F.expr(f"case when count(`{value}`) {over} >= {least} then percentile(`{value}`, 0.5) {over} end"))
+    if large:
+        return rolling_median_of_blocks(df, keys, t, value, before, after, least, name)
+    over = f"over (partition by {part} order by `{t}` range between interval '{before / 1e6:.6f}' second preceding and " + (f"interval '{after / 1e6:.6f}' second following)" if after else "current row)")
+    blocks = in_time_blocks(df, t, before, after, "__block", "__own")
+    return blocks.withColumn(name, F.expr(f"case when count(`{value}`) {over} >= {least} then percentile(`{value}`, 0.5) {over} end")).where("__own").drop("__block", "__own", "__us")
 
 
 def share_of_first(df: DataFrame, keys: list[str], order: list, value: str, name: str = "pct") -> DataFrame:

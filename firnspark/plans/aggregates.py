@@ -139,7 +139,7 @@ def density_2d(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_type, round(q1, 6) AS q1, med, round(q3, 6) AS q3, min(value) FILTER (WHERE ok) AS low, max(value) FILTER (WHERE ok) AS high, count(*) FILTER (WHERE NOT ok) AS fliers
     FROM (SELECT q.*, value, value >= q1 - (q3 - q1) * 1.5 AND value <= q3 + (q3 - q1) * 1.5 AS ok FROM events JOIN q USING (event_type)) GROUP BY event_type, q1, med, q3""")
 def box_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.box_stats(read_table(spark, d, "events"), ["event_type"], "value")
+    out = stats.box_stats(read_table(spark, d, "events"), ["event_type"], "value", large=True)
     return out.withColumns({c: F.round(c, 6) for c in ("q1", "q3")})
 
 

@@ -86,7 +86,7 @@ def trend_year_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, median(value) AS med, round(1.4826 * mad(value), 9) AS nmad FROM events GROUP BY event_type")
 def nmad(spark: SparkSession, d: str) -> DataFrame:
-    return robust.nmad(read_table(spark, d, "events"), ["event_type"], "value").withColumn("nmad", F.round("nmad", 9))
+    return robust.nmad(read_table(spark, d, "events"), ["event_type"], "value", large=True).withColumn("nmad", F.round("nmad", 9))
 
 
 @query("SELECT user_id, median(value) AS med, mad(value) AS mad FROM events GROUP BY user_id")
@@ -154,12 +154,12 @@ _MAD = f"SELECT *, median(abs(value - m)) OVER (PARTITION BY event_type) AS mad
 
 @query(f"SELECT event_id, event_type, CASE WHEN value - m < 5 * mad THEN value END AS value FROM ({_MAD})")
 def mad_filter_null(spark: SparkSession, d: str) -> DataFrame:
-    return filters.mad_filter(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value")
+    return filters.mad_filter(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", large=True)
 
 
 @query(f"SELECT event_id, event_type, value FROM ({_MAD}) WHERE value - m < 5 * mad")
 def mad_filter_drop(spark: SparkSession, d: str) -> DataFrame:
-    return filters.mad_filter(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", drop=True)
+    return filters.mad_filter(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", drop=True, large=True)
 
 
 @query("""
@@ -190,7 +190,7 @@ def month_filter(spark: SparkSession, d: str) -> DataFrame:
     WITH b AS (SELECT event_type, round(quantile_cont(value, 0.05), 6) AS lo, round(quantile_cont(value, 0.95), 6) AS hi FROM events GROUP BY event_type)
     SELECT event_id, event_type, value FROM events JOIN b USING (event_type) WHERE value > lo AND value < hi""")
 def trimmed_by_group(spark: SparkSession, d: str) -> DataFrame:
-    return filters.trim_by_quantiles(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value")
+    return filters.trim_by_quantiles(read_table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", large=True)
 
 
 @query("""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import in_range
 from .keys import null_safe_join
-from .quantiles import large_group_quantiles
+from .quantiles import exceeds_a_task, large_group_quantiles
 
 
 def filter_ranges(df: DataFrame, **ranges: tuple | None) -> DataFrame:
@@ -20,8 +20,8 @@ def filter_ranges(df: DataFrame, **ranges: tuple | None) -> DataFrame:
 
 
 def mad_bounds(df: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
-    """``keys``, ``med`` and ``mad`` (unscaled) of each group. Two aggregations; nulls take no part. ``large`` is for few groups of many rows."""
-    if large:
+    """``keys``, ``med`` and ``mad`` (unscaled) of each group. Two aggregations; nulls take no part. ``large`` is for few groups that may have too many rows for a task."""
+    if large and exceeds_a_task(df, keys, value):
         med = large_group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("med"))
         far = null_safe_join(df.select(*keys, value), med, keys).withColumn("__far", F.abs(F.col(value) - F.col("med")))
         mad = large_group_quantiles(far, keys, "__far", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
@@ -61,7 +61,7 @@ def quality_gate(df: DataFrame, spread: str, offset: str, most_spread: float = 2
 
 def trim_by_quantiles(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95, digits: int = 6, large: bool = False) -> DataFrame:
     """Rows strictly between their group's quantiles, which are rounded. ``large`` is for few groups of many rows."""
-    bounds = large_group_quantiles(df, keys, value, [low, high]) if large else df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("q"))
+    bounds = large_group_quantiles(df, keys, value, [low, high]) if large and exceeds_a_task(df, keys, value) else df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("q"))
     bounds = bounds.select(*keys, F.round(F.col("q")[0], digits).alias("lo"), F.round(F.col("q")[1], digits).alias("hi"))
     return null_safe_join(df, bounds, keys).where((F.col(value) > F.col("lo")) & (F.col(value) < F.col("hi"))).select(*df.columns)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .keys import null_safe_join
 
-CELLS, MOST_GROUPS = 4096, 10_000
+CELLS, MOST_GROUPS, ONE_TASK = 4096, 10_000, 1_000_000
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:
@@ -20,6 +20,12 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def exceeds_a_task(df: DataFrame, keys: list[str], value: str) -> bool:
+    """Whether a group has more values than one task should hold. One job, whose result is a row; both ways give equal quantiles."""
+    most = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > ONE_TASK
+
+
 def large_group_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], cells: int = CELLS) -> DataFrame:
     """``keys``, ``q`` (exact quantiles with linear interpolation, an array in the order of ``qs``) and ``n``, the count of values that aren't null.
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import student
 from ..functions.scalars import cut_right_closed, fixed_bin
 from .keys import null_safe_join
-from .quantiles import in_time_blocks, large_group_quantiles, rolling_median_of_blocks
+from .quantiles import exceeds_a_task, in_time_blocks, large_group_quantiles, rolling_median_of_blocks
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], count: str | None = "n", digits: int | None = None, large: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, as one column each, and the count of values that aren't null. ``large`` is for few groups of many rows."""
-    if large:
+    if large and exceeds_a_task(df, keys, value):
         out = large_group_quantiles(df, keys, value, list(qs.values())).withColumnsRenamed({"q": "__q", "n": "__n"})
     else:
         out = df.groupBy(*keys).agg(F.percentile(value, list(qs.values())).alias("__q"), F.count(value).alias("__n"))

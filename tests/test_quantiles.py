@@ -42,11 +42,14 @@ def test_more_groups_than_are_broadcast(spark, monkeypatch):
     assert got == want
 
 
-def test_large_filters_equal_plain(spark):
+def test_large_filters_equal_plain(spark, monkeypatch):
     rng = random.Random(5)
     df = spark.createDataFrame([(k, None if k % 17 == 0 else "xyz"[k % 3], rng.gauss(10, 3) ** 3 if k % 13 else None) for k in range(4000)], "id int, k string, v double")
     for f in (lambda **a: filters.mad_bounds(df, ["k"], "v", **a), lambda **a: filters.mad_filter(df, ["k"], "v", 2, **a), lambda **a: filters.trim_by_quantiles(df, ["k"], "v", **a), lambda **a: stats.box_stats(df, ["k"], "v", **a)):
-        assert sorted(map(repr, f(large=True).collect())) == sorted(map(repr, f().collect()))
+        for one_task in (0, 10_000):
+            monkeypatch.setattr(quantiles, "ONE_TASK", one_task)
+            assert sorted(map(repr, f(large=True).collect())) == sorted(map(repr, f().collect()))
+    assert not quantiles.exceeds_a_task(df.limit(0), ["k"], "v")
 
 
 def test_rolling_median_over_many_blocks(spark):

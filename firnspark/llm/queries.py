@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hmm, langid, minhash, packing, simhash, substrings, toxicity
+from . import ann, bpe, chat, hmm, langid, minhash, minslack, packing, periodic, repair, simhash, substrings, toxicity
 from .common import read
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -65,7 +65,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"), most=1500)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing, op8_hmm_scores, op9_cross_polytope, op10_language_id)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.planted_runs(read(spark, sf_dir, "documents")), least=12)
+    longest = F.try_element_at(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).otherwise(F.sign(x["start"] - y["start"])).cast("int")), F.lit(1))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("run"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "run.start", "run.length", "run.period", F.expr("1000 * run.length div run.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minslack.pack_min_slack(read(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    report, repaired = repair.repair(repair.damaged(turns))
+    every = turns.select("conv_id").distinct()
+    report, shown = (d.withColumnRenamed("conv_id", "_conv") for d in (report, repair.digests(repaired)))
+    out = every.join(report, every.conv_id.eqNullSafe(report._conv), "left").drop("_conv")
+    out = out.join(shown, out.conv_id.eqNullSafe(shown._conv), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_minhash_dedup, op5_simhash, op6_chat_format, op7_best_fit_packing, op8_hmm_scores, op9_cross_polytope, op10_language_id, op11_periodic_runs, op12_min_slack_packing, op13_conversation_repair)}
 
 _CODED = "replace(replace(replace(replace(replace({x}, '\\', '\\b'), '</s>', '\\e'), '<s>', '\\s'), '[INST]', '\\i'), '[/INST]', '\\o')"
 _PLAIN = "replace(replace(replace(replace(replace({x}, '\\o', '[/INST]'), '\\i', '[INST]'), '\\s', '<s>'), '\\e', '</s>'), '\\b', '\\')"

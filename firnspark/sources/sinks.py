@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import exists
@@ -60,3 +63,14 @@ def write_geojson(lines: DataFrame, path: str, line: str = "line", properties: l
     geometry = F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*names).alias("properties"))
     lines.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; where that is unset and Spark runs in this process alone, in a temporary folder. Else an error:
+    the machines of a cluster wouldn't see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="firn-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

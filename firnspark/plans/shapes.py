@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, shapes
+from ..operators import grid, overlay, shapes
 from ..sources.tables import read_table
 from .joins import _POINTS, _points
 from .rasters import _GRID, _LINE, _cells
@@ -78,6 +78,35 @@ def union_area_centroid(spark: SparkSession, d: str) -> DataFrame:
     return shapes.union_of_boxes(boxes, ["label"]).select("label", *[F.round(c, 9).alias(c) for c in ("area", "cx", "cy")])
 
 
+_TURNED = f"""
+    WITH b AS (SELECT label, px - 0.03 AS x0, px + 0.03 AS x1, py - 0.02 AS y0, py + 0.02 AS y1 FROM {_POINTS}),
+    xs AS (SELECT label, unnest([x0, x1]) AS a FROM b), st AS (SELECT label, a, lead(a) OVER (PARTITION BY label ORDER BY a) AS z FROM (SELECT DISTINCT label, a FROM xs)),
+    o AS (SELECT label, a, z, y0, y1, greatest(y0, coalesce(max(y1) OVER (PARTITION BY label, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), y0)) AS low FROM st JOIN b USING (label) WHERE x0 <= a AND x1 >= z),
+    p AS (SELECT label, (z - a) * (y1 - low) AS w, (a + z) / 2 AS x, (y1 + low) / 2 AS y FROM o WHERE y1 > low),
+    m AS (SELECT label, sum(w) AS area, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy FROM p GROUP BY label)"""
+
+
+def _turned(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes around points, turned about the origin so that no edge is upright."""
+    p = _points(spark, d)
+    corners = [(F.col("px") + a, F.col("py") + b) for a, b in ((-0.03, -0.02), (0.03, -0.02), (0.03, 0.02), (-0.03, 0.02))]
+    ring = F.array(*[F.struct((x * 0.8 - y * 0.6).alias("x"), (x * 0.6 + y * 0.8).alias("y")) for x, y in corners])
+    return p.select("label", F.array(ring).alias("rings"))
+
+
+@query(_TURNED + " SELECT label, round(area, 6) AS area, round(0.8 * cx - 0.6 * cy, 6) AS cx, round(0.6 * cx + 0.8 * cy, 6) AS cy FROM m")
+def union_of_polygons(spark: SparkSession, d: str) -> DataFrame:
+    out = overlay.union_measures(_turned(spark, d), ["label"], 0.25)
+    return out.select("label", *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy")])
+
+
+@query(_TURNED + " SELECT label, round(area, 6) AS area FROM m")
+def dissolved_rings(spark: SparkSession, d: str) -> DataFrame:
+    """The area of each label's rings, holes taken off."""
+    rings = overlay.union_rings(_turned(spark, d), ["label"], 0.25)
+    return rings.groupBy("label").agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 6).alias("area"))
+
+
 @query("""
     WITH l AS (SELECT vec_id, s, s - 1.0::DOUBLE AS ax, embedding[s]::DOUBLE AS ay, s::DOUBLE AS bx, embedding[s + 1]::DOUBLE AS b_y FROM embeddings, (VALUES (1), (2), (3)) AS t(s)),
     m AS (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS len FROM l),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, overlay, shapes
+from ..operators import grid, nearest, overlay, shapes
 from ..sources.tables import read_table
 from .joins import _POINTS, _points
 from .rasters import _GRID, _LINE, _cells
@@ -107,6 +107,41 @@ def dissolved_rings(spark: SparkSession, d: str) -> DataFrame:
     return rings.groupBy("label").agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 6).alias("area"))
 
 
+def _far(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) -> str:
+    along = f"greatest(0, least(1, (({p[0]} - {a[0]}) * ({b[0]} - {a[0]}) + ({p[1]} - {a[1]}) * ({b[1]} - {a[1]})) / (({b[0]} - {a[0]}) ** 2 + ({b[1]} - {a[1]}) ** 2)))"
+    return f"sqrt(({p[0]} - {a[0]} - {along} * ({b[0]} - {a[0]})) ** 2 + ({p[1]} - {a[1]} - {along} * ({b[1]} - {a[1]})) ** 2)"
+
+
+_A, _B, _C, _D = ("ax", "ay"), ("bx", "b_y"), ("cx", "cy"), ("dx", "dy")
+#: A short line and a small triangle from each row, near its first two components and its seventh and eighth.
+_SHORT = "embedding[{f}]::DOUBLE + {w} * (embedding[{k}]::DOUBLE - embedding[{f}]::DOUBLE)"
+_NEAR = f"""
+    WITH v AS (SELECT vec_id, {", ".join(f"{_SHORT.format(f=1 + c, k=k + c, w=0 if k == 1 else 0.1)} AS l{n}{'xy'[c]}" for n, k in enumerate((1, 3, 5)) for c in (0, 1))},
+        {", ".join(f"{_SHORT.format(f=7 + c, k=k + c, w=0 if k == 7 else 0.05)} AS r{n}{'xy'[c]}" for n, k in enumerate((7, 9, 11)) for c in (0, 1))} FROM embeddings),
+    l AS (SELECT vec_id, t.* FROM v, LATERAL (VALUES (1, l0x, l0y, l1x, l1y), (2, l1x, l1y, l2x, l2y)) AS t(s, ax, ay, bx, b_y)),
+    r AS (SELECT vec_id AS other, t.* FROM v, LATERAL (VALUES (r0x, r0y, r1x, r1y), (r1x, r1y, r2x, r2y), (r2x, r2y, r0x, r0y)) AS t(cx, cy, dx, dy)),
+    x AS (SELECT vec_id, other, least({_far(_A, _C, _D)}, {_far(_B, _C, _D)}, {_far(_C, _A, _B)}, {_far(_D, _A, _B)}) AS far,
+        (NOT (greatest(ax, bx) < least(cx, dx) OR greatest(cx, dx) < least(ax, bx) OR greatest(ay, b_y) < least(cy, dy) OR greatest(cy, dy) < least(ay, b_y))
+            AND sign((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (b_y - ay) * (dx - ax)) <= 0
+            AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (b_y - cy) - (dy - cy) * (bx - cx)) <= 0) AS crossed,
+        (s = 1 AND ((cy > ay) <> (dy > ay)) AND ax < (dx - cx) * (ay - cy) / (dy - cy) + cx) AS odd FROM l CROSS JOIN r),
+    m AS (SELECT vec_id, other, CASE WHEN bool_or(crossed) OR count(*) FILTER (WHERE odd) % 2 = 1 THEN 0 ELSE min(far) END AS distance FROM x GROUP BY ALL)
+    SELECT vec_id, other, round(distance, 9) AS distance FROM m QUALIFY distance = min(distance) OVER (PARTITION BY vec_id)"""
+
+
+@query(_NEAR)
+def nearest_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest triangles of each line; those that it meets are all at no distance."""
+    e = read_table(spark, d, "embeddings")
+
+    def drawn(first: int, share: float):
+        part = lambda k: F.col("embedding")[k].cast("double")
+        return F.array(*[F.struct(*[(part(first + c) + F.lit(share if k else 0.0) * (part(first + 2 * k + c) - part(first + c))).alias("xy"[c]) for c in (0, 1)]) for k in range(3)])
+
+    lines, triangles = e.select("vec_id", drawn(0, 0.1).alias("shape")), e.select(F.col("vec_id").alias("other"), drawn(6, 0.05).alias("shape"))
+    return nearest.nearest_shapes(lines, triangles, "vec_id", "other").select("vec_id", "other", F.round("distance", 9).alias("distance"))
+
+
 @query("""
     WITH l AS (SELECT vec_id, s, s - 1.0::DOUBLE AS ax, embedding[s]::DOUBLE AS ay, s::DOUBLE AS bx, embedding[s + 1]::DOUBLE AS b_y FROM embeddings, (VALUES (1), (2), (3)) AS t(s)),
     m AS (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS len FROM l),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NMAD, YEAR_US
 from .filters import mad_bounds
+from .slopes import Slopes
 
 RESULTS = ["slope", "intercept", "low_slope", "high_slope"]
 
@@ -30,25 +31,19 @@ def _tie_term(values: Column) -> Column:
 
 
 def theil_sen_numpy(x: np.ndarray, y: np.ndarray, alpha: float = 0.95) -> tuple[float | None, ...]:
-    """Slope, intercept and the slope's confidence limits over all pairs with different x. Rows of pairs are built one
-    point at a time, so memory holds the slopes alone."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    first_larger = np.searchsorted(x, x, side="right")
-    slopes = np.sort(np.concatenate([(y[k:] - y[i]) / (x[k:] - x[i]) for i, k in enumerate(first_larger.tolist())] or [np.zeros(0)]))
-    if not len(slopes):
+    """Slope, intercept and the slope's confidence limits over all pairs with different x. Pairs are built only for few points; for more, the
+    slopes of the ranks wanted are selected by counting."""
+    pairs = Slopes(x, y)
+    nt, n = pairs.total, len(x)
+    if not nt:
         return None, None, None, None
-    slope = float(np.median(slopes))
-    n, nt = len(x), len(slopes)
     ties = sum(float((k * (k - 1.0) * (2 * k + 5)).sum()) for k in (np.unique(v, return_counts=True)[1] for v in (x, y)))
     var = (n * (n - 1.0) * (2 * n + 5) - ties) / 18
-    z = NormalDist().inv_cdf((1 - alpha) / 2)
-    low = high = None
-    if var >= 0:
-        sigma = var**0.5
-        high = float(slopes[min(int(np.rint((nt - z * sigma) / 2)), nt - 1)])
-        low = float(slopes[max(int(np.rint((nt + z * sigma) / 2)) - 1, 0)])
-    return slope, float(np.median(y)) - slope * float(np.median(x)), low, high
+    z, sigma = NormalDist().inv_cdf((1 - alpha) / 2), max(var, 0.0) ** 0.5
+    high, low = min(int(np.rint((nt - z * sigma) / 2)), nt - 1), max(int(np.rint((nt + z * sigma) / 2)) - 1, 0)
+    a, b, *limits = pairs.at([(nt - 1) // 2, nt // 2, *((low, high) if var >= 0 else ())])
+    slope = a if a == b else (a + b) / 2
+    return slope, float(np.median(y)) - slope * float(np.median(x)), *(limits or (None, None))
 
 
 def theil_sen(df: DataFrame, keys: list[str], y: str, t: str, strategy: str = "native", ci: bool = False, alpha: float = 0.95, per_year: bool = True) -> DataFrame:
@@ -57,8 +52,8 @@ def theil_sen(df: DataFrame, keys: list[str], y: str, t: str, strategy: str = "n
     x is Julian years since the group's first ``t``, rows without a ``y`` included (or ``t`` itself, if not ``per_year``);
     the slope is the median over all pairs with different x, the intercept median(y) - slope * median(x). Null without such
     a pair. ``native`` keeps pairs in arrays inside one aggregation and suits groups of up to about a hundred
-    rows, as pixels and stations have; ``numpy`` takes one group at a time and suits some hundreds to thousands. Both grow with the square of a
-    group's rows: sum up larger groups by time first (``binned``).
+    rows, as pixels and stations have, and grows with the square of a group's rows; ``numpy`` takes one group at a time and selects slopes in n log n
+    steps, so groups of a million rows are in reach. Sum up still larger ones by time first (``binned``).
     """
     x = F.timestamp_diff("MICROSECOND", F.col("__t0"), F.col(t)) / F.lit(YEAR_US) if per_year else F.col(t).cast("double")
     value = F.col(y).cast("double")

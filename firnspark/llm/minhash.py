@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, settle
+from .common import drop, materialize, partitions, settle
 from .graph import components
 from .words import hashes, mix, shingles, text_blocks
 
@@ -405,6 +405,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         each = odd.select(F.col("region").alias("g"), "id", "component")
         links = links.unionByName(materialize(_across(each, each, signed_sets, percent), "links"))
     links = materialize(links.unionByName(copies), "links")
+    drop(sets, near)
     settle(spark)
 
     groups = components(links)

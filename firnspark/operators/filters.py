@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import in_range
 from .keys import null_safe_join
 from .quantiles import exceeds_a_task, large_group_quantiles
+from .stats import modal_argmax
 
 
 def filter_ranges(df: DataFrame, **ranges: tuple | None) -> DataFrame:
@@ -55,6 +56,30 @@ def filter_components(df: DataFrame, keys: list[str], vx: str, vy: str, n: float
     return out.withColumn(speed, F.hypot(vx, vy))
 
 
+def filter_velocities(cells: DataFrame, keys: list[str], vx: str, vy: str, n: float | None = None, speed: str = "v", line: DataFrame | None = None, **ranges) -> tuple[DataFrame, DataFrame | None]:
+    """Rows in all ``ranges``; with ``n`` outliers among those are null in each component and the speed is taken anew. Of ``line``, samples along a line, the rows in
+    the ranges that have a speed: outliers stay there."""
+    own = filter_ranges(cells, **ranges)
+    if n is not None:
+        own = filter_components(own, keys, vx, vy, n, speed)
+    return own, None if line is None else filter_ranges(line, **ranges).where(F.col(speed).isNotNull())
+
+
+def line_series(df: DataFrame, value: str, place: str, t: str, targets: list[float] | None = None, n: float = 5, **ranges) -> DataFrame:
+    """Series at places along a line, in all ``ranges`` and without outliers or nulls: ``target`` and the columns of ``df``.
+
+    For each of ``targets`` the place nearest to it (the smaller of two equally near); without targets the place, given as ``target``, that most often has the
+    day's greatest value. Two targets with one place have its series each. Outliers are more than ``n`` median absolute deviations above a place's median.
+    """
+    own = filter_ranges(df, **ranges)
+    if targets is None:
+        best = modal_argmax(own.where(F.col(value).isNotNull()), F.to_date(t), place, value).select(F.col(place).cast("double").alias("target"), place)
+    else:
+        places = own.where(F.col(place).isNotNull()).select(place).distinct().select(place, F.explode(F.array(*[F.lit(float(v)) for v in targets])).alias("target"))
+        best = places.groupBy("target").agg(F.min_by(place, F.struct(F.abs(F.col(place) - F.col("target")), F.col(place))).alias(place))
+    return mad_filter(own.join(F.broadcast(best), place), ["target"], value, n, drop=True).select("target", *df.columns)
+
+
 def quality_gate(df: DataFrame, spread: str, offset: str, most_spread: float = 2.0, most_offset: float = 1.0) -> DataFrame:
     return df.where((F.col(spread) < most_spread) & (F.abs(offset) < most_offset))
 

@@ -74,16 +74,21 @@ def triangle_downsample(spark: SparkSession, d: str) -> DataFrame:
 def _bilinear(points: str) -> str:
     return f"""
         WITH c AS {_GRID}, p AS ({points}),
-        f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), 498)::BIGINT AS y0 FROM p),
+        f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), (SELECT max(vec_id) - 1 FROM embeddings))::BIGINT AS y0 FROM p),
         s AS (SELECT f.k, sum(c.z * (CASE WHEN c.x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN c.y = y0 THEN 1 - (py - y0) ELSE py - y0 END)) AS z
             FROM f JOIN c ON c.x BETWEEN x0 AND x0 + 1 AND c.y BETWEEN y0 AND y0 + 1 GROUP BY f.k HAVING count(*) = 4)
         SELECT p.k, round(s.z, 9) AS z FROM p LEFT JOIN s USING (k)"""
 
 
-@query(_bilinear("SELECT k, (k * 0.37)::DOUBLE AS px, (k * 2.3)::DOUBLE AS py FROM (SELECT unnest(range(0, 160)) AS k)"))
+@query(_bilinear("SELECT vec_id AS k, (vec_id * 37 % 6300 / 100.0)::DOUBLE AS px, (vec_id * 0.997)::DOUBLE AS py FROM embeddings"))
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.range(160).select(F.col("id").alias("k"), (F.col("id") * 0.37).alias("px"), (F.col("id") * 2.3).alias("py"))
-    return grid.sample_bilinear(_cells(spark, d), p, "z", 63, 499).select("k", F.round("z", 9).alias("z"))
+    e, last = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("k")), _last_row(spark, d)
+    p = e.select("k", (F.col("k") * 37 % 6300 / 100.0).alias("px"), (F.col("k") * 0.997).alias("py"))
+    return grid.sample_bilinear(_cells(spark, d), p, "z", 63, last).select("k", F.round("z", 9).alias("z"))
+
+
+def _last_row(spark: SparkSession, d: str) -> int:
+    return int(read_table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0])
 
 
 _LINE = ((2.0, 10.0), (40.0, 90.0), (60.0, 400.0))
@@ -102,30 +107,45 @@ _LINE_SQL = """
     p AS (SELECT step, dist, ax + (bx - ax) * (dist - s0) / len AS px, ay + (b_y - ay) * (dist - s0) / len AS py FROM q JOIN c ON dist >= s0 AND (dist < s0 + len OR s = 1))"""
 
 
-@query(_LINE_SQL + " SELECT 1 AS line_id, step, round(dist / 1000, 2) AS distance, round(px, 6) AS px, round(py, 6) AS py FROM p")
+#: Lines of three vertices from the first six components of each row, a thousand times as large.
+_LINES_SQL = """
+    WITH l AS (SELECT vec_id, s, 1000 * embedding[2 * s - 1]::DOUBLE AS ax, 1000 * embedding[2 * s]::DOUBLE AS ay, 1000 * embedding[2 * s + 1]::DOUBLE AS bx, 1000 * embedding[2 * s + 2]::DOUBLE AS b_y FROM embeddings, (VALUES (1), (2)) AS t(s)),
+    m AS (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS len FROM l),
+    c AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY vec_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sum(len) OVER (PARTITION BY vec_id) AS total FROM m)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    vertex = lambda k: F.struct(*[(F.col("embedding")[2 * k + c].cast("double") * 1000).alias("xy"[c]) for c in (0, 1)])
+    return read_table(spark, d, "embeddings").select("vec_id", F.array(*[vertex(k) for k in range(3)]).alias("line"))
+
+
+@query(_LINES_SQL + """,
+    q AS (SELECT vec_id, k::INT AS step, least(k * 50.0::DOUBLE, total) AS dist FROM (SELECT vec_id, total, unnest(range(0, ceil(total / 50)::BIGINT + 1)) AS k FROM (SELECT DISTINCT vec_id, total FROM c)))
+    SELECT vec_id, step, round(dist / 1000, 2) AS distance, round(ax + (bx - ax) * (dist - s0) / len, 6) AS px, round(ay + (b_y - ay) * (dist - s0) / len, 6) AS py FROM q JOIN c USING (vec_id) WHERE dist >= s0 AND (dist < s0 + len OR s = 2)""")
 def densify_line(spark: SparkSession, d: str) -> DataFrame:
-    p = grid.points_along(_line(spark), "line", 25.0)
-    return p.select("line_id", "step", "distance", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+    p = grid.points_along(_lines(spark, d), "line", 50.0)
+    return p.select("vec_id", "step", "distance", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
 @query(_LINE_SQL.replace("WITH v AS", f"WITH g AS {_GRID}, v AS") + """,
-    f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), 498)::BIGINT AS y0 FROM p)
+    f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), (SELECT max(vec_id) - 1 FROM embeddings))::BIGINT AS y0 FROM p)
     SELECT step, round(dist / 1000, 2) AS distance, round(sum(g.z * (CASE WHEN g.x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN g.y = y0 THEN 1 - (py - y0) ELSE py - y0 END)), 6) AS z
     FROM f JOIN g ON g.x BETWEEN x0 AND x0 + 1 AND g.y BETWEEN y0 AND y0 + 1 GROUP BY ALL""")
 def sample_line_bilinear(spark: SparkSession, d: str) -> DataFrame:
     p = grid.points_along(_line(spark), "line", 25.0).select("step", "distance", "px", "py")
-    return grid.sample_bilinear(_cells(spark, d), p, "z", 63, 499).select("step", "distance", F.round("z", 6).alias("z"))
+    return grid.sample_bilinear(_cells(spark, d), p, "z", 63, _last_row(spark, d)).select("step", "distance", F.round("z", 6).alias("z"))
 
 
 @query(_LINE_SQL.replace("WITH v AS", f"WITH g AS {_GRID}, v AS") + """,
-    f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), 498)::BIGINT AS y0 FROM p)
+    f AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), (SELECT max(vec_id) - 1 FROM embeddings))::BIGINT AS y0 FROM p)
     SELECT cube, step, round(dist / 1000, 2) AS distance, round(sum(m * g.z * (CASE WHEN g.x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN g.y = y0 THEN 1 - (py - y0) ELSE py - y0 END)), 6) AS v
     FROM f JOIN g ON g.x BETWEEN x0 AND x0 + 1 AND g.y BETWEEN y0 AND y0 + 1 CROSS JOIN (VALUES (0, 1), (1, 2)) AS t(cube, m) GROUP BY ALL""")
 def sample_cube_line(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.robust import union_all
 
     p, c = grid.points_along(_line(spark), "line", 25.0).select("step", "distance", "px", "py"), _cells(spark, d)
-    cubes = [grid.sample_bilinear(c.withColumn("v", F.col("z") * (k + 1)), p, "v", 63, 499).withColumn("cube", F.lit(k)) for k in (0, 1)]
+    last = _last_row(spark, d)
+    cubes = [grid.sample_bilinear(c.withColumn("v", F.col("z") * (k + 1)), p, "v", 63, last).withColumn("cube", F.lit(k)) for k in (0, 1)]
     return union_all(cubes).select("cube", "step", "distance", F.round("v", 6).alias("v"))
 
 
@@ -143,10 +163,10 @@ def buffer_mask(spark: SparkSession, d: str) -> DataFrame:
     return grid.buffer_mask(_cells(spark, d).select("y", "x"), line, 5.5)
 
 
-@query(_LINE_SQL + " SELECT 1 AS line_id, round(sum(len), 6) AS length, round(sum(len * (ax + bx) / 2) / sum(len), 6) AS cx, round(sum(len * (ay + b_y) / 2) / sum(len), 6) AS cy FROM c")
+@query(_LINES_SQL + " SELECT vec_id, round(sum(len), 6) AS length, round(sum(len * (ax + bx) / 2) / sum(len), 6) AS cx, round(sum(len * (ay + b_y) / 2) / sum(len), 6) AS cy FROM c GROUP BY vec_id")
 def line_length_centroid(spark: SparkSession, d: str) -> DataFrame:
     c = grid.line_centroid(F.col("line"))
-    return _line(spark).select("line_id", F.round(grid.line_length(F.col("line")), 6).alias("length"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
+    return _lines(spark, d).select("vec_id", F.round(grid.line_length(F.col("line")), 6).alias("length"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
 
 
 @query(f"""

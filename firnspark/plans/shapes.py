@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import grid, nearest, overlay, shapes
 from ..sources.tables import read_table
 from .joins import _POINTS, _points
@@ -142,6 +143,23 @@ def nearest_shapes(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_shapes(lines, triangles, "vec_id", "other").select("vec_id", "other", F.round("distance", 9).alias("distance"))
 
 
+_CROSS = "abs((embedding[{b}]::DOUBLE - embedding[{a}]::DOUBLE) * (embedding[{c} + 1]::DOUBLE - embedding[{a} + 1]::DOUBLE) - (embedding[{c}]::DOUBLE - embedding[{a}]::DOUBLE) * (embedding[{b} + 1]::DOUBLE - embedding[{a} + 1]::DOUBLE)) / 2"
+
+
+@query(f"SELECT vec_id, 2 AS parts, round(0.75 * {_CROSS.format(a=1, b=3, c=5)} + {_CROSS.format(a=7, b=9, c=11)}, 9) AS area FROM embeddings")
+def multi_part_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of two parts, one with a hole, by way of their texts."""
+    e = read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+
+    def ring(first: int, share: float = 1.0):
+        at = lambda k, c: F.col("v")[first + c] + (F.col("v")[first + 2 * k + c] - F.col("v")[first + c]) * share
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", at(k, 0).cast("string"), at(k, 1).cast("string")) for k in (0, 1, 2, 0)]), F.lit(")"))
+
+    text = F.concat(F.lit("MULTIPOLYGON (("), ring(0), F.lit(", "), ring(0, 0.5), F.lit("), ("), ring(6), F.lit("))"))
+    shape = e.select("vec_id", geometry.parse_shape(text).alias("shape"))
+    return shape.select("vec_id", F.size("shape.parts").alias("parts"), F.round(geometry.shape_area("shape"), 9).alias("area"))
+
+
 @query("""
     WITH l AS (SELECT vec_id, s, s - 1.0::DOUBLE AS ax, embedding[s]::DOUBLE AS ay, s::DOUBLE AS bx, embedding[s + 1]::DOUBLE AS b_y FROM embeddings, (VALUES (1), (2), (3)) AS t(s)),
     m AS (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS len FROM l),

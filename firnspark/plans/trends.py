@@ -173,6 +173,42 @@ def filter_v_components(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("l_suppkey").agg(F.count("vx").alias("n_vx"), F.count("vy").alias("n_vy"), F.count("v").alias("n_v"), F.round(F.median("v"), 6).alias("v"))
 
 
+_WANTED = "date_dt >= 10 AND date_dt < 90 AND l_shipdate >= TIMESTAMP '1993-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'"
+
+
+def _velocities(spark: SparkSession, d: str) -> DataFrame:
+    """Image pairs with two components and a speed, which is null for a tenth of the rows."""
+    orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.col("l_quantity").alias("vx"), (F.col("l_discount") * 500).alias("vy"))
+    own = lines.join(orders, "l_orderkey").withColumn("date_dt", days_between("o_orderdate", "l_shipdate"))
+    return own.withColumn("v", F.when(F.col("vy") != 50, F.hypot("vx", "vy"))).select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "date_dt", "vx", "vy", "v")
+
+
+_VELOCITIES = "SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity AS vx, l_discount * 500 AS vy, date_diff('microsecond', o_orderdate, l_shipdate) / 86400000000.0 AS date_dt FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _years() -> dict:
+    return {"date_dt": (10, 90), "l_shipdate": tuple(F.lit(t).cast("timestamp_ntz") for t in ("1993-01-01", "1998-01-01"))}
+
+
+@query(f"""
+    WITH m AS (SELECT *, median(vx) OVER w AS mx, median(vy) OVER w AS my FROM ({_VELOCITIES}) WHERE {_WANTED} WINDOW w AS (PARTITION BY l_suppkey)),
+    d AS (SELECT *, median(abs(vx - mx)) OVER w AS dx, median(abs(vy - my)) OVER w AS dy FROM m WINDOW w AS (PARTITION BY l_suppkey)),
+    f AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN vx - mx < 1.5 * dx THEN vx END AS vx, CASE WHEN vy - my < 1.5 * dy THEN vy END AS vy FROM d)
+    SELECT l_orderkey, l_linenumber, l_suppkey, vx, vy, round(sqrt(vx * vx + vy * vy), 9) AS v FROM f""")
+def filtered_velocities(spark: SparkSession, d: str) -> DataFrame:
+    """Both ranges, then outliers of each component, row by row."""
+    own, _ = filters.filter_velocities(_velocities(spark, d), ["l_suppkey"], "vx", "vy", 1.5, **_years())
+    return own.select("l_orderkey", "l_linenumber", "l_suppkey", "vx", "vy", F.round("v", 9).alias("v"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(sqrt(vx * vx + vy * vy), 9) AS v FROM ({_VELOCITIES}) WHERE {_WANTED} AND vy <> 50")
+def filtered_line_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The samples along a line that the same filter leaves: in both ranges and not null."""
+    _, line = filters.filter_velocities(_velocities(spark, d), ["l_suppkey"], "vx", "vy", 1.5, line=_velocities(spark, d), **_years())
+    return line.select("l_orderkey", "l_linenumber", F.round("v", 9).alias("v"))
+
+
 @query("""
     SELECT user_id, med, nmad FROM (SELECT user_id, round(median(value) - 100, 9) AS med, round(1.4826 * mad(value), 9) AS nmad FROM events GROUP BY user_id)
     WHERE nmad < 60 AND abs(med) < 70""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import filters, stats
 from ..operators.shapes import sorted_places
 from ..sources.tables import read_table
 from .registry import query
@@ -46,6 +46,40 @@ def rolling_median_line(spark: SparkSession, d: str) -> DataFrame:
     return stats.rolling_median(read_table(spark, d, "events"), ["user_id"], "ts", "value", 21, True, 5).select("event_id", "rolling")
 
 
+_MONTH = "ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-28'"
+_ROLL = """
+    o AS (SELECT target, event_id, value, ts, median(value) OVER (PARTITION BY target) AS md FROM e),
+    f AS (SELECT *, median(abs(value - md)) OVER (PARTITION BY target) AS mad FROM o)
+    SELECT target, event_id, CASE WHEN count(value) OVER w >= 5 THEN quantile_cont(value, 0.5) OVER w END AS rolling FROM f WHERE value - md < 2 * mad"""
+
+
+def _series(spark: SparkSession, d: str, targets: list[float] | None, centred: bool) -> DataFrame:
+    month = tuple(F.lit(t).cast("timestamp_ntz") for t in ("2024-01-03", "2024-01-28"))
+    own = filters.line_series(read_table(spark, d, "events").select("event_id", "ts", "user_id", "value"), "value", "user_id", "ts", targets, 2, ts=month)
+    return stats.rolling_median(own, ["target"], "ts", "value", 21, centred, 5).select("target", "event_id", "rolling")
+
+
+@query(f"""
+    WITH s AS (SELECT * FROM events WHERE {_MONTH}), v AS (SELECT unnest([3.0, 7.4, 1000000.0]) AS target),
+    n AS (SELECT target::DOUBLE AS target, (SELECT arg_min(user_id, (abs(user_id - target), user_id)) FROM (SELECT DISTINCT user_id FROM s)) AS user_id FROM v),
+    e AS (SELECT target, event_id, ts, value FROM n JOIN s USING (user_id)), {_ROLL}
+    WINDOW w AS (PARTITION BY target ORDER BY ts RANGE BETWEEN INTERVAL 907199999999 MICROSECOND PRECEDING AND INTERVAL 907200000000 MICROSECOND FOLLOWING)""")
+def rolling_at_places(spark: SparkSession, d: str) -> DataFrame:
+    """Range, the places nearest to some, outliers, and then the centred rolling median of each."""
+    return _series(spark, d, [3.0, 7.4, 1e6], True)
+
+
+@query(f"""
+    WITH s AS (SELECT * FROM events WHERE {_MONTH}),
+    top AS (SELECT ts::DATE AS day, arg_max(user_id, (value, -user_id)) AS user_id FROM s GROUP BY 1),
+    m AS (SELECT user_id FROM top GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1),
+    e AS (SELECT user_id::DOUBLE AS target, event_id, ts, value FROM s JOIN m USING (user_id)), {_ROLL}
+    WINDOW w AS (PARTITION BY target ORDER BY ts RANGE BETWEEN INTERVAL 1814399999999 MICROSECOND PRECEDING AND CURRENT ROW)""")
+def rolling_at_peak(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the place that is fastest on most days, with a trailing window."""
+    return _series(spark, d, None, False)
+
+
 @query("""
     WITH y AS (SELECT l_suppkey, year(l_shipdate)::INT AS year, median(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
     SELECT l_suppkey, year, v * 100 / first_value(v) OVER (PARTITION BY l_suppkey ORDER BY year) AS pct FROM y""")

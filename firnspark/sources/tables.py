@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.geometry import kind_of, parse_shape, parts_of
 from ..functions.scalars import sibling_urls
 from ..operators.grid import nan_to_null
 
@@ -50,16 +51,22 @@ def search_items(items: DataFrame, box: tuple[float, float, float, float], start
     return out if cloud is None else out.where(F.col("cloud_cover") < cloud)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON files: ``file``, ``kind``, ``line`` (array of x, y; a polygon's outer ring, a point alone), ``properties`` (map of text)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    shape = "features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
-    rows = raw.select("file", F.explode(F.from_json("value", shape).features).alias("f"))
-    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    one, many, rings = F.from_json(text, "array<double>"), F.from_json(text, "array<array<double>>"), F.from_json(text, "array<array<array<double>>>")
-    vertices = F.when(kind == "Point", F.array(one)).when(kind == "LineString", many).when(kind == "Polygon", rings[0])
-    line = F.transform(vertices, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))
-    return rows.select("file", kind.alias("kind"), line.alias("line"), F.col("f.properties").alias("properties"))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON files: ``file``, ``kind``, ``line`` (array of x, y; a polygon's outer ring, a point alone; null for kinds of many parts), ``shape``
+    (all parts and holes; null for collections), ``properties`` (map of text). With ``lines`` each line is a feature, as ``write_geojson`` leaves them,
+    and files are split; else a file, one collection, is one task's."""
+    feature = "struct<type: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>"
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
+    if lines:
+        rows = raw.where(F.trim("value") != "").select("file", F.from_json(F.translate("value", "\x1e", ""), feature).alias("f"))
+    else:
+        rows = raw.select("file", F.explode(F.from_json("value", f"features array<{feature}>").features).alias("f"))
+    name, text = F.upper("f.geometry.type"), F.col("f.geometry.coordinates")
+    parts = parts_of(name, text, "double")
+    shape = F.when(parts.isNotNull(), F.struct(kind_of(name).alias("kind"), parts.alias("parts")))
+    rows = rows.select("file", F.col("f.geometry.type").alias("kind"), shape.alias("shape"), F.col("f.properties").alias("properties"))
+    line = F.when(~F.startswith("kind", F.lit("Multi")), F.get(F.get("shape.parts", F.lit(0)), F.lit(0)))
+    return rows.select("file", "kind", line.alias("line"), "shape", "properties")
 
 
 def read_old_metadata(spark: SparkSession, path: str, schema: str | StructType, times: tuple[str, ...]) -> DataFrame:
@@ -75,9 +82,11 @@ def read_notes(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 
 def parse_wkt(c: str) -> Column:
-    """Vertices of a LINESTRING or of a POLYGON's outer ring as an array of (x, y)."""
-    body = F.regexp_extract(c, r"\(+([^()]*)\)", 1)
-    return F.transform(F.split(body, r"\s*,\s*"), lambda v: F.struct(F.split_part(F.trim(v), F.lit(" "), F.lit(1)).cast("double").alias("x"), F.split_part(F.trim(v), F.lit(" "), F.lit(2)).cast("double").alias("y")))
+    """Vertices of a LINESTRING, of a POLYGON without holes, or of a POINT as an array of (x, y). Null for shapes of more parts or
+    rings, which would lose them: ``parse_shape`` has all."""
+    parts = parse_shape(c)["parts"]
+    only = F.get(parts, F.lit(0))
+    return F.when((F.size(parts) == 1) & (F.size(only) == 1), F.get(only, F.lit(0)))
 
 
 def to_wkt(line: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import grid, nearest, overlay, shapes
+from ..operators import buffers, grid, nearest, overlay, shapes
 from ..sources.tables import read_table
 from .joins import _POINTS, _points
 from .rasters import _GRID, _LINE, _cells
@@ -95,17 +95,17 @@ def _turned(spark: SparkSession, d: str) -> DataFrame:
     return p.select("label", F.array(ring).alias("rings"))
 
 
-@query(_TURNED + " SELECT label, round(area, 6) AS area, round(0.8 * cx - 0.6 * cy, 6) AS cx, round(0.6 * cx + 0.8 * cy, 6) AS cy FROM m")
+@query(_TURNED + " SELECT label, round(area, 5) AS area, round(0.8 * cx - 0.6 * cy, 5) AS cx, round(0.6 * cx + 0.8 * cy, 5) AS cy FROM m")
 def union_of_polygons(spark: SparkSession, d: str) -> DataFrame:
     out = overlay.union_measures(_turned(spark, d), ["label"], 0.25)
-    return out.select("label", *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy")])
+    return out.select("label", *[F.round(c, 5).alias(c) for c in ("area", "cx", "cy")])
 
 
-@query(_TURNED + " SELECT label, round(area, 6) AS area FROM m")
+@query(_TURNED + " SELECT label, round(area, 5) AS area FROM m")
 def dissolved_rings(spark: SparkSession, d: str) -> DataFrame:
     """The area of each label's rings, holes taken off."""
     rings = overlay.union_rings(_turned(spark, d), ["label"], 0.25)
-    return rings.groupBy("label").agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 6).alias("area"))
+    return rings.groupBy("label").agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 5).alias("area"))
 
 
 def _far(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -143,6 +143,14 @@ def nearest_shapes(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_shapes(lines, triangles, "vec_id", "other").select("vec_id", "other", F.round("distance", 9).alias("distance"))
 
 
+@query("SELECT vec_id, round(0.1 * (sqrt((embedding[3]::DOUBLE - embedding[1]::DOUBLE) ** 2 + (embedding[4]::DOUBLE - embedding[2]::DOUBLE) ** 2) + 0.1), 4) AS area FROM embeddings")
+def buffer_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Buffers with square ends of a segment from each row."""
+    segments = read_table(spark, d, "embeddings").select("vec_id", _vertices(0, 2).alias("line"))
+    pieces = buffers.buffer_pieces(segments, ["vec_id"], 0.05, cap="square", join="mitre")
+    return overlay.union_measures(pieces, ["vec_id"], 0.5).select("vec_id", F.round("area", 4).alias("area"))
+
+
 _CROSS = "abs((embedding[{b}]::DOUBLE - embedding[{a}]::DOUBLE) * (embedding[{c} + 1]::DOUBLE - embedding[{a} + 1]::DOUBLE) - (embedding[{c}]::DOUBLE - embedding[{a}]::DOUBLE) * (embedding[{b} + 1]::DOUBLE - embedding[{a} + 1]::DOUBLE)) / 2"
 
 

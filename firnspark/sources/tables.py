@@ -44,10 +44,18 @@ def read_cube(spark: SparkSession, path: str, cubes: list, years: tuple[int, int
     return out
 
 
+def micros(time: Column) -> Column:
+    """Microseconds since 1970 of a time as it is written."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+
+
 def search_items(items: DataFrame, box: tuple[float, float, float, float], start: str, end: str, cloud: float | None = None) -> DataFrame:
-    """Image items whose box (``x0``, ``x1``, ``y0``, ``y1``) overlaps, taken in [start, end) and less cloudy than given. All conditions reach the scan."""
+    """Image items whose box (``x0``, ``x1``, ``y0``, ``y1``) overlaps, taken in [start, end) and less cloudy than given. All conditions reach the scan; in
+    a table by ``write_items`` the time also as a number, by which files and their parts are skipped."""
     x0, x1, y0, y1 = box
     out = items.where((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0) & (F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end)))
+    if "time_us" in items.columns:
+        out = out.where((F.col("time_us") >= micros(F.lit(start))) & (F.col("time_us") < micros(F.lit(end))))
     return out if cloud is None else out.where(F.col("cloud_cover") < cloud)
 
 

@@ -73,3 +73,35 @@ def test_write_once_and_geojson_and_csv(spark, tmp_path):
     (tmp_path / "old.csv").write_text("a,t\n1,2020-05-06 07:08:09\n2,\n")
     rows = read_old_metadata(spark, f"{tmp_path}/old.csv", "a int, t string", ("t",)).orderBy("a").collect()
     assert str(rows[0].t) == "2020-05-06 07:08:09" and rows[1].t is None
+
+
+def scanned(df):
+    """Rows that the scans of a query gave, from their metrics."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getName() else plan
+    leaves, total = plan.collectLeaves(), 0
+    for k in range(leaves.size()):
+        total += leaves.apply(k).metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_items_along_a_curve_are_skipped(spark, tmp_path):
+    items = spark.range(60_000).selectExpr("id", "sin(id * 12.9898) * 1000 AS x0", "sin(id * 78.233) * 1000 AS y0", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, int(id * 7919 % 1000000)) AS time", "double(id * 31 % 100) AS cloud_cover")
+    items = items.selectExpr("id", "x0", "x0 + 5 AS x1", "y0", "y0 + 5 AS y1", "time", "cloud_cover").unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS DOUBLE) AS x0, 0D AS x1, 0D AS y0, 0D AS y1, CAST(NULL AS TIMESTAMP_NTZ) AS time, 1D AS cloud_cover"))
+    path = f"{tmp_path}/items"
+    sinks.write_items(items, path, files=32, group_rows=500)
+    held = spark.read.parquet(path)
+    assert held.columns == [*items.columns, "time_us"] and held.count() == 60_001
+    box, far = (300.0, 400.0, 300.0, 400.0), ("2020-06-01", "2020-09-01")
+    for where, start, end, cloud in ((box, "2000-01-01", "2100-01-01", None), (box, *far, None), ((-2000.0, 2000.0, -2000.0, 2000.0), *far, 50.0)):
+        got = tables.search_items(held, where, start, end, cloud)
+        want = tables.search_items(items, where, start, end, cloud)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect()) != []
+    everywhere = scanned(tables.search_items(held, (-2000.0, 2000.0, -2000.0, 2000.0), "2000-01-01", "2100-01-01"))
+    near, soon = scanned(tables.search_items(held, box, "2000-01-01", "2100-01-01")), scanned(tables.search_items(held, box, *far))
+    assert everywhere > 59_000 and near < everywhere / 5 and soon < near / 1.5
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = tables.search_items(held, box, *far, 50.0)._jdf.queryExecution().executedPlan().toString()
+    assert all(x in plan for x in ("LessThanOrEqual(x0,400.0)", "GreaterThanOrEqual(y1,300.0)", "LessThan(cloud_cover,50.0)")) and "GreaterThanOrEqual(time_us," in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")

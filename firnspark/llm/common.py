@@ -60,18 +60,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _WRITTEN.append(path)
     return out
 
 
+#: Paths of what has been written, oldest first, and those of tables that are still in use here.
+_WRITTEN: list[str] = []
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+def mark() -> int:
+    """How much has been written so far, for ``drop_since``."""
+    return len(_WRITTEN)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.remove(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what ``materialize`` has written for these tables, when all that is made of them is written itself. Others stay until the driver ends."""
     for df in tables:
-        spark, path = df.sparkSession, _PATHS.pop(df)
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, _PATHS.pop(df))
+
+
+def drop_since(begin: int, *keep: DataFrame) -> None:
+    """Delete all that was written after ``mark`` gave ``begin`` but for the tables named."""
+    own = {_PATHS[df] for df in keep}
+    for path in [p for p in _WRITTEN[begin:] if p not in own]:
+        _delete(keep[0].sparkSession, path)
 
 
 def settle(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, partitions, settle
+from .common import drop_since, mark, materialize, partitions, settle
 from .graph import components
 from .words import hashes, mix, shingles, text_blocks
 
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     the minima: at a similarity of 0.8 with a chance of about 1e-4 (simulated with these orders), and less above.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts, begin = partitions(spark), mark()
     signed = materialize(signed_documents(docs, size, id_col, text_col), "signed")
     full = signed.where("digest is not null and id is not null")
     reps = materialize(full.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "reps")
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         each = odd.select(F.col("region").alias("g"), "id", "component")
         links = links.unionByName(materialize(_across(each, each, signed_sets, percent), "links"))
     links = materialize(links.unionByName(copies), "links")
-    drop(sets, near)
+    drop_since(begin, signed, links)
     settle(spark)
 
     groups = components(links)

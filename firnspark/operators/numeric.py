@@ -182,20 +182,35 @@ def coregister(reference: DataFrame, others: DataFrame, key: str = "dem_id", cel
     return spark.createDataFrame([(k, *map(float, s), used[k]) for k, s in shifts.items()], f"`{key}` {kind}, dx double, dy double, dz double, n long")
 
 
-def random_points(df: DataFrame, x: str, y: str, n: int, seed: int = 1) -> DataFrame:
-    """``n`` points with replacement, x and y drawn by themselves: ``xy``, ``px``, ``py``. Rows are dealt numbers by a sort on a seeded hash; each draw picks one."""
-    total = df.count()
-    if not total:
-        return df.sparkSession.createDataFrame([], "xy long, px double, py double")
-    w = Window.partitionBy("__b").orderBy("__h")
-    numbered = df.select(F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy"), F.xxhash64(x, y, F.lit(seed)).alias("__h")).withColumn("__b", F.pmod("__h", F.lit(max(1, total // 100_000))))
-    numbered = numbered.withColumn("__n", F.row_number().over(w))
-    sizes = numbered.groupBy("__b").agg(F.max("__n").alias("m"))
-    starts = sizes.withColumn("s", F.sum("m").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = numbered.join(F.broadcast(starts), "__b").select((F.col("__n") - 1 + F.coalesce("s", F.lit(0))).alias("k"), "vx", "vy")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("xy"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(total)).alias("a"), F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(total)).alias("b"))
-    px = draws.join(numbered.select(F.col("k").alias("a"), F.col("vx").alias("px")), "a").select("xy", "px")
-    return px.join(draws.join(numbered.select(F.col("k").alias("b"), F.col("vy").alias("py")), "b").select("xy", "py"), "xy")
+def random_points(df: DataFrame, x: str, y: str, n: int, seed: int = 1, leaf: int = 100_000) -> DataFrame:
+    """``n`` points with replacement, x and y drawn by themselves: ``xy``, ``px``, ``py``. The same for a seed, however the table is split; none of an empty table.
+
+    Rows are ordered by a seeded hash and 2 ``n`` ranks are drawn first. Counts by the next twelve bits of the hash lead each rank down until its
+    part of the table has at most ``leaf`` rows, and only such parts are sorted; repeated rows are counted, not sorted. The driver holds the ranks.
+    """
+    spark, schema = df.sparkSession, "xy long, axis int, r long, path long, size long"
+    own = df.select(F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy"), F.xxhash64(x, y, F.lit(seed)).alias("h"))
+    total = own.count()
+    if not total or n < 1:
+        return spark.createDataFrame([], "xy long, px double, py double")
+    rank = F.pmod(F.xxhash64("id", F.lit(seed), F.col("axis")), F.lit(total))
+    draws = spark.range(n).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("axis")).select("id", "axis", rank, F.lit(0), F.lit(total)).collect()
+    depth, at = 0, lambda k: F.shiftrightunsigned("h", 64 - 12 * k) if k else F.lit(0).cast("long")
+    while True:
+        asked = spark.createDataFrame([tuple(r) for r in draws], schema)
+        rows = own.withColumn("path", at(depth)).join(F.broadcast(asked.select("path").distinct()), "path")  # as many rows as draws at most
+        if depth == 5 or max(r[4] for r in draws) <= leaf:
+            break
+        depth += 1
+        parts = rows.groupBy("path", at(depth).alias("child")).agg(F.count("*").alias("many"))
+        parts = parts.withColumn("upto", F.sum("many").over(Window.partitionBy("path").orderBy("child")))
+        hit = (F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("many"))
+        draws = asked.join(parts, "path").where(hit).select("xy", "axis", F.col("r") - F.col("upto") + F.col("many"), "child", "many").collect()
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    held = rows.groupBy("path", "h", "vx", "vy").agg(F.count("*").alias("many"))
+    held = held.withColumn("upto", F.sum("many").over(Window.partitionBy("path").orderBy(unsigned, "vx", "vy")))
+    got = asked.join(held, "path").where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("many")))
+    return got.groupBy("xy").agg(F.max(F.when(F.col("axis") == 0, F.col("vx"))).alias("px"), F.max(F.when(F.col("axis") == 1, F.col("vy"))).alias("py"))
 
 
 def incidence(normal: Column, sight: Column) -> Column:

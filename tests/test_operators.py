@@ -209,3 +209,17 @@ def test_density_curve_is_near_the_plain_sum(spark):
         v = groups[r.k]
         h = v.std(ddof=1) * len(v) ** -0.2
         assert r.density == pytest.approx(np.exp(-(((r.x - v) / h) ** 2) / 2).sum() / (len(v) * h * math.sqrt(2 * math.pi)), abs=0.02)
+
+
+def test_random_points(spark):
+    df = spark.createDataFrame([(float(k), float(1000 + k)) for k in range(40)] + [(7.0, 1007.0)] * 40, "x double, y double").repartition(5)
+    one, deep = (numeric.random_points(df, "x", "y", 1500, seed=3, leaf=leaf).orderBy("xy").collect() for leaf in (10**9, 3))
+    assert one == deep and len(one) == 1500 and [r.xy for r in one] == list(range(1500))
+    assert numeric.random_points(df.repartition(2), "x", "y", 1500, seed=3).orderBy("xy").collect() == one
+    assert numeric.random_points(df, "x", "y", 1500, seed=4).orderBy("xy").collect() != one
+    px, py = np.array([r.px for r in one]), np.array([r.py for r in one])
+    for v in (px, py - 1000):
+        share = np.bincount(v.astype(int), minlength=40) / 1500
+        assert abs(share[7] - 41 / 80) < 0.05 and (np.delete(share, 7) > 0).all() and np.delete(share, 7).max() < 0.03
+    assert abs(np.corrcoef(px == 7, py == 1007)[0, 1]) < 0.1  # drawn by themselves
+    assert numeric.random_points(df.limit(0), "x", "y", 5).count() == 0

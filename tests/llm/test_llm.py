@@ -535,6 +535,33 @@ def test_toxicity_thresholds_hold_at_the_share_of_the_table(spark):
     assert sum(got[k] for k in got if not toxic[k]) <= 0.05 * 2700 and sum(got[k] for k in got if toxic[k]) >= 100
 
 
+def test_toxicity_learns_from_all_rows_of_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEW", 100)
+    rng = random.Random(19)
+    # 80 words tell, each in 15 documents; a text of more than ``longest`` words counts too
+    toxic = [k % 4 == 0 for k in range(4800)]
+    texts = [f"{sentence(rng, 10)}{f' bad{k // 4 % 80}' if bad else ''} {sentence(rng, 4)}{' plain' * 60 if k % 8 < 4 else ''}" for k, bad in enumerate(toxic)]
+    labels = spark.createDataFrame([(k, int(bad)) for k, bad in enumerate(toxic)], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels, most=60, longest=50).collect()}
+    held = [k for k in got if got[k].held_out]
+    assert sum(got[k].predicted for k in held if toxic[k]) >= 0.9 * sum(toxic[k] for k in held)
+    assert sum(got[k].predicted for k in held if not toxic[k]) <= 0.02 * len(held)
+    again = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs.repartition(5), labels.repartition(3), most=60, longest=50).collect()}
+    assert again == pytest.approx({k: r.score for k, r in got.items()}, abs=1e-6)
+
+
+def test_toxicity_steps_take_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 60, n).astype(np.int32) for n in (0, 40, 3, 9, 1, 17)]
+    labels = np.array([0, 1, 0, 1, 0, 1])
+    whole = toxicity.train(texts, labels, epochs=3)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    pieces = toxicity.train(texts, labels, epochs=3)
+    np.testing.assert_allclose(pieces.embedding, whole.embedding, atol=1e-4)
+    np.testing.assert_allclose(pieces.out, whole.out, atol=1e-4)
+
+
 def test_nearest_vectors_with_repeated_ids(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8))

@@ -16,7 +16,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known. The least score comes from labelled documents that the model has not learned from: about one in
+    """Documents in a language that is known. The least score comes from all labelled documents that the model has not learned from: about one in
     200 of those that it names rightly scores lower, so as many clean documents go.
     Texts without a letter, null ones among them, go."""
     settle(spark)

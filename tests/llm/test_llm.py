@@ -435,6 +435,42 @@ def test_language_with_repeated_and_null_ids(spark):
     assert langid.in_known_language(docs).columns == docs.columns
 
 
+def test_language_learns_from_all_windows(spark):
+    rng = random.Random(25)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)]
+    # each language has 30 scripts of its own, of which a start of four texts and of one window sees few
+    scripts = {name: [chr(at + 40 * k) for k in range(30)] for name, at in (("xx", 0x4E00), ("yy", 0x6E00))}
+    texts, langs = [], {}
+    for k in range(1600):
+        langs[k] = ("xx", "yy")[k % 2]
+        own = scripts[langs[k]][k // 2 % 30]
+        texts.append(" ".join(rng.choice(common) for _ in range(rng.choice((5, 60)))) + f" {own * 3}" * 8)
+    docs = documents(spark, texts, langs)
+    got = {r.doc_id: r for r in langid.languages(docs, most=4, each=1).collect()}
+    held = [k for k in got if got[k].held_out]
+    assert sum(got[k].lang_pred == langs[k] for k in held) >= 0.97 * len(held)
+    again = {r.doc_id: r.score for r in langid.languages(docs.repartition(5), most=4, each=1).collect()}
+    assert again == pytest.approx({k: r.score for k, r in got.items()}, abs=1e-5)
+
+
+def test_least_score_is_that_of_all_held_out_documents(spark):
+    rng = random.Random(26)
+    pools = {"xx": "the of and that with thing wh".split(), "yy": "der und schein pfl zu üb ver".split()}
+    texts = [" ".join(rng.choice(pools[("xx", "yy")[k % 2]] if rng.random() < 0.7 else pools[("yy", "xx")[k % 2]]) for _ in range(12)) for k in range(1600)]
+    langs = {k: ("xx", "yy")[k % 2] for k in range(1600)}
+    docs = documents(spark, texts, langs)
+    model = langid._learned(docs, 20, 1, 2, "doc_id", "text", "lang")
+    scores = [r.score for r in langid._predicted(docs.select("doc_id", "text"), model, "text", ("pred", "score")).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.pred == langs[r.doc_id]]
+    want = float(np.quantile(scores, langid.LOST, method="lower"))
+    assert langid.least_score(docs, model, 2, "doc_id", "text", "lang") == pytest.approx(max(0.625, want), abs=1e-6) and len(scores) > 300
+    values = [rng.random() ** 3 for _ in range(500)] + [0.25] * 300 + [np.nextafter(0.25, 1)] * 40
+    table = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for share in (0.0, 0.005, 0.4, 0.62, 0.7, 1.0):
+        assert langid.lower_quantile(table, share, bins=8) == np.quantile(values, share, method="lower")
+    assert langid.lower_quantile(table.where("v > 2"), 0.5) is None
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts = [sentence(rng, 60) + (" " + rng.choice(["badword", "awful"]) + " " + sentence(rng, 20) if k % 4 == 0 else "") for k in range(400)] + [None, ""]

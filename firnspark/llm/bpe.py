@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ from .common import give_back, worker_cache
 #: Pair keys are left << SHIFT | right.
 SHIFT = 20
 #: Pieces that a worker's cache holds before those not met again are dropped.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 #: Characters of text that are looked up together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+#: Marks that are one pretoken after a word's last letter, up to the next white space; an apostrophe may begin one of letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class RankQueue:
@@ -161,18 +165,16 @@ class ByteBPE:
         return b"".join([vocab[i] for i in ids])
 
 
-def cut_text(text: str) -> list[str] | None:
-    """Pieces of a text, each standing after a space, but for the first, which is marked by ``\\0``, and those that begin
-    with a line end. None if the text has more white space in one place."""
+def mark_text(text: str) -> str | None:
+    """A text whose pieces are parted by single spaces, each standing after a space there, but for the first, which is marked by ``\\0``,
+    and those that begin with a line end. None if the text has more white space in one place."""
     if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text:
         return None
-    parts = text.replace("\n", " \n").split(" ")
-    parts[0] = "\0" + parts[0]
-    return parts
+    return "\0" + text.replace("\n", " \n")
 
 
 def piece_text(piece: str) -> str | None:
-    """What stands in the text for a piece of ``cut_text``; None if white space at one of its ends may join what is beside it."""
+    """What stands in the text for a piece of ``mark_text``; None if white space at one of its ends may join what is beside it."""
     body = piece[1:] if piece[:1] in ("\n", "\0") else piece
     if body and (body[0].isspace() or body[-1].isspace()):
         return None
@@ -211,12 +213,24 @@ class TextEncoder:
         self.pretokens.update(zip(new, self.encode_pretokens(new), strict=True))
 
     def _add(self, missing: set[str]) -> None:
-        """Add pieces. A word of letters alone is one pretoken; the others are matched in one text, where a pretoken that begins with a space begins a piece."""
-        pieces, findall = self.pieces, self.pattern.findall
-        words = [p for p in missing if p.isalpha()]
+        """Add pieces. A word of letters alone is one pretoken, and so are the marks that follow it in others; the rest are matched in one text, where
+        a pretoken that begins with a space begins a piece."""
+        pieces, before, findall = self.pieces, self.before[0], self.pattern.findall
+        words, marked, rest = [], [], []
+        for p in missing:
+            if p.isalpha():
+                words.append(p)
+            elif (word := p.rstrip(MARKS)).isalpha():
+                marked.append((p, word))
+            else:
+                rest.append(p)
+        new = {w for _, w in marked if w not in pieces}.difference(words)
+        again = new.intersection(before)
+        pieces.update({w: before[w] for w in again})
+        words += new.difference(again)
         pieces.update(zip(words, self.encode_pretokens([" " + p for p in words]), strict=True))
         spaced, found = [], []
-        for p in missing.difference(words):
+        for p in rest:
             body = piece_text(p)
             if body is None:
                 pieces[p] = None
@@ -230,38 +244,42 @@ class TextEncoder:
             found += [(p, all_[a:b]) for p, a, b in zip(spaced, starts, [*starts[1:], len(all_)], strict=False)]
         else:
             found += [(p, findall(" " + p)) for p in spaced]
-        self._fill([x for _, own in found for x in own])
+        self._fill([*{p[len(w) :] for p, w in marked}, *(x for _, own in found for x in own)])
         get = self.pretokens.__getitem__
         for p, own in found:
             pieces[p] = b"".join(map(get, own))
+        for p, word in marked:
+            pieces[p] = pieces[word] + get(p[len(word) :])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) + len(self.pretokens) > self.limit:
             self.before, self.pieces, self.pretokens = (self.pieces, self.pretokens), {}, {}
-        pieces, findall = self.pieces, self.pattern.findall
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            cut.append(own := cut_text(text))
-            if own is not None:
-                missing |= set(own).difference(pieces)
-        again = missing.intersection(self.before[0])
-        pieces.update({p: self.before[0][p] for p in again})
-        self._add(missing.difference(again))
-        out: list[bytes | None] = []
-        slow: list[int] = []
-        get = pieces.__getitem__
-        for k, own in enumerate(cut):
-            if own is not None:
-                try:
-                    out.append(b"".join(map(get, own)))
-                    continue
-                except TypeError:  # a piece whose white space joins its neighbour's
-                    pass
-            out.append(None)
-            slow.append(k)
+        pieces = self.pieces
+        marked = [mark_text(t) for t in texts]
+        cut = [k for k, t in enumerate(marked) if t is not None]
+        out: list[bytes | None] = [None] * len(texts)
+        if cut:
+            whole = [t for t in marked if t is not None]
+            ends = np.cumsum([t.count(" ") + 1 for t in whole])
+            coded = pc.split_pattern(pa.array([" ".join(whole)], pa.large_string()), " ").flatten().dictionary_encode()
+            names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+            missing = set(filterfalse(pieces.__contains__, names))
+            again = missing.intersection(self.before[0])
+            pieces.update({p: self.before[0][p] for p in again})
+            self._add(missing.difference(again))
+            ids = pa.array(map(pieces.__getitem__, names), pa.large_binary()).take(coded.indices)
+            _, offsets, data = ids.buffers()
+            begins = ends - np.diff(ends, prepend=0)
+            bounds = np.frombuffer(offsets, np.int64)[np.append(0, ends)].tolist()
+            # a null piece's white space joins its neighbour's
+            joined = np.logical_or.reduceat(ids.is_null().to_numpy(zero_copy_only=False), begins).tolist() if ids.null_count else [False] * len(cut)
+            raw = data.to_pybytes() if data else b""
+            for k, a, b, j in zip(cut, bounds, bounds[1:], joined, strict=False):
+                if not j:
+                    out[k] = raw[a:b]
+        slow = [k for k, x in enumerate(out) if x is None]
         if slow:
-            found = [findall(texts[k]) for k in slow]
+            found = [self.pattern.findall(texts[k]) for k in slow]
             self._fill([x for own in found for x in own])
             get = self.pretokens.__getitem__
             for k, own in zip(slow, found, strict=True):

@@ -30,17 +30,19 @@ class TokenizerIds:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = (b for b in range(256) if b not in set(plain))
-        self.alphabet = {b: chr(256 + k) for k, b in enumerate(others)}
+        others = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = np.arange(256, dtype="<u2")
+        self.alphabet[others] = np.arange(256, 256 + len(others))
         self.texts = TextEncoder(pattern, self.pretokens)
 
-    def shown(self, text: str) -> str:
-        return text.encode("utf-8").decode("latin-1").translate(self.alphabet)
+    def shown(self, pretokens: list[str]) -> list[str]:
+        """Pretokens in the byte-level alphabet. No text has a byte of 255, which stands for itself, so it parts them."""
+        joined = b"\xff".join([p.encode("utf-8") for p in pretokens])
+        return self.alphabet[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le").split("\xff") if pretokens else []
 
     def pretokens(self, new: list[str]) -> list[bytes]:
-        tokenize, space = self.tokenize, self.alphabet[32]
-        shown = [p.replace(" ", space) if p.isascii() and p.isprintable() else self.shown(p) for p in new]
-        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in shown]
+        tokenize = self.tokenize
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in self.shown(new)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]

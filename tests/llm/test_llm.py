@@ -223,6 +223,31 @@ def test_encoder_keeps_pieces_that_are_met_again():
     assert [x for t in texts for x in coder.encode([t])] == whole
 
 
+def test_encoder_looks_a_piece_of_a_block_up_once():
+    class Counted(dict):
+        gets = 0
+
+        def __getitem__(self, key):
+            self.gets += 1
+            return super().__getitem__(key)
+
+    coder = packing.TokenizerIds(queries.TOKENIZER, P.PATTERN)
+    coder.texts.pieces, asked, tokenize = Counted(), [], coder.tokenize
+    coder.tokenize = lambda p: asked.append(p) or tokenize(p)
+    texts = ["alpha alpha, Alpha. beta! alpha's" + " alpha beta," * 2000] * 3
+    assert coder.encode(texts) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.texts.pieces.gets < 20 and len(asked) == len(set(asked)) < 15
+
+
+def test_encoder_of_words_with_marks():
+    coder, rng = packing.TokenizerIds(queries.TOKENIZER, P.PATTERN), random.Random(17)
+    parts = ["word", "Élan", "ß", "漢字", "e\u0301", "n3", "ªº", "<|endoftext", "'s", "'", "’", "...", "!?", "|", "_", "-", "\\", '"', "…", "€", "\x85", "\xa0", "\x00", "ÿ", "\xff", " ", " ", "\n", "\t", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for some in (["", ""], [" "], ["\n"], ["  "], texts, texts[::-1], [texts[0]]):
+        assert coder.encode(some) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        coder.texts.limit = 500
+
+
 def test_best_fit_plan_packs_each_piece_once():
     rng = random.Random(2)
     histogram = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 101), 40)}

@@ -6,7 +6,9 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from firnspark.llm import ann, bpe, chat, graph, hmm, langid, minhash, packing, queries, simhash, substrings, toxicity, words
+from firnspark.llm import ann, bpe, chat, common, graph, hmm, langid, minhash, packing, queries, simhash, substrings, toxicity, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
 
@@ -223,6 +225,23 @@ def test_encoder_keeps_pieces_that_are_met_again():
     assert [x for t in texts for x in coder.encode([t])] == whole
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(setting)
+    shuffled = spark.range(5000).repartition(3, "id").join(spark.range(4000).hint("merge"), "id").groupBy("id").count()
+    table = common.materialize(shuffled, "shuffled")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(setting) == was
+    assert table.count() == shuffled.count() == 4000  # what was written, and the plan again
+
+
 def test_encoder_looks_a_piece_of_a_block_up_once():
     class Counted(dict):
         gets = 0

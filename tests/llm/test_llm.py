@@ -175,6 +175,68 @@ def test_chains_and_alignment():
     assert [tree.up_to(k)[1] for k in (0, 1, 2, 4, 7)] == [-1, 1, 1, 3, 3]
 
 
+def test_words_of_a_block_are_hashed_together():
+    """The hashes and counts of texts one by one, whatever the words' lengths and the white space at their ends; no word is looked up by itself but for very long ones."""
+    rng = random.Random(31)
+    texts = [b"", b" \n", "\x0b\u00c4bc\x1cd  E\te ".encode(), b"a" * 31 + b" " + b"B" * 32 + b"\r" + b"c" * 1000]
+    for _ in range(200):
+        texts.append(rng.choice(["", " ", "\f"]).join(" " * rng.randrange(3) + rng.choice("xYz\u00e9\u4e2d") * rng.randrange(1, 45) for _ in range(rng.randrange(20))).encode())
+    for own in (texts, texts[::-1], [b""], [b"", b" "]):
+        h = words.WordHashes()
+        plain = [h.of(t) for t in own]
+        got, counts = words.block_hashes(own)
+        assert counts.tolist() == [len(x) for x in plain] and got.tolist() == np.concatenate(plain).tolist()
+
+
+def test_seeds_of_a_block_are_those_of_each_text():
+    """Against a plain search of each window of each text, with short, empty and periodic ones; texts beside each other share no seed."""
+
+    def plain(own):
+        values = words.shingles(own, substrings.KMER).tolist() if len(own) >= substrings.KMER else []
+        at = []
+        for s in range(max(1, len(values) - substrings.WINDOW + 1) if values else 0):
+            window = values[s : s + substrings.WINDOW]
+            if not at or at[-1] != s + window.index(min(window)):
+                at.append(s + window.index(min(window)))
+        found, run = [], 0
+        for k, p in enumerate(at):
+            run = run + 1 if k and values[p] == values[at[k - 1]] else 0
+            found.append(int(words.mix(np.array([values[p] + run & (1 << 64) - 1], np.uint64))[0]) if run else values[p])
+        long = words.shingles(np.array(found, np.uint64), substrings.RUN).tolist() if len(found) >= substrings.RUN else []
+        return sorted([*zip(found, at, strict=True), *((v, p) for v, p in zip(long, at, strict=False) if v % substrings.SHARE == 0)])
+
+    rng = np.random.default_rng(32)
+    for _ in range(60):
+        texts = [rng.integers(0, rng.choice([1, 2, 3, 1000]), rng.choice([0, 1, 4, 5, 6, 13, 14, 15, 40, 120])).astype(np.uint64) for _ in range(rng.integers(1, 8))]
+        text, values, at = substrings.block_seeds(np.concatenate(texts), np.array([len(t) for t in texts]))
+        for k, own in enumerate(texts):
+            assert sorted(zip(values[text == k].tolist(), at[text == k].tolist(), strict=True)) == plain(own)
+        assert (np.diff(text) >= 0).all() and all((np.diff(at[text == k]) >= 0).all() for k in range(len(texts)))
+
+
+def test_common_subsequences_and_equal_words():
+    """Partners are those of the plain table: of ways of one length, the last equal words first, then what the word of x doesn't need is left out. Equal words are counted slice by slice."""
+    rng = np.random.default_rng(33)
+    for _ in range(400):
+        x, y = (rng.integers(0, rng.integers(1, 30), rng.integers(0, 70)).astype(np.uint64) for _ in range(2))
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            table[i + 1, j + 1] = table[i, j] + 1 if x[i] == y[j] else max(table[i, j + 1], table[i + 1, j])
+        i, j, pairs = len(x), len(y), []
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif table[i - 1, j] >= table[i, j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        assert list(zip(*substrings._matches(x, y), strict=True)) == pairs[::-1]
+    sides = [[rng.integers(0, 12, n).astype(np.uint64) for n in rng.integers(0, 9, 300)] for _ in range(2)]
+    args = [a for own in sides for a in (np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own])))]
+    assert substrings._equal_words(*args).tolist() == [int(np.isin(x, y).sum()) for x, y in zip(*sides, strict=True)]
+
+
 def test_byte_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}

@@ -26,7 +26,9 @@ OWN, FORMS, KNOWN = 4096, 256, 65_536
 #: Hidden states, and tokens of a segment; segments of all texts are worked on side by side.
 STATES, SEGMENT = 8, 128
 #: Segments that are worked on together.
-TOGETHER = 1500
+TOGETHER = 4000
+#: Texts with a segment in one place that go on abreast, token by token; fewer are cut into segments that don't wait for each other.
+WIDE = 64
 CLASSES = 1 + OWN + FORMS
 #: Bytes of text whose words are counted before they leave a task.
 COUNT_BYTES = 16_000_000
@@ -83,70 +85,130 @@ def transfers(model: Model, rows: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return (matrix / top[:, None, None])[back], (scale + np.log(top))[back]
 
 
-def _by_place(owner: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Segment numbers of the texts' first segments, second ones and so on."""
+class Abreast:
+    """Segments that are worked on side by side, the longest first, with their tokens one step after the other: ``sizes`` of the steps, ``classes`` and,
+    by state, what each class's emission is."""
+
+    def __init__(self, model: Model, rows: np.ndarray, at: np.ndarray):
+        self.at, by_step = at, rows[at].T
+        on = by_step >= 0
+        self.sizes, self.classes = on.sum(axis=1).tolist(), by_step[on]
+        self.emitted = np.take(np.ascontiguousarray(model.emit.T), self.classes, axis=1)
+
+    def ahead(self, model: Model, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states' shares after each segment, and the logarithm of its probability. ``alpha`` keeps the shares after each token; emissions are divided by the token's probability."""
+        self.alpha, end, v, log = np.empty_like(self.emitted), 0, before, np.zeros(len(self.at))
+        for t, m in enumerate(self.sizes):
+            if not m:
+                break
+            emitted, alpha = self.emitted[:, end : end + m], self.alpha[:, end : end + m]
+            np.matmul(model.move.T, v[:, :m], out=alpha)
+            if t == 0:
+                alpha[:, first] = model.start[:, None]
+            norm = np.einsum("sn,sn->n", alpha, emitted)
+            emitted /= norm
+            alpha *= emitted
+            log[:m] += np.log(norm)
+            v = alpha if m == v.shape[1] else np.concatenate([alpha, v[:, m:]], axis=1)
+            end += m
+        return v, log
+
+    def back(self, model: Model, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions, and what follows the segments before these: the likelihoods by state, the largest being 1. After ``ahead``."""
+        end, beta, pairs = len(self.classes), after, np.zeros((STATES, STATES))
+        gamma = np.empty_like(self.alpha)
+        for t in reversed(range(SEGMENT)):
+            m = self.sizes[t]
+            if not m:
+                continue
+            end -= m
+            own = beta[:, :m]
+            shares = np.multiply(self.alpha[:, end : end + m], own, out=gamma[:, end : end + m])
+            norm = 1 / shares.sum(axis=0)
+            shares *= norm
+            came = self.emitted[:, end : end + m] * own
+            # the emissions being divided by the tokens' probabilities, ``norm`` makes the pairs of states add up to 1 as well
+            if t:
+                before_it = end - self.sizes[t - 1]
+                pairs += self.alpha[:, before_it : before_it + m] @ (came * norm).T
+            else:
+                pairs += np.where(first, 0, before) @ np.where(first, 0, came * norm).T
+            came = model.move @ came
+            came /= came.max(axis=0)
+            beta = came if m == beta.shape[1] else np.concatenate([came, beta[:, m:]], axis=1)
+        start = gamma[:, : len(self.at)][:, first].sum(axis=1)
+        emit = np.stack([np.bincount(self.classes, g, CLASSES) for g in gamma])
+        return start, model.move * pairs, emit, beta
+
+
+def _places(rows: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Segment numbers of the texts' first segments, second ones and so on, the longest first: as long as ``WIDE`` texts have one, and those of the other places."""
     starts = np.flatnonzero(first)
     place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.append(starts, len(owner))))
-    order = np.argsort(place, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(place))[:-1])
+    order = np.lexsort((-(rows >= 0).sum(axis=1), place))
+    sizes = np.bincount(place)
+    parts = np.split(order, np.cumsum(sizes)[:-1])
+    wide = int((sizes >= WIDE).sum())
+    return parts[:wide], parts[wide:]
 
 
-def forward(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural logarithm of each text's probability; the states' shares before each segment; the transfers."""
-    matrix, scale = transfers(model, rows, first)
-    before = np.full((len(rows), STATES), 1 / STATES, model.move.dtype)
+def forward(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[Abreast, np.ndarray]]]:
+    """Natural logarithm of each text's probability; the states' shares before each segment (by state); with ``counted``, segments
+    that have gone ahead together, and what follows each of the last of them.
+
+    Places that many texts have go one after the other, all texts abreast; those that only a few long texts have by matrices, all of them at a time.
+    """
+    wide, narrow = _places(rows, owner, first)
     total = np.zeros(owner[-1] + 1)
-    np.add.at(total, owner, scale)
-    for at in _by_place(owner, first):
-        after = np.einsum("ns,nst->nt", before[at], matrix[at])
-        norm = after.sum(axis=1)
+    before = np.full((STATES, len(rows)), 1 / STATES, model.move.dtype)
+    last = np.append(first[1:], True)
+    held = []
+    for at in wide:
+        group = Abreast(model, rows, at)
+        v, log = group.ahead(model, before[:, at], first[at])
+        total[owner[at]] += log
+        more = np.flatnonzero(~last[at])
+        before[:, at[more] + 1] = v[:, more]
+        if counted:
+            held.append((group, None))
+    if not narrow:
+        return total, before, held
+    rest = np.concatenate(narrow)
+    rest = rest[np.argsort(-(rows[rest] >= 0).sum(axis=1), kind="stable")]
+    matrix, scale = transfers(model, rows[rest], first[rest])
+    np.add.at(total, owner[rest], scale)
+    where = np.zeros(len(rows), int)
+    where[rest] = np.arange(len(rest))
+    for at in narrow:
+        v = np.einsum("sn,nst->tn", before[:, at], matrix[where[at]])
+        norm = v.sum(axis=0)
         total[owner[at]] += np.log(norm)
-        more = at + 1
-        good = np.flatnonzero((more < len(rows)) & ~first[np.minimum(more, len(rows) - 1)])
-        before[more[good]] = after[good] / norm[good, None]
-    return total, before, matrix
+        more = np.flatnonzero(~last[at])
+        before[:, at[more] + 1] = v[:, more] / norm[more]
+    if counted:
+        after = np.ones((STATES, len(rows)), model.move.dtype)
+        for at in reversed(narrow[1:]):
+            x = np.einsum("nst,tn->sn", matrix[where[at]], after[:, at])
+            after[:, at - 1] = x / x.max(axis=0)
+        group = Abreast(model, rows, rest)
+        group.ahead(model, before[:, rest], first[rest])
+        held.append((group, after[:, rest]))
+    return total, before, held
 
 
 def expected(model: Model, rows: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions, and the log-likelihood."""
-    total, before, matrix = forward(model, rows, owner, first)
-    after = np.ones((len(rows), STATES), model.move.dtype)
-    for at in reversed(_by_place(owner, first)):
-        prior = at - 1
-        good = np.flatnonzero(~first[at])
-        x = np.einsum("nst,nt->ns", matrix[at[good]], after[at[good]])
-        after[prior[good]] = x / x.max(axis=1, keepdims=True)
-    n = len(rows)
-    alpha = np.zeros((SEGMENT, n, STATES), model.move.dtype)
-    v = before
-    for t in range(SEGMENT):
-        on = rows[:, t] >= 0
-        step = v @ model.move
-        if t == 0:
-            step[first] = model.start
-        step = step * _emitted(model, rows[:, t])
-        step /= step.sum(axis=1, keepdims=True)
-        v = np.where(on[:, None], step, v)
-        alpha[t] = v
+    total, before, held = forward(model, rows, owner, first, counted=True)
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-    beta = after
-    for t in reversed(range(SEGMENT)):
-        on = rows[:, t] >= 0
-        own = np.flatnonzero(on)
-        gamma = alpha[t][own] * beta[own]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        for s in range(STATES):
-            emit[s] += np.bincount(rows[own, t], gamma[:, s], CLASSES)
-        came = _emitted(model, rows[own, t]) * beta[own]
-        was = alpha[t - 1][own] if t else before[own]
-        inner = np.ones(len(own), bool) if t else ~first[own]
-        if t == 0:
-            start += gamma[first[own]].sum(axis=0)
-        weight = np.einsum("ns,st,nt->n", was[inner], model.move, came[inner])
-        move += model.move * (was[inner].T @ (came[inner] / weight[:, None]))
-        back = came @ model.move.T
-        beta = beta.copy()
-        beta[own] = back / back.max(axis=1, keepdims=True)
+    after = np.ones((STATES, len(rows)), model.move.dtype)
+    while held:
+        group, known = held.pop()
+        at = group.at
+        *sums, beta = group.back(model, before[:, at], after[:, at] if known is None else known, first[at])
+        for s, x in zip((start, move, emit), sums, strict=True):
+            s += x
+        more = np.flatnonzero(~first[at])
+        after[:, at[more] - 1] = beta[:, more]
     return start, move, emit, float(total.sum())
 
 
@@ -210,21 +272,30 @@ def frequent(counts: DataFrame, most: int) -> list:
     sizes = sorted(((r.s, r.c) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
     taken, wanted = 0, F.lit(False)
     for s, c in sizes:
-        part = min(1.0, (most - taken) / c)
-        wanted = wanted | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30))))
+        # all above the class in which the cut falls, so the condition is as short for many classes as for one
+        wanted = (step > s) | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(min(1.0, (most - taken) / c) * (1 << 30))))
         taken += c
         if taken >= most:
             break
     return sorted(counts.where(wanted).collect(), key=lambda r: (-r.n, bytes(r.word)))[:most]
 
 
+class Numbers(dict):
+    """Number by known word; that of another word's form, the word being kept in ``rare``."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        return self.forms + zlib.crc32(word[-3:]) % FORMS
+
+
 class Coder:
     """Classes of a text's tokens in a worker."""
 
     def __init__(self, known: list[tuple[bytes, int]]):
         self.size = len(known)
         # number of a token: 0 the end, then known words by frequency, then forms
-        self.number = {w: k for k, (w, _) in enumerate(known)}
+        self.number = Numbers((w, k) for k, (w, _) in enumerate(known))
+        self.number.forms = self.size
         self.log = np.log10(np.array([n for _, n in known] + [0] * FORMS, float) + 1)
         code = np.arange(self.size + FORMS)
         code[OWN + 1 :] = [form(w) for w, _ in known[OWN + 1 :]] + list(range(1 + OWN, CLASSES)) if self.size > OWN else 0
@@ -234,13 +305,11 @@ class Coder:
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the tokens and the words without a number of their own."""
-        number, size = self.number, self.size
-        found = [number.get(w, w) for w in text.lower().split()]
-        rare = [w for w in found if type(w) is bytes]
-        if rare:
-            found = [size + form(w) - 1 - OWN if type(w) is bytes else w for w in found]
-        found.append(0)
-        return np.array(found, np.int64), rare
+        words = text.lower().split()
+        self.number.rare = rare = []
+        found = np.zeros(len(words) + 1, np.int64)
+        found[:-1] = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return found, rare
 
 
 def hmm_scores(docs: DataFrame, passes: int = 2, start_docs: int = 1000, longest: int = 2000, divisor: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

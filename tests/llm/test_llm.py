@@ -431,6 +431,42 @@ def test_hidden_markov_forward_is_exact():
     assert start.sum() == pytest.approx(5, rel=1e-4) and emit.sum() == pytest.approx(sum(map(len, texts)), rel=1e-4) and move.sum() == pytest.approx(sum(map(len, texts)) - 5, rel=1e-4)
 
 
+def test_hidden_markov_counts_of_texts_abreast(monkeypatch):
+    """Likelihoods and expected counts against a plain recursion in both directions; matrices only for places that few texts have."""
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES).T)
+    sizes = [1, 2, 127, 128, 129, 256, 257] * 30 + [700, 1500]
+    texts = [rng.integers(0, hmm.CLASSES, n) for n in rng.permutation(sizes)]
+    start, move, emit, total = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES)), []
+    for x in texts:
+        alpha, log = [model.start * model.emit[x[0]]], 0.0
+        for c in x[1:]:
+            log += np.log(alpha[-1].sum())
+            alpha[-1] = alpha[-1] / alpha[-1].sum()
+            alpha.append(alpha[-1] @ model.move * model.emit[c])
+        total.append(log + np.log(alpha[-1].sum()))
+        beta = np.ones(hmm.STATES)
+        for t in reversed(range(len(x))):
+            gamma = alpha[t] * beta / (alpha[t] @ beta)
+            emit[:, x[t]] += gamma
+            if not t:
+                start += gamma
+                break
+            pairs = alpha[t - 1][:, None] * model.move * (model.emit[x[t]] * beta)
+            move += pairs / pairs.sum()
+            beta = model.move @ (model.emit[x[t]] * beta)
+            beta = beta / beta.sum()
+    by_matrices, transfers = [], hmm.transfers
+    monkeypatch.setattr(hmm, "transfers", lambda m, rows, first: by_matrices.append(len(rows)) or transfers(m, rows, first))
+    parts = hmm.segments(texts)
+    assert hmm.forward(model, *parts)[0] == pytest.approx(total, rel=1e-10)
+    got = hmm.expected(hmm.for_counts(model), *parts)
+    for x, y in zip(got, (start, move, emit), strict=False):
+        assert np.abs(x - y).max() <= 1e-4 * y.max()
+    # 92 texts have a second segment; third ones, which 32 have, and later ones are too few to go abreast
+    assert by_matrices == [30 + 4 + 10] * 2
+
+
 def test_hidden_markov_scores(spark):
     rng = random.Random(3)
     texts = [None, "", "Rare", *(sentence(rng, 60, s, 30) for s in "ab" * 30)]
@@ -451,6 +487,16 @@ def test_frequent_words_of_one_count(spark):
     assert len(hmm.frequent(counts, 5001)) == 5001
 
 
+def test_frequent_words_by_one_comparison(spark, monkeypatch):
+    """However many classes of counts are above the cut, a word's class is looked at a few times only."""
+    counts = spark.createDataFrame([(bytearray(f"w{k}".encode()), k * k + 1) for k in range(1, 400)], "word binary, n long")
+    asked, where = [], type(counts).where
+    monkeypatch.setattr(type(counts), "where", lambda df, condition: asked.append(str(condition)) or where(df, condition))
+    got = hmm.frequent(counts, 350)
+    assert 340 <= len(got) <= 350 and [r.n for r in got[:300]] == [k * k + 1 for k in range(399, 99, -1)]
+    assert len(asked) == 1 and asked[0].lower().count("log2") == 2
+
+
 def test_hidden_markov_scores_against_the_plain_recursion(spark):
     """``score`` again from the model that the query ends with: states emit classes, a class's words share by count."""
     rng = random.Random(13)

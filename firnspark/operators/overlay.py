@@ -7,6 +7,7 @@ its first vertex at the end. They must not cross themselves. Coordinates are rou
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,60 +21,225 @@ from .grid import _squares
 BITS = 29
 STEPS = 1 << BITS
 ENDS = ("x1", "y1", "x2", "y2")
+#: Edges within a cell from which on it is cut into four, halvings in a row that part few of them before it is left whole, and segments that are cut at once.
+LEAF, STUCK, AT_ONCE = 16, 3, 400_000
+
+
+def parted(s: np.ndarray, own: np.ndarray, axis: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments cut where they cross the lines ``at``, parallel to the other axis, and whose they are. A point on a line is made in the same way
+    from either direction; it is rounded where the coordinates are whole."""
+    a, b = s[:, axis], s[:, axis + 2]
+    crossing = (np.minimum(a, b) < at) & (np.maximum(a, b) > at)
+    if not crossing.any():
+        return s, own
+    k = np.flatnonzero(crossing)
+    up = (a[k] < b[k])[:, None]
+    lo, hi = np.where(up, s[k, :2], s[k, 2:]), np.where(up, s[k, 2:], s[k, :2])
+    point = lo + (hi - lo) * ((at[k] - lo[:, axis]) / (hi[:, axis] - lo[:, axis]))[:, None]
+    point = np.rint(point).astype(s.dtype) if s.dtype.kind == "i" else point
+    point[:, axis] = at[k]
+    first = np.arange(len(s)) + np.cumsum(crossing) - crossing
+    out = np.empty((len(s) + len(k), 4), s.dtype)
+    out[first] = s
+    out[first[k], 2:] = point
+    out[first[k] + 1] = np.column_stack([point, s[k, 2:]])
+    return out, np.repeat(own, 1 + crossing)
+
+
+def pressed(s: np.ndarray, axis: int, at: np.ndarray, below: bool) -> np.ndarray:
+    """Segments that cross no line with what is beyond it moved onto it: a closed line stays closed, and winds about the points on this side as before."""
+    s = s.copy()
+    for k in (axis, axis + 2):
+        s[:, k] = np.minimum(s[:, k], at) if below else np.maximum(s[:, k], at)
+    return s
 
 
-def clip_half(ring: np.ndarray, axis: int, at: float, below: bool) -> np.ndarray:
-    """The part of a ring on one side of an axis-parallel line, along which it may run back and forth. A point on the line is made in the same way from
-    both sides, so neighbouring squares agree on it."""
-    if not len(ring):
-        return ring
-    other = np.roll(ring, -1, axis=0)
-    side = ring[:, axis] <= at if below else ring[:, axis] >= at
-    cross = side != np.roll(side, -1)
-    swap = (ring[:, axis] > other[:, axis])[:, None]
-    a, b = np.where(swap, other, ring), np.where(swap, ring, other)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = (at - a[:, axis]) / (b[:, axis] - a[:, axis])
-        point = a + (b - a) * share[:, None]
-    point[:, axis] = at
-    return np.stack([ring, point], axis=1).reshape(-1, 2)[np.stack([side, cross], axis=1).ravel()]
+def netted(line: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of directed pieces ``a`` to ``b`` along numbered lines what is left where those of opposite directions cancel: line, from, to."""
+    where, at, d = np.concatenate([line, line]), np.concatenate([a, b]), np.concatenate([np.ones(len(a), np.int64), np.full(len(b), -1, np.int64)])
+    order = np.lexsort((at, where))
+    where, at, d = where[order], at[order], d[order]
+    first = np.ones(len(at), bool)
+    first[1:] = (where[1:] != where[:-1]) | (at[1:] != at[:-1])
+    d = np.add.reduceat(d, np.flatnonzero(first)) if len(d) else d
+    where, at = where[first][d != 0], at[first][d != 0]
+    net = np.cumsum(d[d != 0])[:-1]  # of a line it ends at nothing
+    where, lo, hi = where[:-1], at[:-1], at[1:]
+    many = np.abs(net)
+    where, lo, hi, up = (np.repeat(v, many) for v in (where, lo, hi, net > 0))
+    return where, np.where(up, lo, hi), np.where(up, hi, lo)
+
+
+def _on_border(s: np.ndarray, corner: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Of segments in square cells the side of the cell that they run along: 0 left, 1 right, 2 low, 3 high, or -1."""
+    out = np.full(len(s), -1)
+    for axis in (1, 0):
+        for far in (1, 0):
+            at = corner[:, axis] + far * side
+            out[(s[:, axis] == at) & (s[:, axis + 2] == at)] = 2 * axis + far
+    return out
 
 
-def oriented(ring: np.ndarray, outer: bool) -> np.ndarray:
-    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
-    area = float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
-    return ring if (area > 0) == outer else ring[::-1]
+def _without_turns(s: np.ndarray, own: np.ndarray, corner: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of polygons in cells (``corner`` and ``side`` for each segment) without those of no length and with the pieces along the borders netted for each polygon; also which are along a border."""
+    some = (s[:, :2] != s[:, 2:]).any(axis=1)
+    s, own, corner, side = s[some], own[some], corner[some], side[some]
+    border = _on_border(s, corner, side)
+    edge, k = border >= 0, np.flatnonzero(border >= 0)
+    axis = 1 - border[k] // 2  # along which it runs
+    rows = np.arange(len(k))
+    line, a, b = netted(own[k] * 4 + border[k], s[k][rows, axis], s[k][rows, axis + 2])
+    its = line // 4
+    begin = np.searchsorted(own, its)  # a polygon's segments are together
+    which, upright = line % 4, line % 4 < 2
+    at = np.where(upright, corner[begin, 0], corner[begin, 1]) + which % 2 * side[begin] if len(line) else line
+    new = np.column_stack([np.where(upright, at, a), np.where(upright, a, at), np.where(upright, at, b), np.where(upright, b, at)])
+    s, own = np.concatenate([s[~edge], new]), np.concatenate([own[~edge], its])
+    along = np.concatenate([np.zeros((~edge).sum(), bool), np.ones(len(new), bool)])
+    order = np.argsort(own, kind="stable")
+    return s[order], own[order], along[order]
+
+
+def _loops(corner: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Borders of cells, with the cell to the left."""
+    x0, y0, x1, y1 = corner[:, 0], corner[:, 1], corner[:, 0] + side, corner[:, 1] + side
+    return np.concatenate([np.column_stack(c) for c in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))])
+
+
+def united(s: np.ndarray, own: np.ndarray, side: int) -> np.ndarray:
+    """Like ``boundary`` for the polygons ``own`` (numbers that ascend) in a square cell from 0 to ``side``.
+
+    A cell that a polygon covers whole is done, whatever else is in it; one with more than ``LEAF`` edges inside is cut into four, and only those with
+    fewer, or whose edges do not part, are noded. So where polygons lie deep upon each other their crossings are not made. Borders of cells cancel.
+    """
+    out: list[np.ndarray] = []
+    borders: list[np.ndarray] = []
+
+    def done(edges: np.ndarray, corner: np.ndarray, width: np.ndarray) -> None:
+        along = _on_border(edges, corner, width) >= 0
+        out.append(edges[~along])
+        borders.append(edges[along])
+
+    s, own, along = _without_turns(s, own, np.zeros((len(s), 2), np.int64), np.full(len(s), side))
+    # cells: corner, side, halvings without effect, edges before; polygons: the cell of each
+    todo = [(s, own, along, np.zeros(int(own[-1]) + 1 if len(own) else 0, np.int64), np.array([[0, 0, side, 0, 0]], np.int64))]
+    while todo:
+        s, own, along, cell, cells = todo.pop()
+        if not len(s):
+            continue
+        # polygons without an edge inside cover their cell or nothing of it
+        polygons = len(cell)
+        inside = np.bincount(own[~along], minlength=polygons)
+        corner, width = cells[cell[own], :2], cells[cell[own], 2]
+        x1, y1, x2, y2 = (s - np.tile(corner, 2)).T.astype(np.float64)
+        area = np.bincount(own, x1 * y2 - x2 * y1, polygons)
+        full = np.zeros(len(cells), bool)
+        full[cell[(inside == 0) & (area > cells[cell, 2].astype(np.float64) ** 2)]] = True
+        done(_loops(cells[full, :2], cells[full, 2]), np.tile(cells[full, :2], (4, 1)), np.tile(cells[full, 2], 4))
+        live = (inside > 0) & ~full[cell]
+        here = live[own]
+        s, own, along = s[here], own[here], along[here]
+        edges = np.bincount(cell[own[~along]], minlength=len(cells))
+        # of a cell's quarters one still has nearly all edges, and others have them too
+        again = np.tile(edges.reshape(4, -1).sum(axis=0), 4) if len(cells) > 1 else edges
+        stuck = np.where((edges * 10 > cells[:, 4] * 9) & (again * 2 > cells[:, 4] * 3) & (cells[:, 4] > 0), cells[:, 3] + 1, 0)
+        leaf = (edges <= LEAF) | (stuck >= STUCK) | (cells[:, 2] < 4)
+        by_cell = cell[own]
+        order = np.argsort(by_cell, kind="stable")
+        ends = np.searchsorted(by_cell[order], np.arange(len(cells) + 1))
+        for c in np.flatnonzero(leaf & (edges > 0)):
+            got = boundary(s[order[ends[c] : ends[c + 1]]])
+            done(got, np.broadcast_to(cells[c, :2], (len(got), 2)), np.broadcast_to(cells[c, 2], len(got)))
+        go = np.flatnonzero(~leaf & (edges > 0))
+        # so many cells at a time as have AT_ONCE segments
+        batch = np.cumsum((ends[1:] - ends[:-1])[go]) // AT_ONCE
+        for n in np.unique(batch):
+            which = go[batch == n]
+            k = np.concatenate([np.arange(ends[c], ends[c + 1]) for c in which])
+            k = np.sort(order[k])
+            todo.append(_quarters(s[k], own[k], cell, np.column_stack([cells[which, :3], stuck[which], edges[which]]), which))
+    along_all = np.concatenate(borders) if borders else np.zeros((0, 4), np.int64)
+    upright = along_all[:, 0] == along_all[:, 2]
+    for axis, b in ((0, along_all[upright]), (1, along_all[~upright])):
+        at, p, q = netted(b[:, axis], b[:, 1 - axis], b[:, 3 - axis])
+        out.append(np.column_stack([at, p, at, q] if axis == 0 else [p, at, q, at]))
+    return np.concatenate(out)
+
+
+def _quarters(s: np.ndarray, own: np.ndarray, cell: np.ndarray, cells: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What lies in the four quarters of cells, of which ``which`` has the numbers in ``cell``: segments, whose, whether along a border, the cell of each polygon, cells."""
+    for axis in (0, 1):
+        own, number = np.unique(own, return_inverse=True)[::-1]
+        place = np.searchsorted(which, cell[number])  # the cell of each polygon
+        middle = cells[:, axis] + cells[:, 2] // 2
+        s, own = parted(s, own, axis, middle[place[own]])
+        n, at = len(number), middle[place[own]]
+        s = np.concatenate([pressed(s, axis, at, True), pressed(s, axis, at, False)])
+        own, cell = np.concatenate([own, own + n]), np.concatenate([place, place + len(cells)])
+        far = cells.copy()
+        far[:, axis] = middle
+        cells, which = np.concatenate([cells, far]), np.arange(2 * len(cells))
+    cells[:, 2] //= 2
+    s, own, along = _without_turns(s, own, cells[cell[own], :2], cells[cell[own], 2])
+    return s, own, along, cell, cells
 
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
 
-def noded(s: np.ndarray, chunk: int = 256) -> np.ndarray:
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and which of them each row is."""
+    order = np.lexsort(rows.T[::-1])
+    own = rows[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:, 0] != own[:-1, 0]
+    for k in range(1, rows.shape[1]):
+        new[1:] |= own[1:, k] != own[:-1, k]
+    which = np.empty(len(own), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return own[new], which
+
+
+def _spans(first: np.ndarray, many: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (k, first[k] + 0, 1, ... many[k] - 1), about ``most`` at a time."""
+    batch = np.cumsum(many) // most
+    for n in np.unique(batch):
+        k = np.flatnonzero(batch == n)
+        m = many[k]
+        yield np.repeat(k, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[k], m)
+
+
+def noded(s: np.ndarray) -> np.ndarray:
     """Segments (x1, y1, x2, y2, in whole steps) cut where they meet, until none meets another but at its ends. Places where two cross are
     rounded, which can make new ones; those are found in the next round."""
     for _ in range(20):
+        s = s[np.argsort(np.minimum(s[:, 0], s[:, 2]), kind="stable")]
         a, b = s[:, :2], s[:, 2:]
         low, high = np.minimum(a, b), np.maximum(a, b)
+        lx, ly, hy = (np.ascontiguousarray(v) for v in (low[:, 0], low[:, 1], high[:, 1]))
         nodes: list[np.ndarray] = []
-        for k in range(0, len(s), chunk):
-            i, j = np.nonzero((low[k : k + chunk, None] <= high[None]).all(axis=2) & (high[k : k + chunk, None] >= low[None]).all(axis=2))
-            i = i + k
-            i, j = i[i < j], j[i < j]
+        here = np.arange(len(s))
+        for i, j in _spans(here + 1, np.searchsorted(lx, high[:, 0], "right") - here - 1):
+            near = (ly[i] <= hy[j]) & (ly[j] <= hy[i])
+            i, j = i[near], j[near]
             d1, d2, d3, d4 = _turn(a[i], b[i], a[j]), _turn(a[i], b[i], b[j]), _turn(a[j], b[j], a[i]), _turn(a[j], b[j], b[i])
             for own, d, p in ((i, d1, a[j]), (i, d2, b[j]), (j, d3, a[i]), (j, d4, b[i])):  # an end on the other segment
-                on = (d == 0) & (p >= low[own]).all(axis=1) & (p <= high[own]).all(axis=1)
+                k = np.flatnonzero(d == 0)
+                own, p = own[k], p[k]
+                on = (p[:, 0] >= low[own, 0]) & (p[:, 1] >= low[own, 1]) & (p[:, 0] <= high[own, 0]) & (p[:, 1] <= high[own, 1])
                 nodes.append(np.column_stack([own[on], p[on]]))
             proper = (np.sign(d1) * np.sign(d2) < 0) & (np.sign(d3) * np.sign(d4) < 0)
             i, j, d3, d4 = i[proper], j[proper], d3[proper].astype(np.float64), d4[proper].astype(np.float64)
             p = np.rint(a[i] + (b[i] - a[i]) * (d3 / (d3 - d4))[:, None]).astype(np.int64)
             nodes += [np.column_stack([i, p]), np.column_stack([j, p])]
-        found = np.unique(np.concatenate(nodes), axis=0) if nodes else np.zeros((0, 3), np.int64)
+        found = np.concatenate(nodes) if nodes else np.zeros((0, 3), np.int64)
         own, p = found[:, 0], found[:, 1:]
-        inner = (p != a[own]).any(axis=1) & (p != b[own]).any(axis=1)
-        if not inner.any():
+        found = found[((p[:, 0] != a[own, 0]) | (p[:, 1] != a[own, 1])) & ((p[:, 0] != b[own, 0]) | (p[:, 1] != b[own, 1]))]
+        if not len(found):
             return s
-        own, p = own[inner], p[inner]
+        found = _distinct(found)[0]
+        own, p = found[:, 0], found[:, 1:]
         every = np.concatenate([np.arange(len(s)), own, np.arange(len(s))])
         points = np.concatenate([a, p, b])
         along = np.concatenate([np.full(len(s), -np.inf), ((p - a[own]).astype(np.float64) * (b[own] - a[own])).sum(axis=1), np.full(len(s), np.inf)])
@@ -81,32 +247,32 @@ def noded(s: np.ndarray, chunk: int = 256) -> np.ndarray:
         every, points = every[order], points[order]
         same = every[1:] == every[:-1]
         s = np.column_stack([points[:-1], points[1:]])[same]
-        s = s[(s[:, :2] != s[:, 2:]).any(axis=1)]
+        s = s[(s[:, 0] != s[:, 2]) | (s[:, 1] != s[:, 3])]
     return s
 
 
-def boundary(segments: np.ndarray, chunk: int = 256) -> np.ndarray:
+def boundary(segments: np.ndarray) -> np.ndarray:
     """Of directed segments, each with its polygon to the left, those parts that bound the area of all polygons together, with that area to the left."""
     s = noded(segments[(segments[:, :2] != segments[:, 2:]).any(axis=1)])
     back = (s[:, 0] > s[:, 2]) | (s[:, 0] == s[:, 2]) & (s[:, 1] > s[:, 3])
-    edges, which = np.unique(np.where(back[:, None], s[:, [2, 3, 0, 1]], s), axis=0, return_inverse=True)
-    weight = np.zeros(len(edges), np.int64)
-    np.add.at(weight, which.ravel(), np.where(back, -1, 1))
+    edges, which = _distinct(np.where(back[:, None], s[:, [2, 3, 0, 1]], s))
+    weight = np.bincount(which, np.where(back, -1, 1), len(edges)).astype(np.int64)
     edges, weight = edges[weight != 0], weight[weight != 0]
     a, b = 2 * edges[:, :2], 2 * edges[:, 2:]
     middle, step = (a + b) // 2, edges[:, 2:] - edges[:, :2]
     steep = np.abs(step[:, 1]) >= np.abs(step[:, 0])
     beyond = np.zeros(len(edges), np.int64)
     for axis, rows in ((1, np.flatnonzero(steep)), (0, np.flatnonzero(~steep))):  # a ray to the right of steep edges, upwards from flat ones
-        for k in range(0, len(rows), chunk):
-            own = rows[k : k + chunk]
-            m = middle[own][:, None]
-            up = (a[:, axis] <= m[..., axis]) & (b[:, axis] > m[..., axis])
-            down = (b[:, axis] <= m[..., axis]) & (a[:, axis] > m[..., axis])
-            left = _turn(a[None], b[None], m)
-            hit = (up & (left > 0)).astype(np.int64) - (down & (left < 0)) if axis else (down & (left > 0)).astype(np.int64) - (up & (left < 0))
-            hit[np.arange(len(own)), own] = 0
-            beyond[own] = hit @ weight
+        # each edge meets the rays of a run of middles in their order along the axis
+        rows = rows[np.argsort(middle[rows, axis], kind="stable")]
+        at = middle[rows, axis]
+        first, last = np.searchsorted(at, np.minimum(a[:, axis], b[:, axis])), np.searchsorted(at, np.maximum(a[:, axis], b[:, axis]))
+        rising = b[:, axis] > a[:, axis]
+        for k, r in _spans(first, last - first):
+            own = rows[r]
+            left = _turn(a[k], b[k], middle[own])
+            hit = (left > 0).astype(np.int64) * rising[k] - (left < 0) * ~rising[k] if axis else (left > 0).astype(np.int64) * ~rising[k] - (left < 0) * rising[k]
+            beyond += np.bincount(own, np.where(own == k, 0, hit * weight[k]), len(edges)).astype(np.int64)
     is_right = steep & (step[:, 1] > 0)  # an edge's far side along its ray is its right side if it rises steeply
     on_left = np.where(is_right, beyond + weight, beyond)
     on_right = np.where(is_right, beyond, beyond - weight)
@@ -114,6 +280,26 @@ def boundary(segments: np.ndarray, chunk: int = 256) -> np.ndarray:
     return np.where(flip[:, None], edges[:, [2, 3, 0, 1]], edges)[keep]
 
 
+def _segments(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Directed segments of polygons, each with its polygon to the left, and the polygon's number; rings of fewer than three vertices have none."""
+    ring = rings.flatten()
+    counts, many = (v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for v in (rings, ring))
+    xy = ring.flatten()
+    p = np.column_stack([xy.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y")]).astype(np.float64)
+    polygon, begin = np.repeat(np.arange(len(rings)), counts), np.cumsum(many) - many
+    outer = np.arange(len(ring)) == np.repeat(np.cumsum(counts) - counts, counts)
+    of = np.repeat(np.arange(len(ring)), many)
+    after = np.arange(len(p)) + 1
+    after[(begin + many - 1)[many > 0]] = begin[many > 0]
+    q = p[after]
+    low = p[begin[of]]
+    turn = (p[:, 0] - low[:, 0]) * (q[:, 1] - low[:, 1]) - (q[:, 0] - low[:, 0]) * (p[:, 1] - low[:, 1])
+    back = ((np.bincount(of, turn, len(ring)) > 0) != outer)[of]
+    s = np.where(back[:, None], np.column_stack([q, p]), np.column_stack([p, q]))
+    some = (many > 2)[of]
+    return s[some], polygon[of][some]
+
+
 def _edges(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
     """Boundary of each group's union, by squares: ``keys``, ``__gx``, ``__gy``, ``x1``, ``y1``, ``x2``, ``y2`` in steps. Squares also have their own borders where area lies beside them."""
     box = {f"__{n}{k}": f(F.get("rings", F.lit(0)).getField(n)) for n in ("x", "y") for k, f in ((0, F.array_min), (1, F.array_max))}
@@ -124,20 +310,12 @@ def _edges(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
 
     def unite(key: tuple, rows: pa.Table) -> pa.Table:
         gx, gy = key[-2].as_py(), key[-1].as_py()
-        x0, y0, parts = gx * size, gy * size, []
-        for rings in rows["rings"].to_pylist():
-            for k, ring in enumerate(rings):
-                r = np.array([(v["x"], v["y"]) for v in ring], np.float64)
-                if len(r) < 3:
-                    continue
-                r = oriented(r, k == 0)
-                for axis, at, below in ((0, x0, False), (0, (gx + 1) * size, True), (1, y0, False), (1, (gy + 1) * size, True)):
-                    r = clip_half(r, axis, at, below)
-                if len(r) > 2:
-                    r = np.clip(np.rint((r - (x0, y0)) / size * STEPS), 0, STEPS).astype(np.int64)
-                    parts.append(np.column_stack([r, np.roll(r, -1, axis=0)]))
-        edges = boundary(np.concatenate(parts)) if parts else np.zeros((0, 4), np.int64)
-        edges = edges + np.array([gx, gy, gx, gy], np.int64) * STEPS
+        s, own = _segments(rows["rings"].combine_chunks())
+        for axis, at, below in ((0, gx * size, False), (0, (gx + 1) * size, True), (1, gy * size, False), (1, (gy + 1) * size, True)):
+            s, own = parted(s, own, axis, np.full(len(s), at))
+            s = pressed(s, axis, np.full(len(s), at), below)
+        s = np.clip(np.rint((s - (gx * size, gy * size) * 2) / size * STEPS), 0, STEPS).astype(np.int64)
+        edges = united(s, own, STEPS) + np.array([gx, gy, gx, gy], np.int64) * STEPS
         own = [pa.repeat(k, len(edges)) for k in key]
         return pa.Table.from_arrays([*own, *(pa.array(edges[:, k]) for k in range(4))], names=[*keys, "__gx", "__gy", *ENDS])
 
@@ -149,7 +327,8 @@ def union_measures(polygons: DataFrame, keys: list[str], size: float) -> DataFra
 
     Squares of ``size`` that a polygon's box touches each unite what lies in them, in a task of their own; what they say of the edges is
     summed, and borders of squares cancel out. Repeated polygons, holes, and edges that touch or coincide count once. Polygons that are null or have
-    fewer than three vertices have no area; a group that has only such has no row. Choose ``size`` so that a square meets some hundred segments.
+    fewer than three vertices have no area; a group that has only such has no row. A square with many segments is cut into smaller cells in its
+    task. Choose ``size`` so that a task can hold the polygons of a square.
     """
     e = _edges(polygons, keys, size)
     # the edges of a square are closed, so areas and moments are taken from its corner and moved; no large numbers are subtracted

@@ -127,3 +127,41 @@ def test_nodes_of_random_segments():
     for k in range(len(cut)):
         d = [overlay._turn(*x) for x in ((a[k], b[k], a), (a[k], b[k], b), (a, b, a[k][None]), (a, b, b[k][None]))]
         assert not ((np.sign(d[0]) * np.sign(d[1]) < 0) & (np.sign(d[2]) * np.sign(d[3]) < 0)).any()
+
+
+def turned(n):
+    """Boxes that lie deep upon each other, turned so that no edge is upright, and the same ones upright."""
+    at = np.random.default_rng(n).normal(0, 0.1, (n, 2))
+    boxes = [(x - 0.03, x + 0.03, y - 0.02, y + 0.02) for x, y in at.tolist()]
+    return [[[(x * 0.8 - y * 0.6, x * 0.6 + y * 0.8) for x, y in box(*b)]] for b in boxes], boxes
+
+
+def test_crossings_of_deep_polygons_are_not_made(monkeypatch):
+    """All pairs of the edges cross some 300,000 times; only what few polygons cover is noded, and two layers of the same rows change nothing."""
+    made, plain = [], overlay.noded
+
+    def noded(s):
+        got = plain(s)
+        made.append(len(got))
+        return got
+
+    monkeypatch.setattr(overlay, "noded", noded)
+    polygons, boxes = turned(3000)
+    x0, y0 = (min(v[k] for p in polygons for v in p[0]) - 0.01 for k in (0, 1))
+    p = np.array([p[0] for p in polygons])
+    s = np.rint((np.concatenate([p, np.roll(p, -1, axis=1)], axis=2).reshape(-1, 4) - (x0, y0) * 2) / 2 * overlay.STEPS).astype(np.int64)
+    edges = overlay.united(s, np.repeat(np.arange(len(p)), 4), overlay.STEPS)
+    assert sum(made) < 20_000 and len(edges) < 2_000
+    x1, y1, x2, y2 = edges.T * (2 / overlay.STEPS)
+    assert ((x1 * y2 - x2 * y1) / 2).sum() == pytest.approx(strips(boxes), abs=1e-6)
+    a, b = (np.sort(e[:, 0].astype(np.float64) * overlay.STEPS + e[:, 1]) for e in (edges[:, :2], edges[:, 2:]))
+    assert (a == b).all()  # closed
+
+
+def strips(boxes):
+    xs, area = sorted({x for b in boxes for x in b[:2]}), 0.0
+    for a, z in zip(xs, xs[1:], strict=False):
+        top = -math.inf
+        for y0, y1 in sorted((b[2], b[3]) for b in boxes if b[0] <= a and b[1] >= z):
+            area, top = area + (z - a) * max(0.0, y1 - max(y0, top)), max(y1, top)
+    return area

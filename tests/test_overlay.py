@@ -165,3 +165,10 @@ def strips(boxes):
         for y0, y1 in sorted((b[2], b[3]) for b in boxes if b[0] <= a and b[1] >= z):
             area, top = area + (z - a) * max(0.0, y1 - max(y0, top)), max(y1, top)
     return area
+
+
+def test_measures_of_deep_polygons(spark):
+    """A square with 3000 polygons: noded whole, its edges would be compared by the ten thousand millions."""
+    polygons, boxes = turned(3000)
+    area = strips(boxes)
+    assert overlay.union_measures(frame(spark, [(1, *p) for p in polygons] * 2), ["g"], 4.0).first().area == pytest.approx(area, abs=1e-6)

@@ -19,6 +19,8 @@ from ..sources.sinks import scratch_folder
 FAN = 16
 #: Rows of the left side that one task searches a range for; more are dealt out to several, each with the range's tree.
 LEFT_ROWS = 20_000
+#: Shapes of the left side that go down a tree together, and pairs of segments that are compared at once.
+ABREAST, AT_ONCE = 1_000, 500_000
 
 
 def _segments(v: np.ndarray, closed: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +62,81 @@ def shape_distance(v: np.ndarray, v_closed: bool, w: np.ndarray, w_closed: bool)
     return min(_to_segments(np.concatenate([a, b[-1:]]), c, d), _to_segments(np.concatenate([c, d[-1:]]), a, b))
 
 
+class Shapes:
+    """Shapes as one array of vertices, to compare many pairs at once."""
+
+    def __init__(self, shapes: pa.Array, closed: bool):
+        xy = shapes.flatten()
+        self.v = np.column_stack([xy.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y")]).astype(np.float64)
+        self.many, self.closed = shapes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), closed
+        self.first = np.cumsum(self.many) - self.many
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.v[self.first[k] : self.first[k] + self.many[k]]
+
+    def alike(self, k: np.ndarray, n: int) -> np.ndarray:
+        """Vertices of shapes that all have ``n``."""
+        return self.v[self.first[k][:, None] + np.arange(n)]
+
+
+def shape_distances(a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray, met: bool = False) -> np.ndarray:
+    """``shape_distance`` of the pairs ``i``, ``j``; with ``met`` 0 for those that have a point in common and 1 for others."""
+    out = np.empty(len(i))
+    kind = a.many[i] * (int(b.many.max()) + 1 if len(b.many) else 1) + b.many[j]
+    order = np.argsort(kind, kind="stable")
+    cuts = np.flatnonzero(np.diff(kind[order])) + 1
+    for run in np.split(order, cuts) if len(order) else ():
+        n, m = int(a.many[i[run[0]]]), int(b.many[j[run[0]]])
+        if n * m > AT_ONCE:
+            for k in run:
+                d = shape_distance(a[i[k]], a.closed, b[j[k]], b.closed)
+                out[k] = float(d > 0) if met else d
+            continue
+        for at in range(0, len(run), max(1, AT_ONCE // (n * m))):
+            k = run[at : at + max(1, AT_ONCE // (n * m))]
+            out[k] = _alike_distances(a.alike(i[k], n), a.closed, b.alike(j[k], m), b.closed, met)
+    return out
+
+
+def _ends(v: np.ndarray, closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    if v.shape[1] == 1:
+        return v, v
+    return (v, np.roll(v, -1, axis=1)) if closed and v.shape[1] > 2 else (v[:, :-1], v[:, 1:])
+
+
+def _alike_distances(v: np.ndarray, v_closed: bool, w: np.ndarray, w_closed: bool, met: bool) -> np.ndarray:
+    (a, b), (c, d) = _ends(v, v_closed), _ends(w, w_closed)
+    part = lambda s, far: (s[:, :, None] if not far else s[:, None])
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = ((part(s[..., 0], far), part(s[..., 1], far)) for s, far in ((a, 0), (b, 0), (c, 1), (d, 1)))
+    near = (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
+    turn = lambda px, py, qx, qy, rx, ry: np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
+    near &= turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) <= 0
+    near &= turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) <= 0
+    meet = near.any(axis=(1, 2))
+    for one, s, (p, q), closed in ((v, w, (c, d), w_closed), (w, v, (a, b), v_closed)):
+        if closed and s.shape[1] > 2:
+            x, y = one[:, :1, 0], one[:, :1, 1]
+            cross = (p[..., 1] > y) != (q[..., 1] > y)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                right = x < (q[..., 0] - p[..., 0]) * (y - p[..., 1]) / (q[..., 1] - p[..., 1]) + p[..., 0]
+            meet |= (cross & right).sum(axis=1) % 2 == 1
+    out = (~meet).astype(np.float64)
+    if met or meet.all():
+        return out
+    k = ~meet
+    a, b, c, d = a[k], b[k], c[k], d[k]
+    own = []
+    for p, s, e in ((np.concatenate([a, b[:, -1:]], axis=1), c, d), (np.concatenate([c, d[:, -1:]], axis=1), a, b)):
+        step = e - s
+        square = (step[..., 0] * step[..., 0] + step[..., 1] * step[..., 1])[:, None]
+        offx, offy, sx, sy = p[:, :, None, 0] - s[:, None, :, 0], p[:, :, None, 1] - s[:, None, :, 1], step[:, None, :, 0], step[:, None, :, 1]
+        along = offx * sx + offy * sy
+        t = np.clip(np.divide(along, square, out=np.zeros_like(along), where=square > 0), 0.0, 1.0)
+        own.append(np.hypot(offx - t * sx, offy - t * sy).min(axis=(1, 2)))
+    out[k] = np.minimum(*own)
+    return out
+
+
 class PackedTree:
     """Boxes (x0, x1, y0, y1) in the order of a curve, and above each ``FAN`` of them the box around them, up to one."""
 
@@ -93,6 +170,22 @@ class PackedTree:
         return best, hits
 
 
+    def candidates(self, boxes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of many boxes the leaves that can be nearest to what it holds, if they are no farther than its bound: box, leaf, least distance."""
+        i, j, bounds = np.arange(len(boxes)), np.zeros(len(boxes), np.int64), bounds.copy()
+        for level in range(len(self.levels) - 1, -1, -1):
+            if level < len(self.levels) - 1:
+                i, j = np.repeat(i, FAN), (j[:, None] * FAN + np.arange(FAN)).ravel()
+                there = j < len(self.levels[level])
+                i, j = i[there], j[there]
+            own, there = boxes[i], self.levels[level][j]
+            far = np.hypot(np.maximum(there[:, 1] - own[:, 0], own[:, 1] - there[:, 0]), np.maximum(there[:, 3] - own[:, 2], own[:, 3] - there[:, 2]))
+            np.minimum.at(bounds, i, far * (1 + 1e-12))
+            least = np.hypot(np.maximum(0.0, np.maximum(there[:, 0] - own[:, 1], own[:, 0] - there[:, 1])), np.maximum(0.0, np.maximum(there[:, 2] - own[:, 3], own[:, 2] - there[:, 3])))
+            near = least <= bounds[i] * (1 + 1e-12)
+            i, j, least = i[near], j[near], least[near]
+        return i, j, least
+
 def box_distance(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     dx = np.maximum(0.0, np.maximum(boxes[:, 0] - box[1], box[0] - boxes[:, 1]))
     dy = np.maximum(0.0, np.maximum(boxes[:, 2] - box[3], box[2] - boxes[:, 3]))
@@ -146,28 +239,48 @@ def nearest_shapes(left: DataFrame, right: DataFrame, left_key: str, right_key:
         a = asked.join(parts, "range").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).drop("parts")
         return a, held.join(parts, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def shapes_of(table: pa.Table) -> list[np.ndarray]:
-        return [np.array([(v["x"], v["y"]) for v in s], np.float64) for s in table["s"].to_pylist()]
-
     def box_of(table: pa.Table) -> np.ndarray:
         return np.column_stack([table[c].to_numpy() for c in ("x0", "x1", "y0", "y1")]).astype(np.float64)
 
-    def search(key: tuple, a: pa.Table, b: pa.Table) -> Iterator[tuple[int, float, list[int]]]:
-        order = pa.array(np.argsort(b["z"].to_numpy(), kind="stable"))
-        b = b.take(order)
-        theirs, own, bounds = shapes_of(b), shapes_of(a), a["bound"].to_numpy()
-        tree, at = PackedTree(box_of(b)), box_of(a)
-        for k, v in enumerate(own):
-            best, hits = tree.nearest(at[k], lambda j, v=v: shape_distance(v, left_closed, theirs[j], right_closed), bounds[k])
-            yield k, best, [int(order[h].as_py()) for h in hits]
-
-    def results(a: pa.Table, b: pa.Table, found: list[tuple[int, float, list[int]]]) -> list[pa.Array]:
-        rows = [(k, j, d) for k, d, hits in found for j in hits]
-        k, j = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
-        return [a["k"].combine_chunks().take(k), b["k"].combine_chunks().take(j), pa.array([r[2] for r in rows], pa.float64())]
+    def search(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``a`` and of ``b`` and their distance. Shapes that meet are found first, and only for what meets nothing are distances taken."""
+        order = np.argsort(b["z"].to_numpy(), kind="stable")
+        b = b.take(pa.array(order))
+        own, theirs = Shapes(a["s"].combine_chunks(), left_closed), Shapes(b["s"].combine_chunks(), right_closed)
+        tree, at, bounds = PackedTree(box_of(b)), box_of(a), a["bound"].to_numpy()
+        for begin in range(0, len(at), ABREAST):
+            some = slice(begin, begin + ABREAST)
+            best = bounds[some].copy()
+            i, j, least = tree.candidates(at[some], best)
+            touch = least == 0
+            ti, tj = i[touch], j[touch]
+            meet = shape_distances(own, theirs, begin + ti, tj, True) == 0
+            yield begin + ti[meet], order[tj[meet]], np.zeros(meet.sum())
+            apart = np.ones(len(best), bool)
+            apart[ti[meet]] = False
+            i, j, least = (v[apart[i]] for v in (i, j, least))
+            # the pair that looks nearest bounds the others
+            by = np.lexsort((least, i))
+            i, j, least = i[by], j[by], least[by]
+            first = np.ones(len(i), bool)
+            first[1:] = i[1:] != i[:-1]
+            d = np.full(len(i), np.inf)
+            d[first] = shape_distances(own, theirs, begin + i[first], j[first])
+            best[i[first]] = np.minimum(best[i[first]], d[first])
+            more = ~first & (least <= best[i] * (1 + 1e-12))
+            d[more] = shape_distances(own, theirs, begin + i[more], j[more])
+            np.minimum.at(best, i, d)
+            hit = d <= best[i]
+            yield begin + i[hit], order[j[hit]], d[hit]
+
+    def results(a: pa.Table, b: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        k, j, d = (pa.array(np.concatenate(v)) for v in zip(*found, strict=True))
+        return [a["k"].combine_chunks().take(k), b["k"].combine_chunks().take(j), d]
 
     def home(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays(results(a, b, list(search(key, a, b))), names=[left_key, right_key, "distance"])
+        if not len(a) or not len(b):
+            return pa.Table.from_arrays([a["k"].combine_chunks()[:0], b["k"].combine_chunks()[:0], pa.array([], pa.float64())], names=[left_key, right_key, "distance"])
+        return pa.Table.from_arrays(results(a, b, search(a, b)), names=[left_key, right_key, "distance"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, _, ends = known.value
@@ -201,7 +314,8 @@ def nearest_shapes(left: DataFrame, right: DataFrame, left_key: str, right_key:
     names_ = [n for n in asked.columns if n != "range"]
     asked = asked.mapInArrow(beyond, ", ".join(f"{n} {asked.schema[n].dataType.simpleString()}" for n in names_) + ", range int")
     a, b = deal(asked)
-    more = a.groupBy("range", "part").cogroup(b.groupBy("range", "part")).applyInArrow(home, schema)
-    both = first.unionByName(more)
+    more = scratch_folder(spark, "beyond")  # read twice
+    a.groupBy("range", "part").cogroup(b.groupBy("range", "part")).applyInArrow(home, schema).write.parquet(more)
+    both = first.unionByName(spark.read.schema(schema).parquet(more))
     least = both.groupBy(left_key).agg(F.min("distance").alias("__d"))
     return both.join(least, left_key).where(F.col("distance") == F.col("__d")).select(left_key, right_key, "distance")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from firnspark.operators import nearest
@@ -99,3 +100,18 @@ def test_tree_opens_few_boxes():
         d = np.hypot(*(p - q).T)
         assert best == d.min() and hits == [int(d.argmin())]
     assert len(opened) < 20 * 100
+
+
+def test_pairs_at_once():
+    """Distances of pairs of all kinds taken together, and leaves found for many boxes at once, against one by one."""
+    rng = np.random.default_rng(6)
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    own, theirs = shapes(rng, 40, (1, 2, 3, 5), 3.0, 0.7), shapes(rng, 50, (1, 2, 3, 6), 3.0, 0.7)
+    a, b = (nearest.Shapes(pa.array([[{"x": x, "y": y} for x, y in v] for v in s], kind), closed) for s, closed in ((own, False), (theirs, True)))
+    i, j = (v.ravel() for v in np.indices((40, 50)))
+    want = np.array([nearest.shape_distance(np.array(own[p]), False, np.array(theirs[q]), True) for p, q in zip(i, j, strict=True)])
+    assert (nearest.shape_distances(a, b, i, j) == want).all() and ((nearest.shape_distances(a, b, i, j, True) == 0) == (want == 0)).all()
+    box = lambda s: np.array([[min(p[0] for p in v), max(p[0] for p in v), min(p[1] for p in v), max(p[1] for p in v)] for v in s])
+    got = set(zip(*(v.tolist() for v in nearest.PackedTree(box(theirs)).candidates(box(own), np.full(40, math.inf))[:2]), strict=True))
+    d = want.reshape(40, 50)
+    assert {(p, q) for p in range(40) for q in np.flatnonzero(d[p] == d[p].min()).tolist()} <= got and len(got) < 40 * 50

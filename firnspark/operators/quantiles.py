@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -77,30 +75,49 @@ def in_time_blocks(df: DataFrame, t: str, before: int, after: int, block: str, o
     return out.withColumn(own, F.col(block).eqNullSafe(place(0)))
 
 
-def sliding_medians(us: np.ndarray, values: np.ndarray, wanted: np.ndarray, before: int, after: int, least: int) -> list[float | None]:
-    """Median of the values from ``us - before`` to ``us + after`` for the wanted rows of a sorted run, by one sorted window that slides; NaN is no value."""
-    first, last = np.searchsorted(us, us - before, "left").tolist(), np.searchsorted(us, us + after, "right").tolist()
-    v, there, own = values.tolist(), (~np.isnan(values)).tolist(), wanted.tolist()
-    window: list[float] = []
-    a = b = 0
-    out: list[float | None] = []
-    for k in range(len(v)):
-        for b in range(b, last[k]):
-            if there[b]:
-                insort(window, v[b])
-        b = last[k]
-        for a in range(a, first[k]):
-            if there[a]:
-                del window[bisect_left(window, v[a])]
-        a = first[k]
-        n = len(window)
-        out.append((window[(n - 1) // 2] * 0.5 + window[n // 2] * 0.5 if n % 2 == 0 else window[n // 2]) if own[k] and n >= max(least, 1) else None)
+def ranked(values: np.ndarray, first: np.ndarray, last: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of each run ``values[first:last]`` the value at its place, from 0, in their order.
+
+    The values' ranks are parted bit by bit, highest first, and each run is followed into the part that holds its place: so many
+    steps as ranks have bits, each over all runs at once, whatever the runs' lengths.
+    """
+    distinct, rank = np.unique(values, return_inverse=True)
+    rank = rank.astype(np.int32)
+    at = np.int32 if len(values) < 2**31 - 1 else np.int64
+    lo, hi, k, out = first.astype(at), last.astype(at), places.astype(at), np.zeros(len(first), np.int32)
+    low = np.zeros(len(values) + 1, at)
+    for bit in range(max(len(distinct) - 1, 0).bit_length() - 1, -1, -1):
+        high = (rank >> bit & 1).astype(bool)
+        np.cumsum(~high, out=low[1:])
+        a, b = low[lo], low[hi]
+        up = k >= b - a
+        k -= np.where(up, b - a, 0).astype(at)
+        out |= up.astype(np.int32) << bit
+        lo, hi = np.where(up, low[-1] + lo - a, a), np.where(up, low[-1] + hi - b, b)
+        rank = np.concatenate([rank[~high], rank[high]])
+    return distinct[out]
+
+
+def sliding_medians(us: np.ndarray, values: np.ndarray, wanted: np.ndarray, before: int, after: int, least: int) -> np.ma.MaskedArray:
+    """Median of the values from ``us - before`` to ``us + after`` for the wanted rows of a sorted run, masked where there are fewer than ``least``; NaN is no value."""
+    there = ~np.isnan(values)
+    times, own = us[there], np.flatnonzero(wanted)
+    first, last = np.searchsorted(times, us[own] - before, "left"), np.searchsorted(times, us[own] + after, "right")
+    n = last - first
+    enough = n >= max(least, 1)
+    own, first, last, n = own[enough], first[enough], last[enough], n[enough]
+    even = np.flatnonzero(n % 2 == 0)
+    got = ranked(values[there], np.concatenate([first, first[even]]), np.concatenate([last, last[even]]), np.concatenate([(n - 1) // 2, n[even] // 2]))
+    out = np.ma.masked_all(len(us), np.float64)
+    median = got[: len(n)]
+    median[even] = median[even] * 0.5 + got[len(n) :] * 0.5
+    out[own] = median
     return out
 
 
 def rolling_median_of_blocks(df: DataFrame, keys: list[str], t: str, value: str, before: int, after: int, least: int, name: str) -> DataFrame:
-    """``df`` with the rolling median of each row, a block of a group at a time: a value enters and leaves the sorted window once, where a window
-    expression sorts each frame anew. A task holds three reaches of one group."""
+    """``df`` with the rolling median of each row, a block of a group at a time: the values of a block are
+    ranked once for all its windows, where a window expression sorts each frame anew. A task holds three reaches of one group."""
     kept = [c for c in df.columns if c != name]
     blocks = in_time_blocks(df, t, before, after, "__block", "__own").withColumn("__v", F.col(value).cast("double"))
     rows = blocks.select(*kept, "__block", "__own", "__us", "__v")
@@ -111,7 +128,7 @@ def rolling_median_of_blocks(df: DataFrame, keys: list[str], t: str, value: str,
         values = table["__v"].combine_chunks().fill_null(float("nan")).to_numpy()
         own = table["__own"].combine_chunks()
         medians = sliding_medians(us, values, own.to_numpy(zero_copy_only=False), before, after, least)
-        return table.select(kept).append_column(name, pa.array(medians, pa.float64())).filter(own)
+        return table.select(kept).append_column(name, pa.array(medians.data, pa.float64(), mask=np.ma.getmaskarray(medians))).filter(own)
 
     schema = df.select(*kept).schema.add(name, "double")
     return rows.groupBy(*keys, "__block").applyInArrow(slide, schema)

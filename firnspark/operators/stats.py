@@ -151,7 +151,7 @@ def rolling_median(df: DataFrame, keys: list[str], t: str, value: str, days: flo
     """Median over (t - w / 2, t + w / 2], or over (t - w, t]; null where the window holds fewer than ``least`` values.
 
     Each group is sorted by blocks of time, with copies of the rows in reach of a border, so a task holds a block of a group at most.
-    ``large`` is for windows of many rows: one sorted window slides over a block, where the plain form sorts each window anew."""
+    ``large`` is for windows of many rows: a block's values are ranked once, where the plain form sorts each window anew."""
     part = ", ".join(f"`{k}`" for k in [*keys, "__block"])
     us = round(days * 86_400e6)
     before, after = (us // 2 - 1, us // 2) if centred else (us - 1, 0)

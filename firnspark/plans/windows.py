@@ -36,7 +36,7 @@ def rolling_median_centred(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT event_id, quantile_cont(value, 0.5) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 431999999999 MICROSECOND PRECEDING AND CURRENT ROW) AS rolling FROM events""")
 def rolling_median_trailing(spark: SparkSession, d: str) -> DataFrame:
-    return stats.rolling_median(read_table(spark, d, "events"), ["event_type"], "ts", "value", 5, False, large=True).select("event_id", "rolling")
+    return stats.rolling_median(read_table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", "value", 5, False, large=True).select("event_id", "rolling")
 
 
 @query("""

@@ -69,3 +69,21 @@ def test_rolling_median_over_many_blocks(spark):
             low, high = (t - timedelta(days=1), t + timedelta(days=1)) if centred else (t - timedelta(days=2), t)
             near = [v for _, k2, t2, v in timed if v is not None and k2 == k and low + us <= t2 <= high]
             assert got[i] == (None if len(near) < 2 else np.percentile(near, 50)) or abs(got[i] - np.percentile(near, 50)) < 1e-12
+
+
+def test_places_in_runs_of_any_length():
+    """A window of half of 200,000 rows for each of them: where one sorted window slides, each step moves a hundred thousand values."""
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(0, 1, 500), 1)
+    first, n = rng.integers(0, 400, 300), rng.integers(1, 100, 300)
+    k = rng.integers(0, n)
+    got = quantiles.ranked(v, first, first + n, k)
+    assert got.tolist() == [sorted(v[a : a + m])[p] for a, m, p in zip(first, n, k, strict=True)]
+    us, v = np.arange(200_000), rng.normal(0, 1, 200_000)
+    v[::7] = np.nan
+    got = quantiles.sliding_medians(us, v, us % 2 == 0, 50_000, 49_999, 3)
+    for k in (0, 2, 70_000, 123_456, 199_998):
+        assert got[k] == np.nanmedian(v[max(0, k - 50_000) : k + 50_000])
+    assert np.ma.getmaskarray(got)[1::2].all() and not np.ma.getmaskarray(got)[::2].any()
+    few = quantiles.sliding_medians(np.arange(4), np.array([1.0, np.nan, 2.0, np.nan]), np.ones(4, bool), 1, 0, 2)
+    assert np.ma.getmaskarray(few).all()

@@ -30,7 +30,7 @@ def futo_events(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN quantile_cont(value, 0.5) OVER w END AS rolling FROM events
     WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 215999999999 MICROSECOND PRECEDING AND INTERVAL 216000000000 MICROSECOND FOLLOWING)""")
 def rolling_median_centred(spark: SparkSession, d: str) -> DataFrame:
-    return stats.rolling_median(read_table(spark, d, "events"), ["event_type"], "ts", "value", 5, True, 3, large=True).select("event_id", "rolling")
+    return stats.rolling_median(read_table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", "value", 5, True, 3, large=True).select("event_id", "rolling")
 
 
 @query("""

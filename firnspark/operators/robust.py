@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,68 +128,131 @@ def flatten_results(df: DataFrame, keys: list[str], results: list[str] = RESULTS
     return df.unpivot(keys, [r for r in results if r in df.columns], "result", "sec")
 
 
-def piecewise_knots(x: np.ndarray, y: np.ndarray, count: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, float]:
-    """Continuous line of ``count`` segments with least mean squared error, by Nelder-Mead on the knots. Returns knots and error."""
-    span = float(x.max() - x.min()) or 1.0
-    inner = np.linspace(x.min(), x.max(), count + 1)
-    level = np.array([y[np.abs(x - k) < 0.1 * span].mean() if (np.abs(x - k) < 0.1 * span).any() else y.mean() for k in inner])
-    start = np.concatenate((np.full(count - 1, span / count), level))
-
-    def knots(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps = np.concatenate((p[: count - 1], [span - p[: count - 1].sum()]))
-        return np.concatenate(([x.min()], x.min() + np.cumsum(steps))), p[count - 1 :]
-
-    def error(p: np.ndarray) -> float:
-        px, py = knots(p)
-        return float(((np.interp(x, px, py) - y) ** 2).mean()) if (np.diff(px) > 0).all() else np.inf
-
-    simplex = np.vstack([start, *(start + np.eye(len(start))[k] * (0.05 * start[k] or 0.00025) for k in range(len(start)))])
-    cost = np.array([error(p) for p in simplex])
+def _interpolated(x: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """``np.interp`` for many rows: places ``x`` within knots ``px`` that ascend, values ``py``."""
+    out = np.repeat(py[:, :1], x.shape[1], axis=1)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        slope = np.diff(py, axis=1) / np.diff(px, axis=1)
+        for k in range(px.shape[1] - 1):
+            np.copyto(out, slope[:, k : k + 1] * (x - px[:, k : k + 1]) + py[:, k : k + 1], where=x >= px[:, k : k + 1])
+    np.copyto(out, py[:, -1:], where=x >= px[:, -1:])
+    return out
+
+
+def piecewise_knots_abreast(x: np.ndarray, y: np.ndarray, count: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Continuous lines of ``count`` segments with least mean squared error for many rows (groups by values) at once, by Nelder-Mead on the knots:
+    knots and error of each. A row takes the steps that it would take by itself, and rows that have settled take none."""
+    low, high = x.min(axis=1), x.max(axis=1)
+    span = np.where(high > low, high - low, 1.0)
+    inner = np.linspace(low, high, count + 1, axis=1)
+    level = np.empty_like(inner)
+    for k in range(count + 1):
+        near = np.abs(x - inner[:, k : k + 1]) < 0.1 * span[:, None]
+        n = near.sum(axis=1)
+        level[:, k] = np.where(n > 0, np.where(near, y, 0.0).sum(axis=1) / np.maximum(n, 1), y.mean(axis=1))
+    start = np.concatenate([np.repeat((span / count)[:, None], count - 1, axis=1), level], axis=1)
+
+    def knots(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.concatenate([p[:, : count - 1], (span[own] - p[:, : count - 1].sum(axis=1))[:, None]], axis=1)
+        return np.concatenate([low[own, None], low[own, None] + np.cumsum(steps, axis=1)], axis=1), p[:, count - 1 :]
+
+    def error(p: np.ndarray, own: np.ndarray) -> np.ndarray:
+        px, py = knots(p, own)
+        good = (np.diff(px, axis=1) > 0).all(axis=1)
+        return np.where(good, ((_interpolated(x[own], px, py) - y[own]) ** 2).mean(axis=1), np.inf)
+
+    m = start.shape[1]
+    simplex = np.repeat(start[:, None], m + 1, axis=1)
+    for k in range(m):
+        step = 0.05 * start[:, k]
+        simplex[:, k + 1, k] += np.where(step != 0, step, 0.00025)
+    every = np.arange(len(x))
+    cost = np.stack([error(simplex[:, k], every) for k in range(m + 1)], axis=1)
+    best, least = simplex[:, 0].copy(), cost[:, 0].copy()
+    own = every  # the rows that still move
     for _ in range(rounds):
-        order = np.argsort(cost, kind="stable")
-        simplex, cost = simplex[order], cost[order]
-        if cost[-1] - cost[0] <= 1e-10 * max(1.0, abs(cost[0])) and np.abs(simplex[1:] - simplex[0]).max() <= 1e-8:
-            break
-        centre = simplex[:-1].mean(axis=0)
-        reflected = 2 * centre - simplex[-1]
-        value = error(reflected)
-        if value < cost[0]:
-            further = 3 * centre - 2 * simplex[-1]
-            other = error(further)
-            simplex[-1], cost[-1] = (further, other) if other < value else (reflected, value)
-        elif value < cost[-2]:
-            simplex[-1], cost[-1] = reflected, value
-        else:
-            inside = centre + 0.5 * ((reflected if value < cost[-1] else simplex[-1]) - centre)
-            other = error(inside)
-            if other < min(value, cost[-1]):
-                simplex[-1], cost[-1] = inside, other
-            else:
-                simplex[1:] = simplex[0] + 0.5 * (simplex[1:] - simplex[0])
-                cost[1:] = [error(p) for p in simplex[1:]]
-    px, py = knots(simplex[0])
-    return px, py, float(cost[0])
+        order = np.argsort(cost, axis=1, kind="stable")
+        simplex, cost = np.take_along_axis(simplex, order[:, :, None], axis=1), np.take_along_axis(cost, order, axis=1)
+        with np.errstate(invalid="ignore"):
+            settled = (cost[:, -1] - cost[:, 0] <= 1e-10 * np.maximum(1.0, np.abs(cost[:, 0]))) & (np.abs(simplex[:, 1:] - simplex[:, :1]).max(axis=(1, 2)) <= 1e-8)
+        if settled.any():
+            best[own[settled]], least[own[settled]] = simplex[settled, 0], cost[settled, 0]
+            own, simplex, cost = own[~settled], simplex[~settled], cost[~settled]
+            if not len(own):
+                break
+        centre = simplex[:, :-1].mean(axis=1)
+        worst = simplex[:, -1]
+        reflected = 2 * centre - worst
+        value = error(reflected, own)
+        better, inside = value < cost[:, 0], value >= cost[:, -2]
+        other = np.where(better[:, None], 3 * centre - 2 * worst, centre + 0.5 * (np.where((value < cost[:, -1])[:, None], reflected, worst) - centre))
+        further = np.full(len(own), np.inf)
+        tried = better | inside
+        further[tried] = error(other[tried], own[tried])
+        takes = np.where(better, further < value, inside & (further < np.minimum(value, cost[:, -1])))
+        shrinks = inside & ~takes & ~better
+        moves = ~shrinks
+        simplex[moves, -1] = np.where(takes[:, None], other, reflected)[moves]
+        cost[moves, -1] = np.where(takes, further, value)[moves]
+        if shrinks.any():
+            simplex[shrinks, 1:] = simplex[shrinks, :1] + 0.5 * (simplex[shrinks, 1:] - simplex[shrinks, :1])
+            cost[shrinks, 1:] = np.stack([error(simplex[shrinks, k], own[shrinks]) for k in range(1, m + 1)], axis=1)
+    best[own], least[own] = simplex[:, 0], cost[:, 0]
+    px, py = knots(best, every)
+    return px, py, least
+
+
+def piecewise_knots(x: np.ndarray, y: np.ndarray, count: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, float]:
+    """``piecewise_knots_abreast`` for one group."""
+    px, py, mse = piecewise_knots_abreast(np.asarray(x, np.float64)[None], np.asarray(y, np.float64)[None], count, rounds)
+    return px[0], py[0], float(mse[0])
+
+
+#: Values of groups that are fitted together.
+FITTED_ABREAST = 100_000
 
 
 def piecewise_fit(df: DataFrame, keys: list[str], x: str, y: str, most: int = 4) -> DataFrame:
     """Knots of a continuous piecewise line for each group: ``keys``, ``knot``, ``px``, ``py``. One segment more is taken as
-    long as both information criteria improve; the mixed logarithms of the criteria are the published ones."""
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "knot int, px double, py double"])
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = group["x"].to_numpy(), group["y"].to_numpy()
-        best, scores = None, (np.inf, np.inf)
+    long as both information criteria improve; the mixed logarithms of the criteria are the published ones. Groups of as many values are fitted together."""
+    point = "array<struct<knot: int, px: double, py: double>>"
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"__knots {point}"])
+
+    def fitted(xs: np.ndarray, ys: np.ndarray) -> list[list[dict[str, float]]]:
+        n, own = xs.shape[1], np.arange(len(xs))
+        out: list[list[dict[str, float]]] = [[] for _ in own]
+        scores = np.full((len(xs), 2), np.inf)
         for count in range(1, most + 1):
-            px, py, mse = piecewise_knots(xs, ys, count)
-            mse = max(mse, 1e-300)
-            new = (len(xs) * np.log10(mse) + 4 * count, len(xs) * np.log10(mse) + 2 * count * np.log(len(xs)))
-            if not (new[0] < scores[0] and new[1] < scores[1]):
+            px, py, mse = piecewise_knots_abreast(xs[own], ys[own], count)
+            fit = n * np.log10(np.maximum(mse, 1e-300))
+            new = np.column_stack([fit + 4 * count, fit + 2 * count * np.log(n)])
+            improved = (new < scores[own]).all(axis=1)
+            for k in np.flatnonzero(improved):
+                out[own[k]] = [{"knot": j, "px": a, "py": b} for j, (a, b) in enumerate(zip(px[k].tolist(), py[k].tolist(), strict=True))]
+            own, new = own[improved], new[improved]
+            scores[own] = new
+            if not len(own):
                 break
-            best, scores = (px, py), new
-        return pd.DataFrame({k: [group[k].iloc[0]] * len(best[0]) for k in keys} | {"knot": range(len(best[0])), "px": best[0], "py": best[1]})
+        return out
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("knot", pa.int32()), ("px", pa.float64()), ("py", pa.float64())]))
+        for batch in batches:
+            lists = batch.column(len(keys))
+            xy, many = lists.flatten(), lists.value_lengths().to_numpy()
+            xs, ys = (xy.field(c).to_numpy() for c in ("x", "y"))
+            first, out = np.cumsum(many) - many, [[]] * len(batch)
+            for n in np.unique(many):
+                rows = np.flatnonzero(many == n)
+                for part in np.array_split(rows, max(1, len(rows) * int(n) // FITTED_ABREAST)):
+                    at = first[part][:, None] + np.arange(n)
+                    for k, knots in zip(part, fitted(xs[at], ys[at]), strict=True):
+                        out[k] = knots
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, kind)], names=[*keys, "__knots"])
 
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("__v"))
+    return groups.mapInArrow(fit, schema).select(*keys, F.inline("__knots"))
 
 
 def union_all(frames: Iterator[DataFrame] | list[DataFrame]) -> DataFrame:

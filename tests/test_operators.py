@@ -223,3 +223,16 @@ def test_random_points(spark):
         assert abs(share[7] - 41 / 80) < 0.05 and (np.delete(share, 7) > 0).all() and np.delete(share, 7).max() < 0.03
     assert abs(np.corrcoef(px == 7, py == 1007)[0, 1]) < 0.1  # drawn by themselves
     assert numeric.random_points(df.limit(0), "x", "y", 5).count() == 0
+
+
+def test_piecewise_lines_of_many_groups_at_once():
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.uniform(0, 9, (40, 7)), axis=1)
+    y = np.concatenate([rng.normal(0, 1, (20, 7)), np.abs(x[20:39] - 4), np.zeros((1, 7))])
+    for count in (1, 2, 3):
+        px, py, mse = robust.piecewise_knots_abreast(x, y, count)
+        for k in (0, 7, 20, 33, 39):
+            one = robust.piecewise_knots(x[k], y[k], count)
+            assert (one[0] == px[k]).all() and (one[1] == py[k]).all() and one[2] == mse[k]
+            assert mse[k] == pytest.approx(((np.interp(x[k], px[k], py[k]) - y[k]) ** 2).mean(), abs=1e-15)
+    assert (mse[20:] < 0.05).all()

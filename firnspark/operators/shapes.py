@@ -5,6 +5,8 @@ Lines and rings are arrays of (x, y) structs; a ring may leave out its first ver
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,21 +129,78 @@ def reproject_vertices(line: Column) -> Column:
     return F.transform(line, moved)
 
 
-def union_of_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+#: Boxes in a piece of the plane up to which it is laid out whole, and cells that are laid out at once.
+FEW_BOXES, LAID_OUT = 24, 4_000_000
+
+
+def _laid_out(b: np.ndarray) -> np.ndarray:
+    """Area and moments (x, y) of the union of boxes (x0, x1, y0, y1), by a grid of all their edges, some columns at a time."""
+    xs, ys = np.unique(b[:, :2]), np.unique(b[:, 2:])
+    at = [np.searchsorted(v, b[:, k]) for k, v in enumerate((xs, xs, ys, ys))]
+    dy, my = np.diff(ys), (ys[1:] + ys[:-1]) / 2
+    out, columns = np.zeros(3), max(1, LAID_OUT // len(ys))
+    for begin in range(0, len(xs) - 1, columns):
+        end = min(begin + columns, len(xs) - 1)
+        depth = np.zeros((end - begin + 1, len(ys)), np.int32)
+        i0, i1 = np.clip(at[0], begin, end) - begin, np.clip(at[1], begin, end) - begin
+        for i, j, d in ((i0, at[2], 1), (i1, at[2], -1), (i0, at[3], -1), (i1, at[3], 1)):
+            np.add.at(depth, (i, j), d)
+        size = (depth.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0) * np.diff(xs[begin : end + 1])[:, None] * dy
+        across = size.sum(axis=1)
+        out += across.sum(), (across * (xs[begin + 1 : end + 1] + xs[begin:end]) / 2).sum(), (size.sum(axis=0) * my).sum()
+    return out
+
+
+def boxes_union(b: np.ndarray) -> np.ndarray:
+    """Area and moments (x, y) of the union of boxes (x0, x1, y0, y1). The plane is halved until one box covers a piece, which is then done, or few
+    are left; where boxes lie deep upon each other most pieces are done at once."""
+    out, todo = np.zeros(3), [(b, 0)]
+    while todo:
+        b, stuck = todo.pop()
+        if not len(b):
+            continue
+        x0, x1, y0, y1 = b[:, 0].min(), b[:, 1].max(), b[:, 2].min(), b[:, 3].max()
+        if ((b[:, 0] == x0) & (b[:, 1] == x1) & (b[:, 2] == y0) & (b[:, 3] == y1)).any():
+            area = (x1 - x0) * (y1 - y0)
+            out += area, area * (x0 + x1) / 2, area * (y0 + y1) / 2
+        elif len(b) <= FEW_BOXES or stuck > 3:
+            out += _laid_out(b)
+        else:
+            wide, high = (b[:, 1] - b[:, 0]).mean() / (x1 - x0), (b[:, 3] - b[:, 2]).mean() / (y1 - y0)
+            k, middle = (0, (x0 + x1) / 2) if wide <= high else (2, (y0 + y1) / 2)
+            low, far = b[b[:, k] < middle].copy(), b[b[:, k + 1] > middle].copy()
+            low[:, k + 1], far[:, k] = np.minimum(low[:, k + 1], middle), np.maximum(far[:, k], middle)
+            stuck = stuck + 1 if 10 * min(len(low), len(far)) > 9 * len(b) else 0
+            todo += [(low, stuck), (far, stuck)]
+    return out
+
+
+def union_of_boxes(boxes: DataFrame, keys: list[str], of_cell: int = 2_000) -> DataFrame:
     """Area and centroid of the union of each group's boxes (``x0``, ``x1``, ``y0``, ``y1``): ``keys``, ``area``, ``cx``, ``cy``.
 
-    A group's edges cut it into strips; a box is dealt out to the strips that it covers, and in a strip intervals that overlap are
-    joined by a running maximum. Work grows with the boxes times the strips that each covers.
+    A group's extent is cut into so many cells that one has about ``of_cell`` boxes, but none narrower or lower than the mean box, so a box
+    is dealt out to few; the cells are united apart from each other (``boxes_union``) and add up. Groups with a null key or without area have no row.
     """
-    edges = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("a")).distinct()
-    order = Window.partitionBy(*keys).orderBy("a")
-    strips = edges.withColumn("b", F.lead("a").over(order)).where("b is not null")
-    own = strips.join(boxes, keys).where((F.col("x0") <= F.col("a")) & (F.col("x1") >= F.col("b")))
-    strip = Window.partitionBy(*keys, "a").orderBy("y0", "y1")
-    before = F.max("y1").over(strip.rowsBetween(Window.unboundedPreceding, -1))
-    new = own.withColumn("low", F.greatest("y0", F.coalesce(before, F.col("y0")))).where("y1 > low")
-    size = (F.col("b") - F.col("a")) * (F.col("y1") - F.col("low"))
-    out = new.groupBy(*keys).agg(F.sum(size).alias("area"), F.sum(size * (F.col("a") + F.col("b")) / 2).alias("mx"), F.sum(size * (F.col("y1") + F.col("low")) / 2).alias("my"))
+    own = boxes.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")]).where("x1 > x0 and y1 > y0")
+    g = F.ceil(F.sqrt(F.count("*") / of_cell))
+    stats = [f.alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min(f"{c}0")), ("hi", F.max(f"{c}1")), ("n", F.greatest(F.lit(1), F.least(g, F.floor((F.max(f"{c}1") - F.min(f"{c}0")) / F.avg(F.col(f"{c}1") - F.col(f"{c}0")))))))]
+    dealt = own.join(own.groupBy(*keys).agg(*stats), keys)
+    for c in "xy":
+        lo, hi, n, k = (F.col(f"__{v}{c}") for v in ("lo", "hi", "n", "g"))
+        step = (hi - lo) / n
+        cell = lambda v, d: F.least(F.greatest(F.floor((F.col(v) - lo) / step + d), F.lit(0)), n - 1)
+        dealt = dealt.withColumn(f"__g{c}", F.explode(F.sequence(cell(f"{c}0", -1e-9), cell(f"{c}1", 1e-9))))
+        # neighbours make the border between them in the same way; the outer ones are the boxes' own
+        clipped = {f"{c}0": F.when(k > 0, F.greatest(f"{c}0", lo + k * step)).otherwise(F.col(f"{c}0")), f"{c}1": F.when(k < n - 1, F.least(f"{c}1", lo + (k + 1) * step)).otherwise(F.col(f"{c}1"))}
+        dealt = dealt.withColumns(clipped).where(f"{c}1 > {c}0")
+    head = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
+
+    def unite(key: tuple, rows: pa.Table) -> pa.Table:
+        area, mx, my = boxes_union(np.column_stack([rows[c].to_numpy() for c in ("x0", "x1", "y0", "y1")]))
+        return pa.Table.from_arrays([*(pa.repeat(k, 1) for k in key[: len(keys)]), *(pa.array([v], pa.float64()) for v in (area, mx, my))], names=[*keys, "area", "mx", "my"])
+
+    cells = dealt.select(*keys, "__gx", "__gy", "x0", "x1", "y0", "y1").groupBy(*keys, "__gx", "__gy").applyInArrow(unite, f"{head}, area double, mx double, my double")
+    out = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("area", "mx", "my")])
     return out.select(*keys, "area", (F.col("mx") / F.col("area")).alias("cx"), (F.col("my") / F.col("area")).alias("cy"))
 
 

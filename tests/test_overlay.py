@@ -172,3 +172,18 @@ def test_measures_of_deep_polygons(spark):
     polygons, boxes = turned(3000)
     area = strips(boxes)
     assert overlay.union_measures(frame(spark, [(1, *p) for p in polygons] * 2), ["g"], 4.0).first().area == pytest.approx(area, abs=1e-6)
+
+
+def test_boxes_deep_upon_each_other(spark):
+    """By strips these make some two million rows; here each box goes to few cells, and the cells are small."""
+    boxes = turned(3000)[1]
+    got = shapes.boxes_union(np.array(boxes))
+    assert got[0] == pytest.approx(strips(boxes), rel=1e-12)
+    bars = [(float(k), k + 0.5, 0.0, 60.0) for k in range(60)] + [(0.0, 60.0, float(k), k + 0.5) for k in range(60)]
+    assert shapes.boxes_union(np.array(bars))[0] == pytest.approx(3600 * 0.75)
+    df = spark.createDataFrame([(k % 2, *b) for k, b in enumerate(boxes)] + [(None, 0.0, 1.0, 0.0, 1.0), (5, 1.0, 1.0, 0.0, 1.0)], "g int, x0 double, x1 double, y0 double, y1 double")
+    many = {r.g: r for r in shapes.union_of_boxes(df, ["g"], 50).collect()}
+    assert many.keys() == {0, 1}
+    for g in (0, 1):
+        area, mx, my = shapes.boxes_union(np.array(boxes[g::2]))
+        assert (many[g].area, many[g].cx, many[g].cy) == pytest.approx((area, mx / area, my / area), rel=1e-12, abs=1e-12)

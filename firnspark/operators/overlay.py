@@ -120,7 +120,12 @@ def united(s: np.ndarray, own: np.ndarray, side: int) -> np.ndarray:
         out.append(edges[~along])
         borders.append(edges[along])
 
-    s, own, along = _without_turns(s, own, np.zeros((len(s), 2), np.int64), np.full(len(s), side))
+    # of polygons that are the same one is enough
+    cuts = np.flatnonzero(np.diff(own)) + 1
+    once = {part.tobytes(): (part, k) for part, k in zip(np.split(s, cuts), np.split(own, cuts), strict=True)}
+    s, own = np.concatenate([v[0] for v in once.values()]), np.concatenate([v[1] for v in once.values()])
+    order = np.argsort(own, kind="stable")
+    s, own, along = _without_turns(s[order], own[order], np.zeros((len(s), 2), np.int64), np.full(len(s), side))
     # cells: corner, side, halvings without effect, edges before; polygons: the cell of each
     todo = [(s, own, along, np.zeros(int(own[-1]) + 1 if len(own) else 0, np.int64), np.array([[0, 0, side, 0, 0]], np.int64))]
     while todo:

@@ -187,3 +187,11 @@ def test_boxes_deep_upon_each_other(spark):
     for g in (0, 1):
         area, mx, my = shapes.boxes_union(np.array(boxes[g::2]))
         assert (many[g].area, many[g].cx, many[g].cy) == pytest.approx((area, mx / area, my / area), rel=1e-12, abs=1e-12)
+
+
+def test_one_polygon_many_times():
+    b = np.array([(0.1, 0.1), (0.5, 0.2), (0.4, 0.6), (0.05, 0.5)]) * overlay.STEPS
+    s = np.rint(np.concatenate([b, np.roll(b, -1, axis=0)], axis=1)).astype(np.int64)
+    edges = overlay.united(np.tile(s, (2000, 1)), np.repeat(np.arange(2000), 4), overlay.STEPS)
+    assert sorted(edges.tolist()) == sorted(s.tolist())
+    assert len(overlay.united(np.zeros((0, 4), np.int64), np.zeros(0, np.int64), overlay.STEPS)) == 0
